@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import line_spread, mixing, sharding, warc
+from trackloom.llm import decontaminate, exact_dedup, line_spread, mixing, sharding, token_store, warc
 from trackloom.llm.common import Scratch, table
 
 
@@ -23,15 +23,40 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(Scratch(spark, "op3"), table(spark, sf_dir, "documents"))
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(Scratch(spark, "op4"), table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest(decontaminate.contaminated_spans(docs, table(spark, sf_dir, "benchmark")).drop("text"))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    scratch = Scratch(spark, "op8")
+    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # this tokenizer drops white space before it splits words, so chunks between white space are independent
+    token_store.write_tokens(table(spark, sf_dir, "documents"), scratch.path("tokens"), tokenizer, vocabulary=49_408, end=2, whole_words=True, partitions=n)
+    return token_store.read_tokens(scratch, spark, scratch.path("tokens"))
+
+
 def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("site"))
     out = line_spread.remove_spread_lines(Scratch(spark, "op10"), docs)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_warc_archive, op3_histogram_shards, op10_line_spread)}
+QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_warc_archive, op3_histogram_shards, op4_exact_dedup, op5_decontaminate, op8_token_store, op10_line_spread)}
 
 SQL = {
+    "op4_exact_dedup": """
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS h FROM documents),
+g AS (SELECT h, min(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM t GROUP BY h)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM t JOIN g USING (h)""",
     # DuckDB has no base32; the digest is spelled from the hex digits of sha1 by 5 bits at a time.
     "op2_warc_archive": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
