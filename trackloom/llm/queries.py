@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontaminate, exact_dedup, line_spread, mixing, sharding, token_store, warc
+from trackloom.llm import decontaminate, exact_dedup, line_spread, mixing, ngram_join, sharding, token_store, warc
 from trackloom.llm.common import Scratch, table
 
 
@@ -44,13 +44,17 @@ def op8_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return token_store.read_tokens(scratch, spark, scratch.path("tokens"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(Scratch(spark, "op9"), table(spark, sf_dir, "documents"))
+
+
 def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("site"))
     out = line_spread.remove_spread_lines(Scratch(spark, "op10"), docs)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_warc_archive, op3_histogram_shards, op4_exact_dedup, op5_decontaminate, op8_token_store, op10_line_spread)}
+QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_warc_archive, op3_histogram_shards, op4_exact_dedup, op5_decontaminate, op8_token_store, op9_ngram_join, op10_line_spread)}
 
 SQL = {
     "op4_exact_dedup": """
