@@ -198,11 +198,23 @@ def segments(docs: DataFrame, heavy) -> DataFrame:
     return docs.mapInArrow(run, "e long, fragment int, segment array<long>")
 
 
+def sizes_fit(nx: Column, ny: Column, percent: int) -> Column:
+    return 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
+
+
 def may_link(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> Column:
     """Whether two sets whose first common shingle is at these places (from 0) can still be similar enough."""
-    need = percent * (nx + ny)
-    fits = (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
-    return fits & ((100 + percent) * F.least(nx - px, ny - py) >= need)
+    return (100 + percent) * F.least(nx - px, ny - py) >= percent * (nx + ny)
+
+
+def enough(m: Column, nx: Column, ny: Column, percent: int) -> Column:
+    """Whether two sets with ``m`` common shingles among both their prefixes can be similar enough.
+
+    Of the set whose prefix ends first in the order, every common shingle of the prefix is one of the m; the rest of
+    the set holds ceil(percent * n / 100) - 1 others.
+    """
+    outside = F.ceil(percent * F.greatest(nx, ny) / F.lit(100)) - 1
+    return (100 + percent) * (m + outside) >= percent * (nx + ny)
 
 
 def verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, heavy, percent: int, name: str) -> DataFrame:
@@ -229,8 +241,8 @@ def near_groups(scratch: Scratch, documents: DataFrame, percent: int = PERCENT)
     one entity, so copies are never paired. Shingles have one global order: the rare by hash, then the heavy by count.
     A pair that links shares a shingle among the first ones of both, and is found in that shingle's bucket. First each
     bucket's members are paired with its first member only; documents that these links join need no pairing among
-    themselves. Then every pair of a bucket whose members are still apart, and whose places allow a link, is tried.
-    A pair's overlap is counted in each fragment of the order and summed.
+    themselves. Then every pair of a bucket whose members are still apart is tried, if the places and the number of
+    common shingles at the beginnings of both allow a link. A pair's overlap is counted in each fragment of the order and summed.
 
     Null text has no words. A row with a null doc_id gets a null component and links with nothing. doc_id names a
     document: rows may repeat, but not with other text. An empty table gives an empty result.
@@ -253,8 +265,9 @@ def near_groups(scratch: Scratch, documents: DataFrame, percent: int = PERCENT)
     narrow = scratch.save(joined.select("doc_id", F.col("n").alias("n_shingles"), "e"), "narrow")
     scratch.drop("prefixes", "copies")
 
-    star = bucket.where(F.col("first.e") != F.col("e")).where(may_link(F.col("first.n"), F.col("first.p"), F.col("n"), F.col("p"), percent))
-    star = scratch.save(star.select(F.col("first.e").alias("x"), F.col("first.n").alias("nx"), F.col("e").alias("y"), F.col("n").alias("ny")).distinct(), "star")
+    star = bucket.where(F.col("first.e") != F.col("e")).select(F.col("first.e").alias("x"), F.col("first.n").alias("nx"), F.col("e").alias("y"), F.col("n").alias("ny"))
+    star = star.where(sizes_fit(F.col("nx"), F.col("ny"), percent)).groupBy("x", "nx", "y", "ny").agg(F.count("*").alias("m"))
+    star = scratch.save(star.where(enough(F.col("m"), F.col("nx"), F.col("ny"), percent)).drop("m"), "star")
     links = verified(scratch, docs, star, heavy, percent, "links1")
     roots = scratch.save(components(scratch, links, "near"), "roots")
 
@@ -263,8 +276,11 @@ def near_groups(scratch: Scratch, documents: DataFrame, percent: int = PERCENT)
     apart = b.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
     b = b.join(apart, "t")
     l, r = (b.select("t", *(F.col(c).alias(c + side) for c in "enpc")) for side in "xy")
-    rest = l.join(r, "t").where((F.col("cx") != F.col("cy")) & (F.col("ex") < F.col("ey")) & may_link(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), percent))
-    rest = rest.select(F.col("ex").alias("x"), "nx", F.col("ey").alias("y"), "ny").distinct().join(star.select("x", "y"), ["x", "y"], "left_anti")
+    rest = l.join(r, "t").where((F.col("cx") != F.col("cy")) & (F.col("ex") < F.col("ey")) & sizes_fit(F.col("nx"), F.col("ny"), percent))
+    met = may_link(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), percent)
+    rest = rest.groupBy(F.col("ex").alias("x"), "nx", F.col("ey").alias("y"), "ny").agg(F.count("*").alias("m"), F.bool_or(met).alias("met"))
+    rest = rest.where(F.col("met") & enough(F.col("m"), F.col("nx"), F.col("ny"), percent)).drop("m", "met")
+    rest = rest.join(star.select("x", "y"), ["x", "y"], "left_anti")
     rest = scratch.save(rest, "rest")
     scratch.drop("buckets", "labelled")
     if rest.take(1):

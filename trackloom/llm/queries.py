@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontaminate, exact_dedup, line_spread, mixing, ngram_join, sharding, token_store, warc
+from trackloom.llm import decontaminate, exact_dedup, language, line_spread, mixing, ngram_join, sharding, token_store, toxicity, warc
 from trackloom.llm.common import Scratch, table
 
 
@@ -32,6 +32,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contaminated_spans(docs, table(spark, sf_dir, "benchmark")).drop("text"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language(table(spark, sf_dir, "documents"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     if tokenizer is None:
         import public_tokenizers
@@ -54,7 +62,7 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_warc_archive, op3_histogram_shards, op4_exact_dedup, op5_decontaminate, op8_token_store, op9_ngram_join, op10_line_spread)}
+QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_warc_archive, op3_histogram_shards, op4_exact_dedup, op5_decontaminate, op6_toxicity, op7_language, op8_token_store, op9_ngram_join, op10_line_spread)}
 
 SQL = {
     "op4_exact_dedup": """
