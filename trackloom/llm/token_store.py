@@ -5,6 +5,8 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +21,9 @@ MAGIC = b"TLBP1\0\0\0"
 HEAD = struct.Struct("<8sIIQQQ")
 BLOCK_IDS = 1 << 16
 #: A file ends at the first document that brings it to this many ids; a document is never split over files.
-FILE_IDS = 1 << 22
+FILE_IDS = 1 << 21
 #: Distinct chunks whose ids a task remembers.
-MEMORY = 400_000
+MEMORY = 600_000
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -75,8 +77,8 @@ class TokenFile:
 class ChunkEncoder:
     """Encodes texts chunk by chunk between ASCII white space, with a memory of the chunks already seen.
 
-    This gives what encoding the whole text gives for tokenizers that drop white space and never join over it, which
-    ``whole_words`` states; for any other tokenizer whole texts are encoded.
+    This gives what encoding the whole text gives for tokenizers that lower-case, drop white space and never join over
+    it, which ``whole_words`` states; for any other tokenizer whole texts are encoded.
     """
 
     def __init__(self, path: str, whole_words: bool):
@@ -86,35 +88,62 @@ class ChunkEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.sizes = [np.zeros(1, np.uint32)], [np.ones(1, np.int64)]
+        self.joined = None
+
+    def chunks(self, text: str | None) -> list[bytes]:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        # upper case matters where a special token could be spelled, and before a combining mark
+        exact = b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw
+        return (raw if exact else raw.translate(LOWER)).split()
+
+    def learn(self, new: list[bytes]) -> None:
+        got = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
+        ids = [e.ids for e in got]
+        for k, c in enumerate(new, len(self.known) + 1):
+            self.known[c] = k
+        self.flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+        self.sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.joined = None
+
+    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with ``end`` after it, and the number of each text's ids."""
         if not self.whole_words:
-            ids = [[*e.ids, end] for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            ids = [[*e.ids, end] for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
             return np.concatenate([np.array(x, np.uint32) for x in ids]), np.array([len(x) for x in ids])
-        if len(self.known) > MEMORY:
+        chunks = [self.chunks(t) for t in texts]
+        own = set().union(*chunks)
+        new = own.difference(self.known)
+        if len(self.known) + len(new) > MEMORY:
             self.forget()
-        chunks = [t.translate(SPACES).split(" ") for t in texts]
-        new = list({c for cs in chunks for c in cs}.difference(self.known))
-        if new or not len(self.starts):
-            got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)] if new else []
-            for c in new:
-                self.known[c] = len(self.known) + 1
-            sizes = np.array([*([1] if not len(self.starts) else []), *map(len, got)], np.int64)
-            flat = np.array([*([end] if not len(self.starts) else []), *(i for g in got for i in g)], np.uint32)
-            self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
-            self.starts = np.cumsum(self.sizes) - self.sizes
-        get = self.known.__getitem__
-        at = np.fromiter((k for cs in chunks for k in (*map(get, cs), 0)), np.int64)
-        size = self.sizes[at]
-        place = np.repeat(self.starts[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        per = np.add.reduceat(size, np.r_[0, np.cumsum([len(c) + 1 for c in chunks])[:-1]])
-        return self.flat[place], per
-
-
-SPACES = {9: 32, 10: 32, 11: 32, 12: 32, 13: 32}
+            new = own
+        if new:
+            self.learn(list(new))
+        if self.joined is None:
+            self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
+            self.joined = self.flat[0], np.cumsum(self.sizes[0]) - self.sizes[0], self.sizes[0]
+        flat, starts, sizes = self.joined
+        n = np.array([len(c) + 1 for c in chunks])
+        at = np.zeros(n.sum(), np.int64)  # chunk 0 is the end of a text
+        inside = np.ones(len(at), bool)
+        inside[np.cumsum(n) - 1] = False
+        at[inside] = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chunks)), np.int64, len(at) - len(n))
+        size = sizes[at]
+        place = np.arange(size.sum()) + np.repeat(starts[at] - (np.cumsum(size) - size), size)
+        out = flat[place]
+        per = np.add.reduceat(size, np.cumsum(n) - n)
+        out[np.cumsum(per) - 1] = end
+        return out, per
+
+
+@cache
+def encoder(path: str, whole_words: bool) -> ChunkEncoder:
+    """One encoder per worker process; it keeps its memory from task to task."""
+    return ChunkEncoder(path, whole_words)
+
+
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, vocabulary: int, end: int, whole_words: bool, partitions: int) -> None:
@@ -126,7 +155,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, vocabulary: in
     width = max(1, int(vocabulary - 1).bit_length())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer, whole_words)
+        own = encoder(tokenizer, whole_words)
         docs, sizes, ids, n = [], [], [], 0
 
         def file() -> pa.RecordBatch:
@@ -136,7 +165,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, vocabulary: in
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                got, per = encoder.encode([t or "" for t in part.column(1).to_pylist()], end)
+                got, per = own.encode(part.column(1).to_pylist(), end)
                 docs += part.column(0).to_pylist()
                 sizes.append(per)
                 ids.append(got)
