@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -192,8 +193,6 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove_spans(docs: DataFrame) -> DataFrame:
     """``text`` of ``contaminated_spans``' rows without the bytes from each span's first word to its last."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def cut(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
         return pd.Series([without(t, a, b) for t, a, b in zip(text, starts, stops, strict=True)], dtype=object)
