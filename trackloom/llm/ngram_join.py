@@ -263,7 +263,7 @@ def near_groups(scratch: Scratch, documents: DataFrame, percent: int = PERCENT)
     bucket = entries.withColumns({"first": first, "after": after}).where((F.col("first.e") != F.col("e")) | F.col("after").isNotNull()).drop("after")
     bucket = scratch.save(bucket, "buckets")
     narrow = scratch.save(joined.select("doc_id", F.col("n").alias("n_shingles"), "e"), "narrow")
-    scratch.drop("prefixes", "copies")
+    scratch.drop("copies")
 
     star = bucket.where(F.col("first.e") != F.col("e")).select(F.col("first.e").alias("x"), F.col("first.n").alias("nx"), F.col("e").alias("y"), F.col("n").alias("ny"))
     star = star.where(sizes_fit(F.col("nx"), F.col("ny"), percent)).groupBy("x", "nx", "y", "ny").agg(F.count("*").alias("m"))
@@ -273,16 +273,18 @@ def near_groups(scratch: Scratch, documents: DataFrame, percent: int = PERCENT)
 
     b = lookup(bucket.drop("first"), roots.withColumnRenamed("node", "e"), ["e"], "left").withColumn("c", F.coalesce("root", "e")).drop("root")
     b = scratch.save(b, "labelled")
-    apart = b.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
-    b = b.join(apart, "t")
+    apart = b.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("n0")).where("lo < hi").select("t", "n0")
+    # a member too far down its set for the smallest partner that the bucket could offer pairs with none
+    smallest = F.greatest(F.col("n0"), F.ceil(percent * F.col("n") / F.lit(100)))
+    b = b.join(apart, "t").where((100 + percent) * (F.col("n") - F.col("p")) >= percent * (F.col("n") + smallest))
     l, r = (b.select("t", *(F.col(c).alias(c + side) for c in "enpc")) for side in "xy")
-    rest = l.join(r, "t").where((F.col("cx") != F.col("cy")) & (F.col("ex") < F.col("ey")) & sizes_fit(F.col("nx"), F.col("ny"), percent))
-    met = may_link(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), percent)
-    rest = rest.groupBy(F.col("ex").alias("x"), "nx", F.col("ey").alias("y"), "ny").agg(F.count("*").alias("m"), F.bool_or(met).alias("met"))
-    rest = rest.where(F.col("met") & enough(F.col("m"), F.col("nx"), F.col("ny"), percent)).drop("m", "met")
-    rest = rest.join(star.select("x", "y"), ["x", "y"], "left_anti")
+    rest = l.join(r, "t").where((F.col("cx") != F.col("cy")) & (F.col("ex") < F.col("ey")) & sizes_fit(F.col("nx"), F.col("ny"), percent) & may_link(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), percent))
+    rest = rest.select(F.col("ex").alias("x"), "nx", F.col("ey").alias("y"), "ny").distinct()
+    begin = whole.select(F.col("doc_id").alias("x"), F.col("tokens").alias("left")), whole.select(F.col("doc_id").alias("y"), F.col("tokens").alias("right"))
+    rest = scratch.save(rest.join(star.select("x", "y"), ["x", "y"], "left_anti"), "tried").join(begin[0], "x").join(begin[1], "y")
+    rest = rest.where(enough(F.size(F.array_intersect("left", "right")), F.col("nx"), F.col("ny"), percent)).select("x", "nx", "y", "ny").distinct()
     rest = scratch.save(rest, "rest")
-    scratch.drop("buckets", "labelled")
+    scratch.drop("buckets", "labelled", "prefixes", "tried")
     if rest.take(1):
         more = verified(scratch, docs, rest, heavy, percent, "links2")
         roots = scratch.save(components(scratch, links.unionByName(more), "near"), "roots2")
