@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -90,8 +91,23 @@ class ChunkEncoder:
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.sizes = [np.zeros(1, np.uint32)], [np.ones(1, np.int64)]
+        self.seen = np.zeros(1, np.int64)
         self.joined = None
 
+    def thin(self) -> None:
+        """Forget chunks that were met once only since they were learnt, or all if that frees too little."""
+        flat, starts, sizes = self.joined
+        kept = [(c, k) for c, k in self.known.items() if self.seen[k] > 1]
+        if len(kept) > MEMORY // 2:
+            self.forget()
+            return
+        self.known = {c: n for n, (c, _) in enumerate(kept, 1)}
+        at = np.array([0, *(k for _, k in kept)])
+        size = sizes[at]
+        place = np.arange(size.sum()) + np.repeat(starts[at] - (np.cumsum(size) - size), size)
+        self.flat, self.sizes, self.joined = [flat[place]], [size], None
+        self.seen = np.ones(len(at), np.int64)
+
     def chunks(self, text: str | None) -> list[bytes]:
         raw = (text or "").encode("utf-8", "surrogatepass")
         # upper case matters where a special token could be spelled, and before a combining mark
@@ -115,9 +131,9 @@ class ChunkEncoder:
         chunks = [self.chunks(t) for t in texts]
         own = set().union(*chunks)
         new = own.difference(self.known)
-        if len(self.known) + len(new) > MEMORY:
-            self.forget()
-            new = own
+        if len(self.known) + len(new) > MEMORY and self.joined:
+            self.thin()
+            new = own.difference(self.known)
         if new:
             self.learn(list(new))
         if self.joined is None:
@@ -129,6 +145,9 @@ class ChunkEncoder:
         inside = np.ones(len(at), bool)
         inside[np.cumsum(n) - 1] = False
         at[inside] = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chunks)), np.int64, len(at) - len(n))
+        met = np.bincount(at, minlength=len(sizes))
+        met[: len(self.seen)] += self.seen
+        self.seen = met
         size = sizes[at]
         place = np.arange(size.sum()) + np.repeat(starts[at] - (np.cumsum(size) - size), size)
         out = flat[place]
@@ -139,7 +158,8 @@ class ChunkEncoder:
 
 @cache
 def encoder(path: str, whole_words: bool) -> ChunkEncoder:
-    """One encoder per worker process; it keeps its memory from task to task."""
+    """One encoder per worker process; it keeps its memory from task to task. A task has one core, so no threads."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return ChunkEncoder(path, whole_words)
 
 
