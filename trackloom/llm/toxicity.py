@@ -17,8 +17,8 @@ from trackloom.llm.decontaminate import words
 #: Hashed word features.
 FEATURES = 1 << 18
 #: The fit reads at most so many confirmed toxic documents, and so many of all documents as the unlabelled ones.
-MOST_POSITIVE = 6_000
-MOST_UNLABELLED = 12_000
+MOST_POSITIVE = 3_000
+MOST_UNLABELLED = 8_000
 #: Words whose features a task remembers.
 MEMORY = 1 << 20
 
@@ -57,8 +57,8 @@ class Sparse:
 
     def __init__(self, rows: list[np.ndarray]):
         self.n = len(rows)
-        self.cols = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        self.rows = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.cols = np.concatenate(rows) if rows else np.empty(0, np.int32)
+        self.rows = np.repeat(np.arange(self.n, dtype=np.int32), [len(r) for r in rows])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, w[self.cols], self.n)
@@ -67,30 +67,34 @@ class Sparse:
         return np.bincount(self.cols, g[self.rows], size)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 200, rate: float = 0.1, sparsity: float = 0.001, least_docs: int = 5) -> Model:
-    """Minimise the non-negative risk with logistic loss l by Adam:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.1, decay: float = 1e-3, least_z: float = 4.0, least_docs: int = 3) -> Model:
+    """Minimise the non-negative risk with logistic loss l by Adam with weight decay:
 
         prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)])
 
-    Where the second term, the estimated risk on negatives, is below zero, the step goes against it instead. An L1
-    penalty of ``sparsity * prior`` holds words at 0 whose share differs by chance only, so that a long text's many
-    common words don't outweigh a few telling ones. Words of fewer than ``least_docs`` documents keep weight 0.
+    Where the second term, the estimated risk on negatives, is below zero, the step goes against it instead. Only
+    features of at least ``least_docs`` positives take part whose share among the positives is ``least_z`` standard
+    errors above that among the unlabelled, so that a long text's many common words don't outweigh a few telling ones.
     Without positives the model is the prior alone.
     """
     prior = float(np.clip(prior, 1e-4, 0.9))
     start = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return Model(np.zeros(FEATURES), start)
-    used, inverse = np.unique(np.concatenate([*positive, *unlabelled]), return_inverse=True)
-    often = np.bincount(inverse) >= least_docs
-    place = np.full(FEATURES, -1)
-    place[used[often]] = np.arange(often.sum())
-    p, u = (Sparse([c[c >= 0] for r in rows if (c := place[r]) is not None]) for rows in (positive, unlabelled))
-    size = int(often.sum())
+    with_p, with_u = np.zeros(FEATURES), np.zeros(FEATURES)
+    for rows, n in ((positive, with_p), (unlabelled, with_u)):
+        for r in rows:
+            n[r] += 1
+    share = (with_u + 0.5) / (len(unlabelled) + 1)
+    z = (with_p / len(positive) - share) / np.sqrt(share * (1 - share) * (1 / len(positive) + 1 / len(unlabelled)))
+    used = np.flatnonzero((z >= least_z) & (with_p >= least_docs))
+    size = len(used)
+    place = np.full(FEATURES, -1, np.int32)
+    place[used] = np.arange(size)
+    p, u = (Sparse([c[c >= 0] for c in (place[r] for r in rows)]) for rows in (positive, unlabelled))
     x = np.zeros(size + 1)
     x[size] = start
     m, v = np.zeros_like(x), np.zeros_like(x)
-    penalty = np.r_[np.full(size, sparsity * prior), 0]
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def gradient(gp: np.ndarray, gu: np.ndarray | None) -> np.ndarray:
@@ -105,25 +109,25 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             g = gradient(prior * (sp - 1) / p.n - prior * sp / p.n, su / u.n)
         else:
             g = -gradient(-prior * sp / p.n, su / u.n)
-        shrunk = np.sign(g) * np.maximum(np.abs(g) - penalty, 0)
-        g = np.where(x != 0, g + penalty * np.sign(x), shrunk)
+        g[:size] += decay * prior * x[:size]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        moved = x - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        x = np.where((x * moved < 0) & (penalty > 0), 0, moved)
+        x -= rate * (1 + np.cos(np.pi * t / steps)) / 2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     weights = np.zeros(FEATURES)
-    weights[used[often]] = x[:size]
+    weights[used] = x[:size]
     return Model(weights, float(x[size]))
 
 
 def word_features(docs: DataFrame) -> DataFrame:
-    """(positive, features) of (positive, text)."""
+    """(positive, features) of (positive, text); features as ascending 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [sorted({f for w in set(words(t)) for f in features(w)}) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.list_(pa.int64()))], ["positive", "features"])
+            for a in range(0, b.num_rows, 256):
+                p = b.slice(a, 256)
+                f = [np.array(sorted({f for w in set(words(t)) for f in features(w)}), np.int32).tobytes() for t in p.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(f, pa.binary())], ["positive", "features"])
 
-    return docs.select("positive", "text").mapInArrow(run, "positive boolean, features array<long>")
+    return docs.select("positive", "text").mapInArrow(run, "positive boolean, features binary")
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
@@ -139,9 +143,9 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     positive = by_hash(known.where("toxic = 1"), MOST_POSITIVE).withColumn("positive", F.lit(True))
     ids = documents.select("doc_id").where(F.col("doc_id").isNotNull() & fold)
     chosen = positive.unionByName(by_hash(ids, MOST_UNLABELLED).withColumn("positive", F.lit(False)))
-    rows = word_features(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["positive"], r["features"]))
-    sets = {k: [np.array(r["features"], np.int64) for r in rows if r["positive"] is k] for k in (True, False)}
+    rows = word_features(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).toArrow()
+    found = sorted(zip(rows.column("positive").to_pylist(), rows.column("features").to_pylist(), strict=True))
+    sets = {k: [np.frombuffer(f, np.int32) for p, f in found if p is k] for k in (True, False)}
     return fit(sets[True], sets[False], prior)
 
 
