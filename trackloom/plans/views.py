@@ -19,7 +19,7 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-FEED = """feed AS (SELECT event_id AS frame_id, epoch_ms(ts) AS t_ms, CAST(user_id AS VARCHAR) AS id, user_id % 10 = 0 AS ball,
+FEED = """feed AS (SELECT event_id AS frame_id, epoch_us(ts) // 1000 AS t_ms, CAST(user_id AS VARCHAR) AS id, user_id % 10 = 0 AS ball,
   value AS x, CAST(event_id % 100 AS DOUBLE) AS y FROM events)"""
 
 #: Objects of a frame: 11 of each team and the ball.
