@@ -7,7 +7,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ BLOCK_IDS = 1 << 16
 #: A file ends at the first document that brings it to this many ids; a document is never split over files.
 FILE_IDS = 1 << 21
 #: Distinct chunks whose ids a task remembers.
-MEMORY = 600_000
+MEMORY = 900_000
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -115,12 +115,10 @@ class ChunkEncoder:
         return (raw if exact else raw.translate(LOWER)).split()
 
     def learn(self, new: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
-        ids = [e.ids for e in got]
-        for k, c in enumerate(new, len(self.known) + 1):
-            self.known[c] = k
-        self.flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
-        self.sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        got = self.tokenizer.encode([c.decode("utf-8", "replace") for c in new], is_pretokenized=True, add_special_tokens=False)
+        self.known.update(zip(new, range(len(self.known) + 1, len(self.known) + len(new) + 1), strict=True))
+        self.flat.append(np.array(got.ids, np.uint32))
+        self.sizes.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(new)))
         self.joined = None
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,22 +127,28 @@ class ChunkEncoder:
             ids = [[*e.ids, end] for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
             return np.concatenate([np.array(x, np.uint32) for x in ids]), np.array([len(x) for x in ids])
         chunks = [self.chunks(t) for t in texts]
-        own = set().union(*chunks)
-        new = own.difference(self.known)
-        if len(self.known) + len(new) > MEMORY and self.joined:
-            self.thin()
-            new = own.difference(self.known)
-        if new:
-            self.learn(list(new))
+        n = np.array([len(c) + 1 for c in chunks])
+        inside = np.ones(n.sum(), bool)
+        inside[np.cumsum(n) - 1] = False  # chunk 0 is the end of a text
+        at = np.zeros(len(inside), np.int64)
+        found = np.fromiter(map(self.known.get, chain.from_iterable(chunks), repeat(-1)), np.int64, len(at) - len(n))
+        if (found < 0).any():
+            flat_chunks = list(chain.from_iterable(chunks))
+            new = list({flat_chunks[k] for k in np.flatnonzero(found < 0).tolist()})
+            if len(self.known) + len(new) > MEMORY and self.joined:
+                self.thin()
+                new = list(set(flat_chunks).difference(self.known))
+                self.learn(new)
+                found = np.fromiter(map(self.known.__getitem__, flat_chunks), np.int64, len(flat_chunks))
+            else:
+                self.learn(new)
+                missing = np.flatnonzero(found < 0)
+                found[missing] = [self.known[flat_chunks[k]] for k in missing.tolist()]
+        at[inside] = found
         if self.joined is None:
             self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
             self.joined = self.flat[0], np.cumsum(self.sizes[0]) - self.sizes[0], self.sizes[0]
         flat, starts, sizes = self.joined
-        n = np.array([len(c) + 1 for c in chunks])
-        at = np.zeros(n.sum(), np.int64)  # chunk 0 is the end of a text
-        inside = np.ones(len(at), bool)
-        inside[np.cumsum(n) - 1] = False
-        at[inside] = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chunks)), np.int64, len(at) - len(n))
         met = np.bincount(at, minlength=len(sizes))
         met[: len(self.seen)] += self.seen
         self.seen = met
