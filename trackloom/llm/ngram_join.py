@@ -26,7 +26,7 @@ HEAVY_MOST = 1 << 20
 #: Shingles among which a task counts repeats.
 CHUNK = 1 << 21
 #: Bytes of text hashed at a time.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 
 #: A-Z lower-cased; the white space that separates words becomes a space.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -60,7 +60,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     space = b == 32
     start = np.flatnonzero(~space & np.r_[True, space[:-1]])
     stop = np.flatnonzero(space & np.r_[False, ~space[:-1]])
-    up, down = powers(max(21, len(b).bit_length()))
+    up, down = powers(max(20, len(b).bit_length()))
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(b.astype(np.uint64) * up[: len(b)], out=total[1:])
     h = (total[stop] - total[start]) * down[start]

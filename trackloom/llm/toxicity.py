@@ -20,7 +20,7 @@ FEATURES = 1 << 18
 MOST_POSITIVE = 3_000
 MOST_UNLABELLED = 8_000
 #: Words whose features a task remembers.
-MEMORY = 1 << 20
+MEMORY = 300_000
 
 
 def features(word: bytes) -> list[int]:
