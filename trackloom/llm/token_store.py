@@ -24,7 +24,9 @@ BLOCK_IDS = 1 << 16
 #: A file ends at the first document that brings it to this many ids; a document is never split over files.
 FILE_IDS = 1 << 21
 #: Distinct chunks whose ids a task remembers.
-MEMORY = 900_000
+MEMORY = 500_000
+#: Chunks of letters that are encoded as one line.
+LINE = 64
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -86,6 +88,11 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.whole_words = Tokenizer.from_file(path), whole_words
+        suffix, self.ends = getattr(self.tokenizer.model, "end_of_word_suffix", None), None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -96,16 +103,15 @@ class ChunkEncoder:
 
     def thin(self) -> None:
         """Forget chunks that were met once only since they were learnt, or all if that frees too little."""
-        flat, starts, sizes = self.joined
-        kept = [(c, k) for c, k in self.known.items() if self.seen[k] > 1]
+        self.tables()
+        kept = [(c, k) for c, k in self.known.items() if k < len(self.seen) and self.seen[k] > 1]
         if len(kept) > MEMORY // 2:
             self.forget()
             return
         self.known = {c: n for n, (c, _) in enumerate(kept, 1)}
         at = np.array([0, *(k for _, k in kept)])
-        size = sizes[at]
-        place = np.arange(size.sum()) + np.repeat(starts[at] - (np.cumsum(size) - size), size)
-        self.flat, self.sizes, self.joined = [flat[place]], [size], None
+        ids, size = self.ids_of(at)
+        self.flat, self.sizes, self.joined = [ids], [size], None
         self.seen = np.ones(len(at), np.int64)
 
     def chunks(self, text: str | None) -> list[bytes]:
@@ -114,13 +120,65 @@ class ChunkEncoder:
         exact = b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw
         return (raw if exact else raw.translate(LOWER)).split()
 
-    def learn(self, new: list[bytes]) -> None:
-        got = self.tokenizer.encode([c.decode("utf-8", "replace") for c in new], is_pretokenized=True, add_special_tokens=False)
+    def add(self, new: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         self.known.update(zip(new, range(len(self.known) + 1, len(self.known) + len(new) + 1), strict=True))
-        self.flat.append(np.array(got.ids, np.uint32))
-        self.sizes.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(new)))
+        self.flat.append(ids.astype(np.uint32))
+        self.sizes.append(sizes.astype(np.int64))
         self.joined = None
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids that are known, and the start and number of each chunk's."""
+        if self.joined is None:
+            self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
+            self.joined = self.flat[0], np.cumsum(self.sizes[0]) - self.sizes[0], self.sizes[0]
+        return self.joined
+
+    def ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat, starts, sizes = self.tables()
+        size = sizes[at]
+        return flat[np.arange(size.sum()) + np.repeat(starts[at] - (np.cumsum(size) - size), size)], size
+
+    def learn_apart(self, new: list[bytes]) -> None:
+        """Encode chunks as words of their own: exact for any chunk."""
+        got = self.tokenizer.encode([c.decode("utf-8", "replace") for c in new], is_pretokenized=True, add_special_tokens=False)
+        self.add(new, np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(new)))
+
+    def learn_letters(self, new: list[bytes]) -> None:
+        """Encode chunks of letters in lines, which is faster: each is one word, and its last token says so."""
+        odd: list[bytes] = []
+        lines = [new[a : a + LINE] for a in range(0, len(new), LINE)]
+        got = self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)
+        for line, e in zip(lines, got, strict=True):
+            ids = np.array(e.ids, np.int64)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(line) and stop[-1] == len(ids):
+                self.add(line, ids, np.diff(stop, prepend=0))
+            else:
+                odd += line
+        if odd:
+            self.learn_apart(odd)
+
+    def learn(self, new: list[bytes]) -> None:
+        letters, marked, apart = set(), [], []
+        for c in new:
+            stem = c[:-1] if c[-1] in b",." else c
+            if self.ends is None or not stem.decode("utf-8", "replace").isalpha():
+                apart.append(c)
+            elif stem is c:
+                letters.add(c)
+            else:
+                marked.append(c)
+        letters |= {c[:-1] for c in marked}.difference(self.known)
+        apart += [m for m in {c[-1:] for c in marked} if m not in self.known and m not in new]
+        if apart:
+            self.learn_apart(apart)
+        if letters:
+            self.learn_letters(list(letters))
+        if marked:
+            pair = np.fromiter((self.known[x] for c in marked for x in (c[:-1], c[-1:])), np.int64, 2 * len(marked))
+            ids, size = self.ids_of(pair)
+            self.add(marked, ids, size.reshape(-1, 2).sum(1))
+
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with ``end`` after it, and the number of each text's ids."""
         if not self.whole_words:
@@ -135,7 +193,7 @@ class ChunkEncoder:
         if (found < 0).any():
             flat_chunks = list(chain.from_iterable(chunks))
             new = list({flat_chunks[k] for k in np.flatnonzero(found < 0).tolist()})
-            if len(self.known) + len(new) > MEMORY and self.joined:
+            if len(self.known) + len(new) > MEMORY and self.known:
                 self.thin()
                 new = list(set(flat_chunks).difference(self.known))
                 self.learn(new)
@@ -145,16 +203,10 @@ class ChunkEncoder:
                 missing = np.flatnonzero(found < 0)
                 found[missing] = [self.known[flat_chunks[k]] for k in missing.tolist()]
         at[inside] = found
-        if self.joined is None:
-            self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
-            self.joined = self.flat[0], np.cumsum(self.sizes[0]) - self.sizes[0], self.sizes[0]
-        flat, starts, sizes = self.joined
-        met = np.bincount(at, minlength=len(sizes))
+        out, size = self.ids_of(at)
+        met = np.bincount(at, minlength=len(self.known) + 1)
         met[: len(self.seen)] += self.seen
         self.seen = met
-        size = sizes[at]
-        place = np.arange(size.sum()) + np.repeat(starts[at] - (np.cumsum(size) - size), size)
-        out = flat[place]
         per = np.add.reduceat(size, np.cumsum(n) - n)
         out[np.cumsum(per) - 1] = end
         return out, per
