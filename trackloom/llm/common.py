@@ -10,12 +10,17 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a batch that goes to Python: texts are long, and a worker and its executor both hold whole batches.
+BATCH_ROWS = 1_000
 #: A lookup side of at most this many narrow rows (a few longs each, so under about 40 MB) is broadcast.
 BROADCAST_ROWS = 500_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers of the session's executors, once, wherever they run."""
+    """Give this package to the Python workers of the session's executors, once, and keep their batches small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_trackloom_shipped", False):
         return
