@@ -34,9 +34,9 @@ def records_of(scratch: Scratch, pages: DataFrame, min_revisit_bytes: int = 0) -
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     p = pages.select("page_id", F.coalesce(F.col("url"), F.lit("")).alias("url"), body.alias("payload"))
     p = p.withColumns({"sha256": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long")})
-    many = p.select("sha256", "bytes", "page_id").where(F.col("bytes") >= min_revisit_bytes).groupBy("sha256").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
-    many = scratch.save(many.where("n > 1").select("sha256", "top"), "repeated")
-    p = lookup(p, many, ["sha256"], "left").withColumn("revisit", F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")))
+    many = p.select("sha256", "page_id").groupBy("sha256").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
+    many = scratch.save(many.where("n > 1").select("sha256", "top", F.lit(True).alias("repeated")), "repeated")
+    p = lookup(p, many, ["sha256"], "left").withColumn("revisit", F.col("top").isNotNull() & (F.col("bytes") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("top")))
     uri = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x.cast("string"), F.lit("")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -55,7 +55,7 @@ def records_of(scratch: Scratch, pages: DataFrame, min_revisit_bytes: int = 0) -
         F.lit(CRLF),
         http,
     )
-    return p.select("sha256", F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.col("top").isNotNull().alias("repeated"), header.alias("header"), "payload")
+    return p.select("sha256", F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.coalesce("repeated", F.lit(False)).alias("repeated"), header.alias("header"), "payload")
 
 
 def write_archive(records: DataFrame, path: str) -> None:
