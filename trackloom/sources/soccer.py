@@ -62,7 +62,7 @@ def from_wide(df: DataFrame, players: DataFrame, settings: Settings = Settings()
 
 def roster_xml(spark: SparkSession, path: str) -> DataFrame:
     """(game_id, id, team_id, name, position_name, starting) of a match information XML."""
-    m = spark.read.format("xml").option("rowTag", "MatchInformation").load(path)
+    m = spark.read.format("xml").option("rowTag", "MatchInformation").option("inferSchema", False).load(path)
     t = m.select(F.col("General._MatchId").alias("game_id"), F.explode("Teams.Team").alias("t"))
     p = t.select("game_id", F.col("t._TeamId").alias("team_id"), F.explode("t.Players.Player").alias("p"))
     return p.select("game_id", F.col("p._PersonId").cast("string").alias("id"), "team_id", F.col("p._Shortname").alias("name"), F.col("p._PlayingPosition").alias("position_name"), F.col("p._Starting").cast("boolean").alias("starting"))
