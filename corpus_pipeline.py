@@ -40,9 +40,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Documents with windows of one item or more lose the words of every occurrence, and keep all others.
     """
-    found = decontaminate.contaminated_spans(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
-    cut = F.size("span_start") > 0
-    return decontaminate.remove_spans(found).withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+    found = decontaminate.contaminated_spans(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"), remove=True)
+    n_chars = F.when(F.size("span_start") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", n_chars).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.llm.common import tidy
 from trackloom.llm.fm_index import FMIndex
 
 #: Words of a window.
@@ -110,13 +110,14 @@ def search_shard(docs: list[np.ndarray], windows: Windows) -> tuple[np.ndarray,
 RESULT = "n_words long, span_start array<long>, span_stop array<long>, items array<string>"
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, remove: bool = False) -> DataFrame:
     """Add to each row of ``docs`` (any columns and text) what windows of ``benchmark`` (item_id, text) occur in it.
 
     New columns: n_words; span_start and span_stop, the removal spans in words (merged, ascending, stop exclusive);
     items, the ids of items with an occurring window as strings in string order. Words are runs of ASCII letters,
     digits and all non-ASCII characters, A-Z lower-cased. A window is ``window`` consecutive words of an item, or all
     its words if it has fewer. Null and wordless texts have no words and match nothing. A null item id is ``null``.
+    With ``remove``, text comes without the bytes from each span's first word to its last.
     The benchmark must fit the driver; blocks of it of at most ``block_bytes`` are broadcast, and each shard of the
     corpus is searched for every block.
     """
@@ -149,7 +150,14 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                     items[d].add(w.ids[i])
             merged = [union(x) if len(all_windows) > 1 else x for x in spans]
             table = pa.Table.from_batches(rows).combine_chunks()
-            cols = [table.column(c) for c in names] + [
+            cols = [table.column(c) for c in names]
+            if remove:
+                texts = cols[text_at].to_pylist()
+                for k, x in enumerate(merged):
+                    if x:
+                        texts[k] = without(texts[k], x)
+                cols[text_at] = pa.array(texts, cols[text_at].type)
+            cols += [
                 pa.array(n_words, pa.int64()),
                 pa.array([[a for a, _ in x] for x in merged], pa.list_(pa.int64())),
                 pa.array([[b for _, b in x] for x in merged], pa.list_(pa.int64())),
@@ -178,7 +186,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             yield flush(rows, parts, n_words)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(search, f"{kinds}, {RESULT}")
+    return docs.mapInArrow(tidy(search), f"{kinds}, {RESULT}")
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -191,24 +199,14 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_spans(docs: DataFrame) -> DataFrame:
-    """``text`` of ``contaminated_spans``' rows without the bytes from each span's first word to its last."""
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
-        return pd.Series([without(t, a, b) for t, a, b in zip(text, starts, stops, strict=True)], dtype=object)
-
-    return docs.withColumn("text", F.when(F.size("span_start") > 0, cut("text", "span_start", "span_stop")).otherwise(F.col("text")))
-
-
-def without(text: str | None, starts: list[int], stops: list[int]) -> str | None:
-    if text is None or not len(starts):
-        return text
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the bytes of these spans of words."""
     raw = text.encode("utf-8", "surrogatepass")
     b = np.frombuffer(raw.translate(WORD_BYTES), np.uint8) != 32
     edge = np.flatnonzero(np.diff(np.r_[0, b.view(np.int8), 0]))
     first, last = edge[::2], edge[1::2]
     out, at = [], 0
-    for s, e in zip(starts, stops, strict=True):
+    for s, e in spans:
         out.append(raw[at : first[s]])
         at = last[e - 1]
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.llm.common import doc_fold
+from trackloom.llm.common import doc_fold, tidy
 
 #: Bits of a hashed n-gram; n-grams are 3 bytes of the lower-cased UTF-8 text.
 BITS = 12
@@ -93,7 +93,7 @@ def train(documents: DataFrame) -> Centroids:
                 n += len(tf)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE + 1)), pa.array(np.r_[df, n])], ["dim", "n"])
 
-    seen = own.select("text").mapInArrow(frequencies, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
+    seen = own.select("text").mapInArrow(tidy(frequencies), "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(SIZE + 1)
     for r in seen:
         df[r["dim"]] = r["n"]
@@ -111,7 +111,7 @@ def train(documents: DataFrame) -> Centroids:
                 tf = counts(p.column(1).to_pylist()).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array([x.tobytes() for x in tf], pa.binary())], ["lang", "tf"])
 
-    rows = own.join(F.broadcast(few.distinct()), ["doc_id", "lang"]).select("lang", "text").mapInArrow(sample, "lang string, tf binary")
+    rows = own.join(F.broadcast(few.distinct()), ["doc_id", "lang"]).select("lang", "text").mapInArrow(tidy(sample), "lang string, tf binary")
     by: dict[str, list[bytes]] = {}
     for r in rows.toArrow().to_pylist():
         by.setdefault(r["lang"], []).append(r["tf"])
@@ -145,7 +145,7 @@ def identify(documents: DataFrame, model: Centroids) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*p.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(far)], [*names, "lang_pred", "score", "rejected"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return documents.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return documents.mapInArrow(tidy(run), f"{kinds}, lang_pred string, score double, rejected boolean")
 
 
 def language(documents: DataFrame) -> DataFrame:

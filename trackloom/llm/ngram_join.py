@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.llm.common import Scratch, components, lookup
+from trackloom.llm.common import Scratch, components, lookup, tidy
 
 #: Words of a shingle, and the least similarity in percent.
 SHINGLE = 5
@@ -125,7 +125,7 @@ def heavy_shingles(scratch: Scratch, docs: DataFrame) -> tuple[np.ndarray, np.nd
         if n:
             yield repeats(held)
 
-    t = docs.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_COUNT)
+    t = docs.select("text").mapInArrow(tidy(count), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_COUNT)
     t = t.orderBy(F.desc("n"), "t").limit(HEAVY_MOST).toArrow()
     token, n = t.column("t").to_numpy().view(np.uint64), t.column("n").to_numpy()
     by = np.lexsort((token, n))
@@ -170,7 +170,7 @@ def prefixes(docs: DataFrame, heavy, percent: int) -> DataFrame:
             tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(np.concatenate(flat).view(np.int64)))
             yield pa.RecordBatch.from_arrays([p.column(0), pa.array(sizes, pa.int64()), pa.array(sig[:, 0]), pa.array(sig[:, 1]), tokens], ["doc_id", "n", "sig_a", "sig_b", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, sig_a long, sig_b long, tokens array<long>")
 
 
 def segments(docs: DataFrame, heavy) -> DataFrame:
@@ -195,7 +195,7 @@ def segments(docs: DataFrame, heavy) -> DataFrame:
             flat = np.concatenate(segs).view(np.int64) if segs else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["e", "fragment", "segment"])
 
-    return docs.mapInArrow(run, "e long, fragment int, segment array<long>")
+    return docs.mapInArrow(tidy(run), "e long, fragment int, segment array<long>")
 
 
 def sizes_fit(nx: Column, ny: Column, percent: int) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.llm.common import Scratch, lookup
+from trackloom.llm.common import Scratch, lookup, tidy
 
 MAGIC = b"TLBP1\0\0\0"
 #: magic, bits of an id, ids of a block, documents, ids, blocks
@@ -254,7 +254,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, vocabulary: in
 
     ordered = documents.select("doc_id", "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
     # the text writer puts down the bytes of a string as they are, and a line feed after each row
-    files = ordered.mapInArrow(encode, "file binary").select(F.col("file").cast("string").alias("value"))
+    files = ordered.mapInArrow(tidy(encode), "file binary").select(F.col("file").cast("string").alias("value"))
     files.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
@@ -275,7 +275,7 @@ def read_tokens(scratch: Scratch, spark: SparkSession, path: str) -> DataFrame:
     number = lambda pattern: F.lpad(F.regexp_extract("path", pattern, 1), 10, "0")
     order = F.concat(number(r"part-(\d+)"), F.lit("-"), number(r"-c(\d+)"))
     raw = spark.read.format("binaryFile").load(path).select(order.alias("file"), "content")
-    docs = scratch.save(raw.mapInArrow(decode, "file string, doc_id long, inside long, n_tokens long, ids_crc32 long"), "decoded")
+    docs = scratch.save(raw.mapInArrow(tidy(decode), "file string, doc_id long, inside long, n_tokens long, ids_crc32 long"), "decoded")
     # one row per file; their running total is two-level, so no task sees more files than a partition has
     files = docs.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("part", F.substring_index("file", "-", 1))
     parts = files.groupBy("part").agg(F.sum("n").alias("n"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import Scratch, doc_fold
+from trackloom.llm.common import Scratch, doc_fold, tidy
 from trackloom.llm.decontaminate import words
 
 #: Hashed word features.
@@ -127,7 +127,7 @@ def word_features(docs: DataFrame) -> DataFrame:
                 f = [np.array(sorted({f for w in set(words(t)) for f in features(w)}), np.int32).tobytes() for t in p.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(f, pa.binary())], ["positive", "features"])
 
-    return docs.select("positive", "text").mapInArrow(run, "positive boolean, features binary")
+    return docs.select("positive", "text").mapInArrow(tidy(run), "positive boolean, features binary")
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
@@ -164,7 +164,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*p.columns, pa.array(shared.value.scores(p.column(at).to_pylist(), known))], [*names, "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return documents.mapInArrow(run, f"{kinds}, score double")
+    return documents.mapInArrow(tidy(run), f"{kinds}, score double")
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
