@@ -71,25 +71,36 @@ def soccer_nodes(s: Settings) -> dict[str, Column]:
     return {k: S.zero_nan(v) for k, v in out.items()}
 
 
+def with_differences(cells: DataFrame, s: Settings) -> DataFrame:
+    """Add what edge features share to rows (i, j) from ``pairs``.
+
+    A projection of its own: all features in one would compile to a method too long for the JIT.
+    """
+    i, j = (lambda c: F.col(f"i.{c}")), (lambda c: F.col(f"j.{c}"))
+    football = isinstance(s, FootballSettings)
+    d = cells.withColumns({"i_ball": i("team_id") == s.ball_id, **{f"p_{c}": i(c) - j(c) for c in ("xy" if football else "xyz")}, "d_v": S.zero_nan(j("v") - i("v"))})
+    if football:
+        d = d.withColumns({"d_a": S.zero_nan(j("a") - i("a")), "d_dir": j("dir") - i("dir"), "d_o": j("o") - i("o"), "gap": S.norm(F.col("p_x"), F.col("p_y"))})
+    else:
+        d = d.withColumns({"gap": S.norm(F.col("p_x"), F.col("p_y"), F.col("p_z")), "turn": S.angle_between(F.col("p_x"), F.col("p_y"), j("vx") - i("vx"), j("vy") - i("vy"))})
+    return d.withColumn("place", S.zero_nan(F.atan2("p_y", "p_x")))
+
+
 @graph_feature("edge")
 def soccer_edges(s: Settings) -> dict[str, Column]:
-    """The 6 default edge columns, of rows (i, j) from ``pairs``."""
-    i, j = (lambda c: F.col(f"i.{c}")), (lambda c: F.col(f"j.{c}"))
-    dx, dy, dz = (i(c) - j(c) for c in "xyz")
-    ball = i("team_id") == s.ball_id
-    place = S.zero_nan(F.atan2(dy, dx))
-    # the angle is between the line from j to i, and the difference of the velocities of j and i
-    turn = S.angle_between(dx, dy, j("vx") - i("vx"), j("vy") - i("vy"))
+    """The 6 default edge columns, of rows that ``with_differences`` has widened.
+
+    ``turn`` is between the line from j to i and the difference of the velocities of j and i.
+    """
     part = lambda c: S.sincos_part(S.zero_nan(c))
-    out = {
-        "distance": S.part_of(S.norm(dx, dy, dz), s.diagonal),
-        "speed_difference": S.speed_difference_part(S.zero_nan(j("v") - i("v")), ball, s.max_player_speed, s.max_ball_speed),
-        "position_cos": part(F.cos(place)),
-        "position_sin": part(F.sin(place)),
-        "velocity_cos": part(F.cos(turn)),
-        "velocity_sin": part(F.sin(turn)),
+    return {
+        "distance": S.part_of(S.zero_nan(F.col("gap")), s.diagonal),
+        "speed_difference": S.speed_difference_part(F.col("d_v"), F.col("i_ball"), s.max_player_speed, s.max_ball_speed),
+        "position_cos": part(F.cos("place")),
+        "position_sin": part(F.sin("place")),
+        "velocity_cos": part(F.cos("turn")),
+        "velocity_sin": part(F.sin("turn")),
     }
-    return {k: S.zero_nan(v) for k, v in out.items()}
 
 
 def with_frame_units(df: DataFrame, by: list[str]) -> DataFrame:
@@ -135,22 +146,21 @@ def football_nodes(s: FootballSettings) -> dict[str, Column]:
 
 @graph_feature("edge")
 def football_edges(s: FootballSettings) -> dict[str, Column]:
-    """The 9 edge columns, of rows (i, j) from ``pairs``; all 0 where a distance is unknown."""
-    i, j = (lambda c: F.col(f"i.{c}")), (lambda c: F.col(f"j.{c}"))
-    dx, dy = i("x") - j("x"), i("y") - j("y")
-    ball = i("team_id") == s.ball_id
-    distance, place = S.norm(dx, dy), S.zero_nan(F.atan2(dy, dx))
-    part = lambda c: S.sincos_part(S.zero_nan(c))
-    out = {
-        "distance": S.part_of(distance, s.diagonal),
-        "speed_difference": S.speed_difference_part(S.zero_nan(j("v") - i("v")), ball, s.max_player_speed, s.max_ball_speed),
-        "acceleration_difference": S.acceleration_part(S.zero_nan(j("a") - i("a")), ball, s.max_player_acceleration, s.max_ball_acceleration),
-        "position_cos": part(F.cos(place)),
-        "position_sin": part(F.sin(place)),
-        **{f"{c}_{name}": part(f(j(c) - i(c))) for c in ("dir", "o") for name, f in (("cos", F.cos), ("sin", F.sin))},
+    """The 9 edge columns, of rows that ``with_differences`` has widened; all 0 where a distance is unknown, but for
+    the acceleration difference."""
+    known = lambda c: F.when(F.col("gap") < float("inf"), c).otherwise(0.0)  # noqa: E731  NaN is above infinity
+    part = lambda c: known(S.sincos_part(S.zero_nan(c)))
+    return {
+        "distance": S.part_of(S.zero_nan(F.col("gap")), s.diagonal),
+        "speed_difference": known(S.speed_difference_part(F.col("d_v"), F.col("i_ball"), s.max_player_speed, s.max_ball_speed)),
+        "acceleration_difference": S.acceleration_part(F.col("d_a"), F.col("i_ball"), s.max_player_acceleration, s.max_ball_acceleration),
+        "position_cos": part(F.cos("place")),
+        "position_sin": part(F.sin("place")),
+        "dir_cos": part(F.cos("d_dir")),
+        "dir_sin": part(F.sin("d_dir")),
+        "o_cos": part(F.cos("d_o")),
+        "o_sin": part(F.sin("d_o")),
     }
-    known = distance.isNotNull() & ~F.isnan(distance)
-    return {k: v if k == "acceleration_difference" else F.when(known, S.zero_nan(v)).otherwise(0.0) for k, v in out.items()}
 
 
 def global_features(columns: list[str], where: str, ball_id: str) -> dict[str, Column]:

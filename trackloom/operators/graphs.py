@@ -22,6 +22,10 @@ SCHEMA = (
 )
 
 
+#: Columns of an object that the built-in edge features read.
+SOCCER_EDGE, FOOTBALL_EDGE = ("x", "y", "z", "vx", "vy", "v"), ("x", "y", "v", "a", "o", "dir")
+
+
 @dataclass(frozen=True)
 class GraphConfig:
     adjacency: str = pairs.SPLIT_BY_TEAM
@@ -84,12 +88,12 @@ def node_table(df: DataFrame, config: GraphConfig, settings: Settings) -> tuple[
 def edge_table(df: DataFrame, config: GraphConfig, settings: Settings) -> tuple[DataFrame, list[str]]:
     """A row per cell of each frame's matrix that is 1: i.row, j.row and the edge features."""
     football = isinstance(settings, FootballSettings)
-    columns = ["id", "team_id", "ball_owning_team_id", "is_ball_carrier", "x", "y", "z", "vx", "vy", "vz", "v", "a", "o", "dir"]
+    columns = ["id", "team_id", "ball_owning_team_id", "is_ball_carrier", *(FOOTBALL_EDGE if football else SOCCER_EDGE)]
     p = pairs.pairs(df, list(config.by), frames.graph_order(settings), [c for c in columns if c in df.columns])
     p = p.where(pairs.connected(config.adjacency, config.connect, settings.ball_id, "is_ball_carrier" in df.columns))
     functions = X.checked([f for f in config.edge_functions if f.feature_style == "columns"] or [X.football_edges if football else X.soccer_edges], "edge")
     features = {k: v for f in functions for k, v in f(settings).items()}
-    return p.withColumns({f"f_{k}": finite(v.cast("double"), 0.0) for k, v in features.items()}), [f"f_{k}" for k in features]
+    return X.with_differences(p, settings).withColumns({f"f_{k}": v.cast("double") for k, v in features.items()}), [f"f_{k}" for k in features]
 
 
 def build_graphs(df: DataFrame, config: GraphConfig = GraphConfig(), settings: Settings = Settings()) -> DataFrame:
@@ -101,19 +105,19 @@ def build_graphs(df: DataFrame, config: GraphConfig = GraphConfig(), settings: S
     if any(f.feature_style == "numpy" for f in (*config.node_functions, *config.edge_functions)):
         return numpy_graphs(df, config, settings)
     d, names = node_table(frames.constant_in_frame(prepared(df, config, settings), [config.graph_id_col, config.label_col], list(config.by)), config, settings)
-    keep = [c for c in ("id", "team_id", "ball_owning_team_id", "is_ball_carrier", "x", "y", "z", "vx", "vy", "vz", "v", "a", "o", "dir") if c in d.columns]
+    football = isinstance(settings, FootballSettings)
+    keep = [c for c in ("id", "team_id", "ball_owning_team_id", "is_ball_carrier", *(FOOTBALL_EDGE if football else SOCCER_EDGE)) if c in d.columns]
     first = {"label": config.label_col, "graph_id": config.graph_id_col}
     packed = d.groupBy(*config.by).agg(
         F.array_sort(F.collect_list(F.struct(frames.graph_order(settings).alias("_o"), *keep, F.array(*names).alias("f")))).alias("_n"),
         *(F.min(c).alias(k) for k, c in first.items()),
     )
     cells = packed.select(*config.by, F.posexplode("_n").alias("_i", "i"), "_n").select(*config.by, "_i", "i", F.posexplode("_n").alias("_j", "j"))
-    football = isinstance(settings, FootballSettings)
     functions = X.checked([f for f in config.edge_functions if f.feature_style == "columns"] or [X.football_edges if football else X.soccer_edges], "edge")
     edge = {k: v for f in functions for k, v in f(settings).items()}
     on = pairs.connected(config.adjacency, config.connect, settings.ball_id, "is_ball_carrier" in d.columns)
     cells = cells.withColumn("_a", F.when(F.coalesce(on, F.lit(False)), 1).otherwise(0))
-    cells = cells.withColumn("_f", F.when(F.col("_a") == 1, F.array(*(finite(v.cast("double"), 0.0) for v in edge.values()))))
+    cells = X.with_differences(cells, settings).withColumn("_f", F.when(F.col("_a") == 1, F.array(*(v.cast("double") for v in edge.values()))))
     matrix = cells.groupBy(*config.by).agg(F.array_sort(F.collect_list(F.struct("_i", "_j", "_a", "_f"))).alias("_m"))
     g = packed.join(matrix, list(config.by))
     n = F.size("_n")
