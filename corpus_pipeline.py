@@ -19,7 +19,6 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model scores below 0.5 stay. The model learns from these documents and ``labels``."""
-    Scratch(spark, "ship")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(COLUMNS), model).where(F.col("score") < 0.5).drop("score")
 

@@ -3,39 +3,28 @@
 from __future__ import annotations
 
 import ctypes
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.shipping import ship
+
 #: Rows of a batch that goes to Python: texts are long, and a worker and its executor both hold whole batches.
 BATCH_ROWS = 1_000
 #: A lookup side of at most this many narrow rows (a few longs each, so under about 40 MB) is broadcast.
 BROADCAST_ROWS = 500_000
 
 
-def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers of the session's executors, once, and keep their batches small."""
+def prepare(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, and keep their batches small."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, BATCH_ROWS)
-    sc = spark.sparkContext
-    if getattr(sc, "_trackloom_shipped", False):
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="trackloom-"), "trackloom.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(package):
-            for n in names:
-                if n.endswith(".py"):
-                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(package)))
-    sc.addPyFile(path)
-    sc._trackloom_shipped = True
+    ship(spark)
 
 
 def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
@@ -55,7 +44,7 @@ def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -75,7 +64,7 @@ class Scratch:
     """Tables of one run of an operator in the shared folder. They cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
+        prepare(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
