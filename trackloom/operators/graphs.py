@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trackloom.functions.scalar import finite
 from trackloom.operators import features as X
@@ -141,37 +140,38 @@ def numpy_graphs(df: DataFrame, config: GraphConfig, settings: Settings) -> Data
     possession_team_id, settings. The built-in columns come first, then the functions' in the order given.
     """
     d, names = node_table(prepared(df, config, settings), config, settings)
-    columns = [c for c in df.columns if c not in ("game_id", "period_id")]
     own_nodes = X.checked([f for f in config.node_functions if f.feature_style == "numpy"], "node")
     own_edges = X.checked([f for f in config.edge_functions if f.feature_style == "numpy"], "edge")
-    edge_schema = [f for f in config.by if f != "frame_id"]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind = np.where(pdf["team_id"] == settings.ball_id, 2, np.where(pdf["team_id"] == pdf["ball_owning_team_id"], -1, 0))
-        pdf = pdf.assign(_k=kind).sort_values(["_k", "id"], kind="stable")
-        n = len(pdf)
-        kw = {c: pdf[c].to_numpy() for c in columns if c in pdf}
-        axes = [c for c in "xyz" if c in pdf]
-        kw |= {"position": pdf[axes].to_numpy(float), "ball_id": settings.ball_id, "possession_team_id": pdf["ball_owning_team_id"].iloc[0], "settings": settings}
-        if "vx" in pdf:
-            kw["velocity"] = pdf[["vx", "vy", "vz"]].to_numpy(float)
-        ball = np.flatnonzero(pdf["team_id"] == settings.ball_id)
-        kw["ball_position"] = kw["position"][ball[0]] if len(ball) else np.full(len(axes), np.nan)
-        kw["is_gk"] = (pdf["position_name"] == "GK").to_numpy() if "position_name" in pdf else np.zeros(n, bool)
-        x = [pdf[names].to_numpy(float)]
+    columns = [c for c in d.columns if c not in config.by]
+    objects = F.array_sort(F.collect_list(F.struct(frames.graph_order(settings).alias("_o"), *columns)))
+    array_of = lambda c: F.transform("_n", lambda v: v[c])
+    # a frame is a row of arrays, so that many frames go to Python in one batch
+    packed = d.groupBy(*config.by).agg(objects.alias("_n")).select(*config.by, *(array_of(c).alias(c) for c in columns))
+    head = [c for c in config.by if c != "frame_id"]
+
+    def graph(r: dict) -> list:
+        kw = {c: np.asarray(r[c]) for c in columns}
+        n, team, own = len(kw["id"]), kw["team_id"], kw["ball_owning_team_id"]
+        kw["position"] = np.stack([kw[c].astype(float) for c in "xyz" if c in kw], 1)
+        kw |= {"ball_id": settings.ball_id, "possession_team_id": own[0], "settings": settings}
+        if "vx" in kw:
+            kw["velocity"] = np.stack([kw[c].astype(float) for c in ("vx", "vy", "vz")], 1)
+        is_ball = team == settings.ball_id
+        ball = np.flatnonzero(is_ball)
+        kw["ball_position"] = kw["position"][ball[0]] if len(ball) else np.full(kw["position"].shape[1], np.nan)
+        kw["is_gk"] = kw["position_name"] == "GK" if "position_name" in kw else np.zeros(n, bool)
+        x = [np.stack([kw[c].astype(float) for c in names], 1)]
         for f in own_nodes:
             v = np.asarray(f(**kw), float)
-            if v.shape[0] != n or v.ndim > 2:
+            if v.shape[:1] != (n,) or v.ndim > 2:
                 raise ValueError(f"node feature {f.__name__} must return (N,) or (N, k), not {v.shape}")
             x.append(v.reshape(n, -1))
-        team, own = pdf["team_id"].to_numpy(), pdf["ball_owning_team_id"].to_numpy()
-        is_ball, same = team == settings.ball_id, team[:, None] == team[None, :]
         att, dfn = team == own, (team != own) & ~is_ball
-        a = {pairs.DENSE: np.ones((n, n), bool), pairs.DENSE_AP: np.outer(att, att), pairs.DENSE_DP: np.outer(dfn, dfn), pairs.SPLIT_BY_TEAM: same}[config.adjacency]
-        carrier = pdf["is_ball_carrier"].to_numpy(bool) if "is_ball_carrier" in pdf else np.zeros(n, bool)
+        a = {pairs.DENSE: np.ones((n, n), bool), pairs.DENSE_AP: np.outer(att, att), pairs.DENSE_DP: np.outer(dfn, dfn), pairs.SPLIT_BY_TEAM: team[:, None] == team[None, :]}[config.adjacency]
         if config.connect == pairs.TO_BALL:
             a = a | is_ball[:, None] | is_ball[None, :]
         elif config.connect == pairs.TO_CARRIER:
+            carrier = kw["is_ball_carrier"].astype(bool)
             a = a | np.outer(is_ball, carrier) | np.outer(carrier, is_ball)
         e = []
         for f in own_edges:
@@ -182,16 +182,19 @@ def numpy_graphs(df: DataFrame, config: GraphConfig, settings: Settings) -> Data
                     raise ValueError(f"edge feature {f.__name__} must return (N, N), not {v.shape}")
                 e.append(v[a])
         x, e = np.nan_to_num(np.hstack(x)), np.nan_to_num(np.stack(e, 1)) if e else np.zeros((int(a.sum()), 0))
-        label = pdf[config.label_col].iloc[0]
-        row = {c: pdf[c].iloc[0] for c in edge_schema}
-        row |= {"x": x.tolist(), "e": e.tolist(), "a": a.astype(int).tolist(), "graph_id": pdf[config.graph_id_col].iloc[0], "label": None if pd.isna(label) else int(label), "frame_id": int(pdf["frame_id"].iloc[0])}
-        for k, m in (("x", x), ("e", e), ("a", a)):
-            row |= {f"{k}_shape_0": m.shape[0], f"{k}_shape_1": m.shape[1]}
-        row |= {"object_ids": [i or None for i in pdf["id"].astype(str)], "ball_owning_team_id": pdf["ball_owning_team_id"].iloc[0]}
-        return pd.DataFrame([row])
-
-    head = T.StructType([df.schema[c] for c in edge_schema]).simpleString()[7:-1].replace(":", " ")
-    return d.groupBy(*config.by).applyInPandas(one, f"{head}, {SCHEMA}" if edge_schema else SCHEMA)
+        label = r[config.label_col][0]
+        shapes = [k for m in (x, e, a) for k in m.shape]
+        ids = [str(i) or None if i is not None else None for i in r["id"]]
+        return [*(r[c] for c in head), x.tolist(), e.tolist(), a.astype(int).tolist(), *shapes, r[config.graph_id_col][0], None if pd.isna(label) else int(label), int(r["frame_id"]), ids, own[0]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = [*head, *(f.split()[0] for f in SCHEMA.split(", "))]
+        for pdf in batches:
+            rows = [graph(dict(zip(pdf.columns, r, strict=True))) for r in pdf.itertuples(index=False, name=None)]
+            yield pd.DataFrame(rows, columns=out).astype({"label": "Int64"})
+
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in head)
+    return packed.mapInPandas(run, kinds + SCHEMA)
 
 
 def dimensions(graphs: DataFrame) -> DataFrame:

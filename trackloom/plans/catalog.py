@@ -111,6 +111,28 @@ def s1_csv_scan(spark, sf_dir):
     return d.select(F.col("s_suppkey").alias("key"), "name", (F.col("balance") + 0.0).alias("balance"))
 
 
+@query("""SELECT event_id AS frame_id, 'g-' || CAST(user_id % 7 AS VARCHAR) AS game_id, CASE WHEN event_id % 2 = 1 THEN -1 ELSE 1 END * (value - 250) * (105.0::DOUBLE / 500) + 0.0 AS x,
+CASE WHEN event_id % 2 = 1 THEN -1 ELSE 1 END * (CAST(event_id % 100 AS DOUBLE) - 50) * (68.0::DOUBLE / 100) + 0.0 AS y FROM events""")
+def s6_centred(spark, sf_dir):
+    """Provider coordinates as metres from the centre, sides changed in one period; ids made from columns."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("frame_id"), scalar.dashed(F.lit("g"), F.col("user_id") % 7).alias("game_id"), (1 + F.col("event_id") % 2).alias("period_id"), F.col("value").alias("x"), (F.col("event_id") % 100).cast("double").alias("y"))
+    d = soccer.centred(e, 250, 50, 500, 100, SOCCER, flip_periods=(2,))
+    return d.select("frame_id", "game_id", (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y"))
+
+
+@query("""WITH p AS (SELECT user_id, list(event_id ORDER BY event_id) AS ids, list(event_id % 5 ORDER BY event_id) AS kinds FROM events GROUP BY user_id)
+SELECT user_id, len(ids) AS n, ids[1:3] IS NOT NULL AS has_slice, list_sum(ids[1:3])::BIGINT AS first_three, len(list_filter(kinds, lambda x: x <> 0)) AS nonzero, len(list_filter([0, 1, 2, 3, 4, 9], lambda x: NOT list_contains(kinds, x))) AS absent FROM p""")
+def f26_arrays(spark, sf_dir):
+    """Arrays in order, slices, nonzero elements and set differences."""
+    e = table(spark, sf_dir, "events")
+    p = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_id") % 5).alias("kind")))).alias("r"))
+    ids, kinds = F.transform("r", lambda x: x["event_id"]), F.transform("r", lambda x: x["kind"])
+    total = F.aggregate(F.slice(ids, 1, 3), F.lit(0).cast("long"), lambda a, x: a + x)
+    allowed = F.array(*(F.lit(k).cast("long") for k in (0, 1, 2, 3, 4, 9)))
+    n = lambda c: F.size(c).cast("long")
+    return p.select("user_id", n(ids).alias("n"), F.slice(ids, 1, 3).isNotNull().alias("has_slice"), total.alias("first_three"), n(F.filter(kinds, lambda x: x != 0)).alias("nonzero"), n(F.array_except(allowed, kinds)).alias("absent"))
+
+
 PLAYER = "SELECT c_custkey AS k, CAST(5 + c_custkey % 2 AS VARCHAR) || '-' || CAST(c_custkey % 12 AS VARCHAR) AS height, CAST(150 + c_custkey % 200 AS VARCHAR) AS weight FROM customer"
 FIELD = """f AS (SELECT CAST(o_orderkey AS BIGINT) AS gameid, CAST(o_custkey AS BIGINT) AS nflid, CASE WHEN o_orderkey % 2 = 0 THEN 'left' ELSE 'right' END AS way,
   CAST(o_orderkey * 7 % 1200 AS DOUBLE) / 10 AS x, CAST(o_orderkey * 11 % 533 AS DOUBLE) / 10 AS y, CAST(o_orderkey * 13 % 3600 AS DOUBLE) / 10 AS o, CAST(o_orderkey * 17 % 3600 AS DOUBLE) / 10 AS dir FROM orders)"""
@@ -431,6 +453,27 @@ def m6_dimensions(spark, sf_dir):
     return graphs.dimensions(graph_files.read_graphs(spark, path))
 
 
+@features.graph_feature("node", "numpy")
+def twice_the_speed(**kw):
+    return kw["v"] * 2
+
+
+@features.graph_feature("edge", "numpy")
+def gap(**kw):
+    p = kw["position"]
+    return ((p[:, None] - p[None]) ** 2).sum(-1) ** 0.5
+
+
+@query(f"""WITH {EDGE_PAIRS}, s AS (SELECT frame_id, sum(sqrt(dx * dx + dy * dy + dz * dz)) AS g FROM e GROUP BY frame_id), n AS (SELECT frame_id, sum(2 * v) AS v FROM t GROUP BY frame_id)
+SELECT frame_id, 16::BIGINT AS x_shape_1, 1::BIGINT AS e_shape_1, {q4("v")} AS speeds, {q4("g")} AS gaps FROM s JOIN n USING (frame_id)""")
+def v_own_features(spark, sf_dir):
+    """V1 V2 V3 V4 V5 V6: numpy features of one's own, called once per frame."""
+    config = graphs.GraphConfig(prediction=True, node_functions=(twice_the_speed,), edge_functions=(gap,))
+    g = graphs.build_graphs(frames.with_graph_ids(tracking(spark, sf_dir)), config, SOCCER)
+    total = lambda c, at: r4(F.aggregate(F.transform(c, lambda row: row[at]), F.lit(0.0), lambda a, x: a + x))
+    return g.select("frame_id", "x_shape_1", "e_shape_1", total("x", 15).alias("speeds"), total("e", 0).alias("gaps"))
+
+
 # --- pressing ---------------------------------------------------------------------------------------------------------
 
 RUN = f"""r AS (SELECT a.frame_id, a.id AS row_id, b.id AS column_id, a.v AS rv, b.v AS cv, b.is_ball_carrier AS carries, a.team_id AS rt, b.team_id AS ct, a.ball_owning_team_id AS own,
