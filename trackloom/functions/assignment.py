@@ -6,32 +6,45 @@ import numpy as np
 
 
 def assign(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in a match of least cost; rows must not outnumber columns. Shortest augmenting paths."""
+    """Column of each row in a match of least cost; rows must not outnumber columns.
+
+    Shortest augmenting paths with potentials. Plain lists: for a dozen rows they beat array calls several times.
+    """
     n, m = cost.shape
     if n > m:
         raise ValueError("more rows than columns")
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    match = np.zeros(m + 1, int)
-    for row in range(1, n + 1):
-        match[0], col = row, 0
-        best, used, back = np.full(m + 1, np.inf), np.zeros(m + 1, bool), np.zeros(m + 1, int)
+    rows = cost.tolist()
+    row_price, col_price = [0.0] * n, [0.0] * m
+    owner = [-1] * m  # row of each column
+    for start in range(n):
+        slack, via, done = [float("inf")] * m, [-1] * m, [False] * m
+        row, last = start, -1
         while True:
-            used[col] = True
-            i = match[col]
-            free = ~used[1:]
-            slack = cost[i - 1] - u[i] - v[1:]
-            closer = free & (slack < best[1:])
-            best[1:][closer], back[1:][closer] = slack[closer], col
-            nxt = 1 + int(np.where(free, best[1:], np.inf).argmin())
-            delta = best[nxt]
-            u[match[used]] += delta
-            v[used] -= delta
-            best[~used] -= delta
-            col = nxt
-            if not match[col]:
+            costs, base, step, nxt = rows[row], row_price[row], float("inf"), -1
+            for j in range(m):
+                if not done[j]:
+                    s = costs[j] - base - col_price[j]
+                    if s < slack[j]:
+                        slack[j], via[j] = s, last
+                    if slack[j] < step:
+                        step, nxt = slack[j], j
+            row_price[start] += step
+            for j in range(m):
+                if done[j]:
+                    row_price[owner[j]] += step
+                    col_price[j] -= step
+                else:
+                    slack[j] -= step
+            done[nxt], last = True, nxt
+            if owner[nxt] < 0:
                 break
-        while col:
-            match[col], col = match[back[col]], back[col]
-    out = np.zeros(n, int)
-    out[match[1:][match[1:] > 0] - 1] = np.flatnonzero(match[1:] > 0)
+            row = owner[nxt]
+        while last >= 0:
+            before = via[last]
+            owner[last] = owner[before] if before >= 0 else start
+            last = before
+    out = np.empty(n, int)
+    for j, i in enumerate(owner):
+        if i >= 0:
+            out[i] = j
     return out

@@ -111,20 +111,20 @@ def build_graphs(df: DataFrame, config: GraphConfig = GraphConfig(), settings: S
         F.array_sort(F.collect_list(F.struct(frames.graph_order(settings).alias("_o"), *keep, F.array(*names).alias("f")))).alias("_n"),
         *(F.min(c).alias(k) for k, c in first.items()),
     )
-    cells = packed.select(*config.by, F.posexplode("_n").alias("_i", "i"), "_n").select(*config.by, "_i", "i", F.posexplode("_n").alias("_j", "j"))
     functions = X.checked([f for f in config.edge_functions if f.feature_style == "columns"] or [X.football_edges if football else X.soccer_edges], "edge")
     edge = {k: v for f in functions for k, v in f(settings).items()}
-    on = pairs.connected(config.adjacency, config.connect, settings.ball_id, "is_ball_carrier" in d.columns)
-    cells = cells.withColumn("_a", F.when(F.coalesce(on, F.lit(False)), 1).otherwise(0))
-    cells = X.with_differences(cells, settings).withColumn("_f", F.when(F.col("_a") == 1, F.array(*(v.cast("double") for v in edge.values()))))
-    matrix = cells.groupBy(*config.by).agg(F.array_sort(F.collect_list(F.struct("_i", "_j", "_a", "_f"))).alias("_m"))
-    g = packed.join(matrix, list(config.by))
+    on = lambda i, j: F.coalesce(pairs.connected(config.adjacency, config.connect, settings.ball_id, "is_ball_carrier" in d.columns, i, j), F.lit(False))
+    bare = F.transform("_n", lambda v, k: F.struct(k.alias("row"), *(v[c].alias(c) for c in keep)))
+    cells = packed.select(*config.by, bare.alias("_n")).select(*config.by, "_n", F.explode("_n").alias("i")).select(*config.by, "i", F.explode("_n").alias("j")).where(on(F.col("i"), F.col("j")))
+    cells = X.with_differences(cells, settings).select(*config.by, F.struct(F.col("i.row").alias("i"), F.col("j.row").alias("j"), F.array(*(v.cast("double") for v in edge.values())).alias("f")).alias("_c"))
+    # frames are dealt already, so this and the join move no rows
+    edges = cells.groupBy(*config.by).agg(F.array_sort(F.collect_list("_c")).alias("_e"))
+    g = packed.join(edges, list(config.by), "left")
     n = F.size("_n")
-    row = lambda i: F.transform(F.slice("_m", i * n + 1, n), lambda c: c["_a"])
     g = g.withColumns({
         "x": F.transform("_n", lambda v: v["f"]),
-        "e": F.transform(F.filter("_m", lambda c: c["_a"] == 1), lambda c: c["_f"]),
-        "a": F.transform(F.sequence(F.lit(0), n - 1), row),
+        "e": F.coalesce(F.transform("_e", lambda c: c["f"]), F.array().cast("array<array<double>>")),
+        "a": F.transform("_n", lambda i: F.transform("_n", lambda j: F.when(on(i, j), 1).otherwise(0))),
         "object_ids": F.transform("_n", lambda v: F.nullif(v["id"].cast("string"), F.lit(""))),
         "ball_owning_team_id": F.element_at("_n", 1)["ball_owning_team_id"],
     })

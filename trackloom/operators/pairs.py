@@ -22,9 +22,13 @@ def pairs(df: DataFrame, by: list[str], order: Column, columns: list[str]) -> Da
     return p.select(*by, "objects", F.explode("objects").alias("i")).select(*by, "i", F.explode("objects").alias("j"))
 
 
-def connected(kind: str, connect: str, ball_id: str, carrier: bool = True) -> Column:
-    """Whether cell (i, j) of the adjacency matrix is 1. i and j have team_id, ball_owning_team_id, is_ball_carrier."""
-    ti, tj, own = F.col("i.team_id"), F.col("j.team_id"), F.col("i.ball_owning_team_id")
+def connected(kind: str, connect: str, ball_id: str, carrier: bool = True, i: Column | None = None, j: Column | None = None) -> Column:
+    """Whether cell (i, j) of the adjacency matrix is 1.
+
+    i and j are structs with team_id, ball_owning_team_id and is_ball_carrier; by default the columns of that name.
+    """
+    i, j = (F.col("i") if i is None else i), (F.col("j") if j is None else j)
+    ti, tj, own = i["team_id"], j["team_id"], i["ball_owning_team_id"]
     bi, bj = ti == ball_id, tj == ball_id
     if kind == DENSE:
         a = F.lit(True)
@@ -43,7 +47,7 @@ def connected(kind: str, connect: str, ball_id: str, carrier: bool = True) -> Co
     if connect == TO_CARRIER:
         if not carrier:
             raise NotImplementedError("ball_carrier connection needs a carrier column")
-        return a | (bi & F.col("j.is_ball_carrier")) | (bj & F.col("i.is_ball_carrier"))
+        return a | (bi & j["is_ball_carrier"]) | (bj & i["is_ball_carrier"])
     if connect == NO_CONNECTION:
         return a
     raise ValueError(f"no connection {connect!r}")
