@@ -54,7 +54,7 @@ class Centroids:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine (0 to 1) and whether it is too far from the centroid to be trusted."""
-        letters = np.array([t is not None and LETTER.search(t) is not None for t in texts], bool)
+        letters = np.array([t is not None and any(m[0].isalpha() for m in LETTER.finditer(t)) for t in texts], bool)
         if not len(self.langs):
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         sim = vectors(counts(texts), self.idf) @ self.centers.T
