@@ -145,12 +145,12 @@ def heavy_places(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndar
 
 
 def prefixes(docs: DataFrame, heavy, percent: int) -> DataFrame:
-    """(doc_id, n, sig_a, sig_b, tokens): set size, a digest of the set, and its first shingles in the global order,
-    of which a set that is similar enough must have at least one."""
+    """(doc_id, n, sig_a, sig_b, tokens, cold): set size, a digest of the set, and its first shingles in the global
+    order, of which a set that is similar enough must have at least one; so many of them are not heavy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, sets in pieces(batches, 1):
-            sizes, sig, flat, lengths = [len(s) for s in sets], np.zeros((len(sets), 2), np.int64), [], []
+            sizes, sig, flat, lengths, cold = [len(s) for s in sets], np.zeros((len(sets), 2), np.int64), [], [], []
             places = heavy_places(np.concatenate(sets), heavy.value)
             at = 0
             for k, s in enumerate(sets):
@@ -162,15 +162,16 @@ def prefixes(docs: DataFrame, heavy, percent: int) -> DataFrame:
                 want = n - (percent * n + 99) // 100 + 1 if n else 0
                 is_heavy = place >= 0
                 got = s[~is_heavy][:want]
+                cold.append(len(got))
                 if len(got) < want:
                     h = s[is_heavy]
                     got = np.r_[got, h[np.argsort(place[is_heavy])][: want - len(got)]]
                 flat.append(got)
                 lengths.append(len(got))
             tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(np.concatenate(flat).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([p.column(0), pa.array(sizes, pa.int64()), pa.array(sig[:, 0]), pa.array(sig[:, 1]), tokens], ["doc_id", "n", "sig_a", "sig_b", "tokens"])
+            yield pa.RecordBatch.from_arrays([p.column(0), pa.array(sizes, pa.int64()), pa.array(sig[:, 0]), pa.array(sig[:, 1]), tokens, pa.array(cold, pa.int64())], ["doc_id", "n", "sig_a", "sig_b", "tokens", "cold"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, sig_a long, sig_b long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, sig_a long, sig_b long, tokens array<long>, cold long")
 
 
 def segments(docs: DataFrame, heavy) -> DataFrame:
@@ -240,9 +241,10 @@ def near_groups(scratch: Scratch, documents: DataFrame, percent: int = PERCENT)
     Two sets link if 100 * intersection >= percent * union. Sets without shingles link with nothing. Equal sets are
     one entity, so copies are never paired. Shingles have one global order: the rare by hash, then the heavy by count.
     A pair that links shares a shingle among the first ones of both, and is found in that shingle's bucket. First each
-    bucket's members are paired with its first member only; documents that these links join need no pairing among
-    themselves. Then every pair of a bucket whose members are still apart is tried, if the places and the number of
-    common shingles at the beginnings of both allow a link. A pair's overlap is counted in each fragment of the order and summed.
+    bucket's members are paired with one member only, the one with the fewest rarer shingles, as an original has fewer
+    of its own than its altered copies; documents that these links join need no pairing among themselves. Then every
+    pair of a bucket whose members are still apart is tried, if the places and the number of common shingles at the
+    beginnings of both allow a link. A pair's overlap is counted in each fragment of the order and summed.
 
     Null text has no words. A row with a null doc_id gets a null component and links with nothing. doc_id names a
     document: rows may repeat, but not with other text. An empty table gives an empty result.
@@ -256,11 +258,17 @@ def near_groups(scratch: Scratch, documents: DataFrame, percent: int = PERCENT)
     copies = whole.where(has).groupBy(*sig).agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1").select(*sig, "least")
     copies = scratch.save(copies, "copies")
     joined = lookup(whole, copies, sig, "left").withColumn("e", F.when(has, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")))
-    entries = joined.where(has & (F.col("e") == F.col("doc_id"))).select("e", "n", F.posexplode("tokens").alias("p", "t"))
-    by = Window.partitionBy("t")
-    first = F.first(F.struct("e", "n", "p")).over(by.orderBy("e").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.lead("e").over(by.orderBy("e"))
-    bucket = entries.withColumns({"first": first, "after": after}).where((F.col("first.e") != F.col("e")) | F.col("after").isNotNull()).drop("after")
+    entries = joined.where(has & (F.col("e") == F.col("doc_id"))).select("e", "n", "cold", F.posexplode("tokens").alias("p", "t"))
+    entries = entries.withColumn("heavy", F.col("p") >= F.col("cold")).drop("cold")
+    by = Window.partitionBy("t").orderBy("p", "e")
+    first = F.first(F.struct("p", "e", "n")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rare = entries.where(~F.col("heavy")).withColumns({"first": first, "after": F.lead("e").over(by)})
+    rare = rare.where((F.col("first.e") != F.col("e")) | F.col("after").isNotNull()).drop("after")
+    # a heavy shingle's bucket can hold a share of all documents: its first member comes from partial minima, and a
+    # join, whose large partitions Spark splits, brings it to the others
+    many = entries.where("heavy")
+    heads = many.groupBy("t").agg(F.min(F.struct("p", "e", "n")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    bucket = rare.unionByName(many.join(heads, "t")).drop("heavy")
     bucket = scratch.save(bucket, "buckets")
     narrow = scratch.save(joined.select("doc_id", F.col("n").alias("n_shingles"), "e"), "narrow")
     scratch.drop("copies")
