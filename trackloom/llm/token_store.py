@@ -24,7 +24,7 @@ BLOCK_IDS = 1 << 16
 #: A file ends at the first document that brings it to this many ids; a document is never split over files.
 FILE_IDS = 1 << 21
 #: Distinct chunks whose ids a task remembers.
-MEMORY = 500_000
+MEMORY = 800_000
 #: Chunks of letters that are encoded as one line.
 LINE = 64
 
