@@ -288,6 +288,18 @@ def test_mix_edges(spark):
         mixing.mix(spark.createDataFrame([(i, f"s{i}") for i in range(5)], kind), period=3)
 
 
+def test_clashing_columns(spark):
+    """Result columns of the same name are replaced, other columns stay."""
+    d = spark.createDataFrame([(1, "la lo", "aa", "s"), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+    d = d.withColumns({c: F.lit("old") for c in ("_s", "_k", "mix_slot", "items", "n_words", "score", "rejected", "range", "t")})
+    b = spark.createDataFrame([(1, "la lo")], "item_id long, text string")
+    mixed, found = mixing.mix(d).collect(), decontaminate.contaminated_spans(d, b).collect()
+    model = toxicity.train(d, spark.createDataFrame([], "doc_id long, toxic int"))
+    scored, known = toxicity.score(d, model).collect(), language.identify(d, language.train(d)).collect()
+    assert all(r["_s"] == r["_k"] == r["t"] == "old" for rows_ in (mixed, found, scored, known) for r in rows_)
+    assert sorted(r.mix_slot for r in mixed) == [0, 1] and sorted(r.n_words for r in found) == [0, 2] and all(0 <= r.score <= 1 for r in [*scored, *known])
+
+
 # --- archive ----------------------------------------------------------------------------------------------------------
 
 PAGE = "page_id long, url string, html string"

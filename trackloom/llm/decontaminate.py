@@ -107,6 +107,7 @@ def search_shard(docs: list[np.ndarray], windows: Windows) -> tuple[np.ndarray,
     return doc[first], start[first] - base[doc[first]], stop[last] - base[doc[first]], items // len(windows.ids), items % len(windows.ids)
 
 
+NEW = ["n_words", "span_start", "span_stop", "items"]
 RESULT = "n_words long, span_start array<long>, span_stop array<long>, items array<string>"
 
 
@@ -114,14 +115,15 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """Add to each row of ``docs`` (any columns and text) what windows of ``benchmark`` (item_id, text) occur in it.
 
     New columns: n_words; span_start and span_stop, the removal spans in words (merged, ascending, stop exclusive);
-    items, the ids of items with an occurring window as strings in string order. Words are runs of ASCII letters,
+    items, the ids of items with an occurring window as strings in string order. Columns of these names in ``docs`` are
+    replaced. Words are runs of ASCII letters,
     digits and all non-ASCII characters, A-Z lower-cased. A window is ``window`` consecutive words of an item, or all
     its words if it has fewer. Null and wordless texts have no words and match nothing. A null item id is ``null``.
     With ``remove``, text comes without the bytes from each span's first word to its last.
     The benchmark must fit the driver; blocks of it of at most ``block_bytes`` are broadcast, and each shard of the
     corpus is searched for every block.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop(*NEW)
     blocks, held, size = [], [], 0
     for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         held.append((r[0], r[1]))
@@ -164,7 +166,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 pa.array([sorted(x) for x in items], pa.list_(pa.string())),
             ]
             cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks == 1 else c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols]
-            return pa.RecordBatch.from_arrays(cols, [*names, "n_words", "span_start", "span_stop", "items"])
+            return pa.RecordBatch.from_arrays(cols, [*names, *NEW])
 
         rows, parts, n_words, symbols, total = [], [[] for _ in all_windows], [], 0, 0
         for batch in batches:

@@ -128,11 +128,13 @@ def train(documents: DataFrame) -> Centroids:
 
 
 def identify(documents: DataFrame, model: Centroids) -> DataFrame:
-    """Add lang_pred, score and rejected to rows with ``text``; nothing else of a row is looked at.
+    """Add lang_pred, score and rejected to rows with ``text``; nothing else of a row is looked at. Columns of
+    these names are replaced.
 
     lang_pred is a learned language, or ``und`` for null texts and those without a letter (score 0, rejected). A text
     that is too far from its centroid keeps its nearest language, and is ``rejected``.
     """
+    documents = documents.drop("lang_pred", "score", "rejected")
     shared = documents.sparkSession.sparkContext.broadcast(model)
     names = documents.columns
     at = names.index("text")

@@ -17,6 +17,7 @@ BLOCK_ROWS = 16
 PERIOD = 1000
 #: Exponent of a source's row count in its weight where no weights are given: between equal (0) and natural (1).
 TEMPERATURE = 0.5
+NEW = ["mix_block", "mix_row", "mix_phase", "mix_release", "mix_deadline", "mix_slot"]
 #: Hash buckets in which the rows of one source are numbered, so that a hot source is spread over tasks.
 RANK_BUCKETS = 1024
 
@@ -98,16 +99,17 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
 
     New columns: mix_block (number of the row's block in its source), mix_row (place in the block), mix_phase,
     mix_release and mix_deadline (slots within the phase), mix_slot (the block's slot in the whole schedule). Rows
-    in order of (mix_slot, mix_row) are the mixed corpus. Rows of a source are first put in hash order. A null source
+    in order of (mix_slot, mix_row) are the mixed corpus. Columns of these names in ``docs`` are replaced. Rows of a source are first put in hash order. A null source
     is a source of its own. ``weights`` names target weights by source and must have every source; without it a
     source's weight is its row count to the power ``temperature``. Only counts per source reach the driver; there can
     be ``period`` sources at most. Repeated rows are all placed; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    d = docs.withColumns({"_s": unit_key(F.col("source")), "_h": F.xxhash64("doc_id", F.lit(29))})
-    d = d.withColumn("_b", F.pmod("_h", F.lit(RANK_BUCKETS)).cast("int"))
-    cells = d.groupBy("_s", "_b").agg(F.count("*").alias("n"))
-    counts = {r["_s"]: r["n"] for r in cells.groupBy("_s").agg(F.sum("n").alias("n")).limit(period + 1).collect()}
+    docs = docs.drop(*NEW)
+    d = docs.withColumns({"_mix_s": unit_key(F.col("source")), "_mix_h": F.xxhash64("doc_id", F.lit(29))})
+    d = d.withColumn("_mix_b", F.pmod("_mix_h", F.lit(RANK_BUCKETS)).cast("int"))
+    cells = d.groupBy("_mix_s", "_mix_b").agg(F.count("*").alias("n"))
+    counts = {r["_mix_s"]: r["n"] for r in cells.groupBy("_mix_s").agg(F.sum("n").alias("n")).limit(period + 1).collect()}
     if len(counts) > period:
         raise ValueError(f"over {period} sources: group them first, or give a longer period")
     if weights is None:
@@ -120,21 +122,21 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     whole = whole_weights(share, period) if share else {}
     phases, slots = schedule(whole, {s: -(-n // block_rows) for s, n in counts.items()})
     starts = [(s, whole[s], [p["first"][s] for p in phases if s in p["first"]], [p["start"] for p in phases if s in p["first"]], [p["period"] for p in phases if s in p["first"]]) for s in counts]
-    starts = spark.createDataFrame(starts, "_s string, _w bigint, _firsts array<bigint>, _starts array<bigint>, _periods array<bigint>")
-    slots_df = spark.createDataFrame(slots, "mix_phase int, _s string, _k bigint, _i bigint")
-    offsets = cells.select("_s", "_b", (F.sum("n").over(Window.partitionBy("_s").orderBy("_b")) - F.col("n")).alias("_off"))
-    ranked = d.withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", "doc_id")) - 1)
-    ranked = ranked.join(F.broadcast(offsets), ["_s", "_b"])  # at most period x RANK_BUCKETS rows
-    at = F.col("_off") + F.col("_r")
+    starts = spark.createDataFrame(starts, "_mix_s string, _mix_w bigint, _mix_firsts array<bigint>, _mix_starts array<bigint>, _mix_periods array<bigint>")
+    slots_df = spark.createDataFrame(slots, "mix_phase int, _mix_s string, _mix_k bigint, _mix_i bigint")
+    offsets = cells.select("_mix_s", "_mix_b", (F.sum("n").over(Window.partitionBy("_mix_s").orderBy("_mix_b")) - F.col("n")).alias("_mix_off"))
+    ranked = d.withColumn("_mix_r", F.row_number().over(Window.partitionBy("_mix_s", "_mix_b").orderBy("_mix_h", "doc_id")) - 1)
+    ranked = ranked.join(F.broadcast(offsets), ["_mix_s", "_mix_b"])  # at most period x RANK_BUCKETS rows
+    at = F.col("_mix_off") + F.col("_mix_r")
     x = ranked.withColumns({"mix_block": F.floor(at / block_rows).cast("long"), "mix_row": (at % block_rows).cast("int")})
-    x = x.join(F.broadcast(starts), "_s")  # at most period rows
-    x = x.withColumn("mix_phase", F.size(F.filter("_firsts", lambda f: f <= F.col("mix_block"))) - 1)
+    x = x.join(F.broadcast(starts), "_mix_s")  # at most period rows
+    x = x.withColumn("mix_phase", F.size(F.filter("_mix_firsts", lambda f: f <= F.col("mix_block"))) - 1)
     pick = lambda c: F.element_at(c, F.col("mix_phase") + 1)
-    x = x.withColumns({"_n": F.col("mix_block") - pick("_firsts"), "_p": pick("_periods"), "_t": pick("_starts")})
-    x = x.withColumns({"_k": F.expr("_n % _w"), "_turn": F.expr("_n div _w")})
-    x = x.join(F.broadcast(slots_df) if len(slots) <= BROADCAST_ROWS else slots_df, ["mix_phase", "_s", "_k"])
+    x = x.withColumns({"_mix_n": F.col("mix_block") - pick("_mix_firsts"), "_mix_p": pick("_mix_periods"), "_mix_t": pick("_mix_starts")})
+    x = x.withColumns({"_mix_k": F.expr("_mix_n % _mix_w"), "_mix_turn": F.expr("_mix_n div _mix_w")})
+    x = x.join(F.broadcast(slots_df) if len(slots) <= BROADCAST_ROWS else slots_df, ["mix_phase", "_mix_s", "_mix_k"])
     return x.withColumns({
-        "mix_release": F.expr("(_n * _p) div _w"),
-        "mix_deadline": F.expr("((_n + 1) * _p + _w - 1) div _w"),
-        "mix_slot": F.expr("_t + _turn * _p + _i"),
-    }).drop("_s", "_h", "_b", "_r", "_off", "_w", "_firsts", "_starts", "_periods", "_n", "_p", "_t", "_k", "_turn", "_i")
+        "mix_release": F.expr("(_mix_n * _mix_p) div _mix_w"),
+        "mix_deadline": F.expr("((_mix_n + 1) * _mix_p + _mix_w - 1) div _mix_w"),
+        "mix_slot": F.expr("_mix_t + _mix_turn * _mix_p + _mix_i"),
+    }).drop("_mix_s", "_mix_h", "_mix_b", "_mix_r", "_mix_off", "_mix_w", "_mix_firsts", "_mix_starts", "_mix_periods", "_mix_n", "_mix_p", "_mix_t", "_mix_k", "_mix_turn", "_mix_i")

@@ -150,8 +150,9 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """Add ``score`` to rows that have ``text``; it looks at nothing else. Null text is scored as empty."""
-    spark = documents.sparkSession
+    """Add ``score`` to rows that have ``text``; it looks at nothing else. Null text is scored as empty; a column
+    ``score`` is replaced."""
+    spark, documents = documents.sparkSession, documents.drop("score")
     shared = spark.sparkContext.broadcast(model)
     names = documents.columns
     at = names.index("text")
