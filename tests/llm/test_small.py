@@ -288,6 +288,32 @@ def test_mix_edges(spark):
         mixing.mix(spark.createDataFrame([(i, f"s{i}") for i in range(5)], kind), period=3)
 
 
+@pytest.mark.parametrize("n", [20, 1500])
+def test_mix_holds_the_given_weights(spark, n):
+    """Against the weights as given, not as rounded; more sources than PERIOD has parts."""
+    weights = {f"s{i}": 0.7 * n if i == 0 else 1 + i / 7 % 0.9 for i in range(n)}
+    data = [(i, "s0") for i in range(1500)] + [(10_000 + i, f"s{1 + i % (n - 1)}") for i in range(3 * n)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, source string"), weights, block_rows=1).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter(data)
+    order = sorted((r.mix_slot, r.mix_phase, r.source) for r in got)
+    assert [slot for slot, _, _ in order] == list(range(len(data)))
+    total, ran = sum(weights.values()), Counter()
+    for slot, phase, s in order:
+        if phase:
+            break
+        ran[s] += 1
+        assert all(abs(ran[x] - weights[x] / total * (slot + 1)) < 1 + 1e-9 for x in (s, "s0"))
+    assert sum(ran.values()) > 20 and all(abs(ran[x] - w / total * sum(ran.values())) < 1 + 1e-9 for x, w in weights.items())
+
+
+def test_whole_weights_round_plainly():
+    for n in (20, 200, 500):
+        got = mixing.whole_weights({"a": n - 1} | {f"s{i}": 1 for i in range(n - 1)})
+        assert sum(got.values()) == 1000 and abs(got["a"] - 500) <= 1
+    assert mixing.whole_weights({"a": 1e9, "b": 1, "c": 1}, 10) == {"a": 8, "b": 1, "c": 1}
+    assert mixing.whole_weights({"a": 1, "b": 1, "c": 1}, 3) == {"a": 1, "b": 1, "c": 1}
+
+
 def test_clashing_columns(spark):
     """Result columns of the same name are replaced, other columns stay."""
     d = spark.createDataFrame([(1, "la lo", "aa", "s"), (2, None, None, None)], "doc_id long, text string, lang string, source string")

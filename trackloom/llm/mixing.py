@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from array import array
+from collections.abc import Iterable, Iterator, Mapping
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,23 +17,44 @@ from trackloom.llm.common import BROADCAST_ROWS, unit_key
 
 #: Rows of a block, the unit that is scheduled.
 BLOCK_ROWS = 16
-#: Target weights are whole parts of this many.
+#: Parts to which ``whole_weights`` rounds where no other number is given.
 PERIOD = 1000
 #: Exponent of a source's row count in its weight where no weights are given: between equal (0) and natural (1).
 TEMPERATURE = 0.5
+#: Blocks of a source whose places are one row of the schedule's table, and blocks up to which that table is broadcast.
+PACK = 256
+BROADCAST_BLOCKS = 2_000_000
 NEW = ["mix_block", "mix_row", "mix_phase", "mix_release", "mix_deadline", "mix_slot"]
 #: Hash buckets in which the rows of one source are numbered, so that a hot source is spread over tasks.
 RANK_BUCKETS = 1024
 
 
+def exact_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    """Weights as whole numbers in exactly the same proportions; a float stands for the decimal it prints as."""
+    parts = {s: Fraction(repr(float(w))) for s, w in weights.items()}
+    if any(w <= 0 for w in parts.values()):
+        raise ValueError("weights must be positive")
+    scale = math.lcm(*(w.denominator for w in parts.values()))
+    whole = {s: w.numerator * (scale // w.denominator) for s, w in parts.items()}
+    common = math.gcd(*whole.values()) or 1
+    return {s: w // common for s, w in whole.items()}
+
+
 def whole_weights(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Weights as positive whole numbers that add up to ``period`` (largest remainders; at least 1 each)."""
-    if len(weights) > period or any(w <= 0 for w in weights.values()):
-        raise ValueError("weights must be positive, and no more sources than the period has parts")
-    total, spare = sum(weights.values()), period - len(weights)
-    exact = {s: w / total * spare for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
+    """Weights rounded to positive whole numbers that add up to ``period``, by largest remainders.
+
+    A source whose share is below one part gets 1; the others split the rest.
+    """
+    if len(weights) > period:
+        raise ValueError("no more sources than the period has parts")
+    rest, out = exact_weights(weights), {}
+    while small := [s for s in rest if rest[s] * (period - len(out)) < sum(rest.values())]:
+        # a share that has become small only by the others' least parts gets its own next
+        out |= dict.fromkeys(small, 1)
+        rest = {s: w for s, w in rest.items() if s not in out}
+    spare, total = period - len(out), sum(rest.values())
+    out |= {s: w * spare // total for s, w in rest.items()}
+    for s in sorted(rest, key=lambda s: (-(rest[s] * spare % total), s))[: period - sum(out.values())]:
         out[s] += 1
     return out
 
@@ -39,79 +64,104 @@ def windows(weight: int, period: int, block: int) -> tuple[int, int]:
     return block * period // weight, -(-(block + 1) * period // weight)
 
 
-def one_period(weights: Mapping[str, int]) -> list[tuple[str, int]]:
-    """(source, block) of each slot of one period, earliest deadline first among the released; ties by source.
+def earliest_first(order: Iterable[str], weights: Mapping[str, int], period: int) -> Iterator[tuple[str, int, int, int]]:
+    """(source, block, release, deadline) of slot after slot without end: earliest deadline first among the released.
 
-    The period is the sum of the weights. After it every source has had exactly its weight, so it repeats.
+    ``order`` has the sources by falling weight, which also breaks ties, and ``period`` is the sum of their weights.
+    It is read only as far as sources get their first turn.
     """
-    period = sum(weights.values())
-    waiting = [(0, s, 0) for s in sorted(weights)]
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(period):
+    fresh = iter(order)
+    head = next(fresh, None)
+    waiting: list[tuple[int, str, int]] = []
+    ready: list[tuple[int, int, str, int]] = []
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
             _, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (windows(weights[s], period, k)[1], s, k))
-        deadline, s, k = heapq.heappop(ready)
+            heapq.heappush(ready, (windows(weights[s], period, k)[1], -weights[s], s, k))
+        first = None if head is None else (windows(weights[head], period, 0)[1], -weights[head], head, 0)
+        if first and (not ready or first < ready[0]):
+            (deadline, _, s, k), head = first, next(fresh, None)
+        else:
+            deadline, _, s, k = heapq.heappop(ready)
         assert slot < deadline
-        out.append((s, k))
-        if k + 1 < weights[s]:
-            heapq.heappush(waiting, (windows(weights[s], period, k + 1)[0], s, k + 1))
-    return out
+        yield s, k, k * period // weights[s], deadline
+        heapq.heappush(waiting, ((k + 1) * period // weights[s], s, k + 1))
+        slot += 1
+
 
+def falling(weights: Mapping[str, int]) -> list[str]:
+    return sorted(weights, key=lambda s: (-weights[s], s))
 
-def schedule(weights: Mapping[str, int], blocks: Mapping[str, int]) -> tuple[list[dict], list[tuple]]:
-    """Phases, and the slots of each phase's period, until every source has run all its ``blocks``.
+
+def one_period(weights: Mapping[str, int]) -> list[tuple[str, int]]:
+    """(source, block) of each slot of the first period, the sum of the weights. Then every source has had its weight."""
+    period = sum(weights.values())
+    turns = earliest_first(falling(weights), weights, period)
+    return [next(turns)[:2] for _ in range(period)]
+
+
+def schedule(weights: Mapping[str, int], blocks: Mapping[str, int]) -> dict[str, tuple[array, array, array, array]]:
+    """Phase, release, deadline and slot of every block of each source, until every source has run all its ``blocks``.
 
     A phase ends when a source has run its last block; the rest go on with the same weights, which then are larger
-    shares. In a phase every source is less than one block from its share at every slot.
+    shares. In a phase every source is less than one block from its exact share at every slot. Releases and deadlines
+    count from the phase's start. The time is in proportion to the blocks, and 28 bytes are kept of each.
     """
     left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    phases, slots, start = [], [], 0
+    out = {s: (array("i"), array("q"), array("q"), array("q")) for s in left}
+    order, period = falling({s: weights[s] for s in left}), sum(weights[s] for s in left)
+    phase = slot = 0
     while left:
-        active = {s: weights[s] for s in left}
-        period = sum(active.values())
-        order = one_period(active)
-        for i, (s, k) in enumerate(order):
-            slots.append((len(phases), s, k, i))
-        turns = min(left[s] // active[s] for s in left)
-        ran = {s: turns * active[s] for s in left}
-        length = turns * period
-        if all(left[s] > ran[s] for s in left):
-            for s, _ in order:
-                ran[s] += 1
-                length += 1
-                if ran[s] == left[s]:
-                    break
-        phases.append({"start": start, "period": period, "first": {s: done[s] for s in left}})
-        start += length
-        for s in list(left):
-            done[s] += ran[s]
-            left[s] -= ran[s]
+        for s, _, release, deadline in earliest_first((s for s in order if s in left), weights, period):
+            for column, value in zip(out[s], (phase, release, deadline, slot), strict=True):
+                column.append(value)
+            slot += 1
+            left[s] -= 1
             if not left[s]:
-                del left[s]
-    return phases, slots
+                break
+        del left[s]
+        period -= weights[s]
+        phase += 1
+        if 2 * len(left) < len(order):
+            order = [s for s in order if s in left]
+    return out
+
+
+def packed(places: Mapping[str, tuple[array, array, array, array]]) -> pa.Table:
+    """The schedule in rows of up to PACK blocks of a source: _mix_s, _mix_c (number of the row), and an array per column."""
+    cuts = [(s, c) for s, columns in places.items() for c in range(-(-len(columns[0]) // PACK))]
+    names = ("mix_phase", "mix_release", "mix_deadline", "mix_slot")
+    ends = [0]
+    for s, c in cuts:
+        ends.append(ends[-1] + min(PACK, len(places[s][0]) - c * PACK))
+    lists = {}
+    for k, name in enumerate(names):
+        flat = array("i" if k == 0 else "q")
+        for columns in places.values():
+            flat.extend(columns[k])
+        lists[f"_{name}"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(memoryview(flat), pa.int32() if k == 0 else pa.int64()))
+    return pa.table({"_mix_s": pa.array([s for s, _ in cuts], pa.string()), "_mix_c": pa.array([c for _, c in cuts], pa.int64()), **lists})
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, temperature: float = TEMPERATURE) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """Add to every row of ``docs`` (doc_id, source, ...) its place in the mix; no row is left out or repeated.
 
     New columns: mix_block (number of the row's block in its source), mix_row (place in the block), mix_phase,
     mix_release and mix_deadline (slots within the phase), mix_slot (the block's slot in the whole schedule). Rows
     in order of (mix_slot, mix_row) are the mixed corpus. Columns of these names in ``docs`` are replaced. Rows of a source are first put in hash order. A null source
     is a source of its own. ``weights`` names target weights by source and must have every source; without it a
-    source's weight is its row count to the power ``temperature``. Only counts per source reach the driver; there can
-    be ``period`` sources at most. Repeated rows are all placed; an empty table gives an empty result.
+    source's weight is its row count to the power ``temperature``. Weights hold exactly, or rounded to parts of
+    ``period`` if that is given, with so many sources at most. Counts per source and 28 bytes a block are held by the
+    driver. Repeated rows are all placed; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.drop(*NEW)
     d = docs.withColumns({"_mix_s": unit_key(F.col("source")), "_mix_h": F.xxhash64("doc_id", F.lit(29))})
     d = d.withColumn("_mix_b", F.pmod("_mix_h", F.lit(RANK_BUCKETS)).cast("int"))
     cells = d.groupBy("_mix_s", "_mix_b").agg(F.count("*").alias("n"))
-    counts = {r["_mix_s"]: r["n"] for r in cells.groupBy("_mix_s").agg(F.sum("n").alias("n")).limit(period + 1).collect()}
-    if len(counts) > period:
-        raise ValueError(f"over {period} sources: group them first, or give a longer period")
+    found = cells.groupBy("_mix_s").agg(F.sum("n").alias("n"), F.count("*").alias("cells")).collect()
+    counts = {r["_mix_s"]: r["n"] for r in found}
     if weights is None:
         share = {s: float(n) ** temperature for s, n in counts.items()}
     else:
@@ -119,24 +169,15 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
         if missing := set(counts) - set(named):
             raise ValueError(f"no weight for {sorted(missing)}")
         share = {s: named[s] for s in counts}
-    whole = whole_weights(share, period) if share else {}
-    phases, slots = schedule(whole, {s: -(-n // block_rows) for s, n in counts.items()})
-    starts = [(s, whole[s], [p["first"][s] for p in phases if s in p["first"]], [p["start"] for p in phases if s in p["first"]], [p["period"] for p in phases if s in p["first"]]) for s in counts]
-    starts = spark.createDataFrame(starts, "_mix_s string, _mix_w bigint, _mix_firsts array<bigint>, _mix_starts array<bigint>, _mix_periods array<bigint>")
-    slots_df = spark.createDataFrame(slots, "mix_phase int, _mix_s string, _mix_k bigint, _mix_i bigint")
+    whole = exact_weights(share) if period is None else whole_weights(share, period) if share else {}
+    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+    places = spark.createDataFrame(packed(schedule(whole, blocks)))
     offsets = cells.select("_mix_s", "_mix_b", (F.sum("n").over(Window.partitionBy("_mix_s").orderBy("_mix_b")) - F.col("n")).alias("_mix_off"))
     ranked = d.withColumn("_mix_r", F.row_number().over(Window.partitionBy("_mix_s", "_mix_b").orderBy("_mix_h", "doc_id")) - 1)
-    ranked = ranked.join(F.broadcast(offsets), ["_mix_s", "_mix_b"])  # at most period x RANK_BUCKETS rows
+    ranked = ranked.join(F.broadcast(offsets) if sum(r["cells"] for r in found) <= 2 * BROADCAST_ROWS else offsets, ["_mix_s", "_mix_b"])
     at = F.col("_mix_off") + F.col("_mix_r")
     x = ranked.withColumns({"mix_block": F.floor(at / block_rows).cast("long"), "mix_row": (at % block_rows).cast("int")})
-    x = x.join(F.broadcast(starts), "_mix_s")  # at most period rows
-    x = x.withColumn("mix_phase", F.size(F.filter("_mix_firsts", lambda f: f <= F.col("mix_block"))) - 1)
-    pick = lambda c: F.element_at(c, F.col("mix_phase") + 1)
-    x = x.withColumns({"_mix_n": F.col("mix_block") - pick("_mix_firsts"), "_mix_p": pick("_mix_periods"), "_mix_t": pick("_mix_starts")})
-    x = x.withColumns({"_mix_k": F.expr("_mix_n % _mix_w"), "_mix_turn": F.expr("_mix_n div _mix_w")})
-    x = x.join(F.broadcast(slots_df) if len(slots) <= BROADCAST_ROWS else slots_df, ["mix_phase", "_mix_s", "_mix_k"])
-    return x.withColumns({
-        "mix_release": F.expr("(_mix_n * _mix_p) div _mix_w"),
-        "mix_deadline": F.expr("((_mix_n + 1) * _mix_p + _mix_w - 1) div _mix_w"),
-        "mix_slot": F.expr("_mix_t + _mix_turn * _mix_p + _mix_i"),
-    }).drop("_mix_s", "_mix_h", "_mix_b", "_mix_r", "_mix_off", "_mix_w", "_mix_firsts", "_mix_starts", "_mix_periods", "_mix_n", "_mix_p", "_mix_t", "_mix_k", "_mix_turn", "_mix_i")
+    x = x.withColumn("_mix_c", F.expr(f"mix_block div {PACK}"))
+    x = x.join(F.broadcast(places) if sum(blocks.values()) <= BROADCAST_BLOCKS else places, ["_mix_s", "_mix_c"])
+    x = x.withColumns({c: F.element_at(f"_{c}", (F.col("mix_block") % PACK + 1).cast("int")) for c in NEW[2:]})
+    return x.drop("_mix_s", "_mix_h", "_mix_b", "_mix_r", "_mix_off", "_mix_c", *(f"_{c}" for c in NEW[2:]))
