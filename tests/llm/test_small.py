@@ -227,6 +227,14 @@ def test_shards(spark, scratch, docs):
     assert sum(len(v) > 1 for v in spread.values()) <= 8, "groups are cut only where a shard needs it"
 
 
+def test_shards_hold_the_documents(spark, scratch, docs):
+    d = docs.select("doc_id", "text", F.col("doc_id").alias("shard"), F.lit("x").alias("h"))
+    got = sharding.shard_documents(scratch, d).collect()
+    kept = spark.read.parquet(scratch.path("shards")).select("document.*", F.col("shard").alias("at"), "slot").collect()
+    assert Counter(tuple(r)[:4] for r in kept) == Counter(map(tuple, d.collect()))
+    assert Counter((r.doc_id, r["at"], r.slot, len((r.text or "").encode()) + 1) for r in kept) == Counter((r.doc_id, r.shard, r.slot, r["size"]) for r in got)
+
+
 def test_shards_few_rows(spark, scratch):
     assert rows(sharding.shard_documents(scratch, spark.createDataFrame([], DOC))) == []
     got = sharding.shard_documents(scratch, spark.createDataFrame([(1, None), (None, "a"), (1, None)], DOC).withColumn("shard", F.lit(1))).collect()

@@ -182,10 +182,16 @@ def text_keys(docs: DataFrame) -> DataFrame:
 def shard_documents(scratch, documents: DataFrame, shards: int = 16) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Law ``bytes``. Null text has size 1 and the crc32 of no bytes; a null id is a value like any other; repeated rows
-    are all placed (rows that agree in text and id stay together); an empty table gives an empty result. Other
-    columns of the input are not looked at.
+    The documents themselves, with all their columns, are written in their shards below ``shards`` of ``scratch``: a
+    folder per shard, of rows (document, slot); the result is read from there. Law ``bytes``. Null text has size 1 and
+    the crc32 of no bytes; a null id is a value like any other; repeated rows are all placed (rows that agree in text
+    and id stay together); an empty table gives an empty result. Other columns of the input are not looked at.
     """
-    keys = scratch.save(text_keys(documents.select("doc_id", "text")).drop("text"), "keys")
-    out = histogram_shards(keys, keys, shards)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("document"), "doc_id", "text")
+    keyed = text_keys(whole).drop("doc_id", "text", "text_crc32")
+    keys = scratch.save(keyed.select("h", "g", "size"), "keys")
+    placed_ = histogram_shards(keyed, keys, shards).select("document", "slot", "shard")
+    placed_.write.mode("overwrite").partitionBy("shard").parquet(scratch.path("shards"))
+    out = scratch.spark.read.schema(placed_.schema).parquet(scratch.path("shards"))
+    out = out.select(F.col("document.doc_id").alias("doc_id"), F.col("document.text").alias("text"), "shard", "slot")
+    return text_keys(out).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
