@@ -2,14 +2,15 @@
 
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from trackloom.llm import decontaminate, exact_dedup, language, line_spread, mixing, ngram_join, sharding, token_store, toxicity, warc
-from trackloom.llm.common import Scratch, components
+from trackloom.llm import decontaminate, exact_dedup, language, line_spread, mixing, ngram_join, queries, sharding, token_store, toxicity, warc
+from trackloom.llm.common import Scratch, components, shared_root
 from trackloom.llm.fm_index import FMIndex, suffix_array
 from trackloom.llm.quotient import CountingQuotientFilter
 
@@ -314,6 +315,19 @@ def test_mix_holds_the_given_weights(spark, n):
     assert sum(ran.values()) > 20 and all(abs(ran[x] - w / total * sum(ran.values())) < 1 + 1e-9 for x, w in weights.items())
 
 
+def test_mixed_corpus_is_written(spark, scratch, tmp_path):
+    data = [(i, f"text {i}", "ab"[i % 3 == 0]) for i in range(300)]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mixing.mix_documents(scratch, d).select("doc_id", "text", "source", "mix_slot", "mix_row", "_metadata.file_name", "_metadata.row_index").collect()
+    assert Counter(tuple(r)[:3] for r in got) == Counter(data)
+    assert sorted(got, key=lambda r: (r.file_name, r.row_index)) == sorted(got, key=lambda r: (r.mix_slot, r.mix_row))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(Path(shared_root(spark).removeprefix("file://")).iterdir())
+    assert queries.op1_pfair_mix(spark, str(tmp_path)).count() == 300
+    (made,) = set(Path(shared_root(spark).removeprefix("file://")).iterdir()) - before
+    assert Counter(tuple(r) for r in spark.read.parquet(f"{made}/mixed").select("doc_id", "text", "source").collect()) == Counter(data)
+
+
 def test_whole_weights_round_plainly():
     for n in (20, 200, 500):
         got = mixing.whole_weights({"a": n - 1} | {f"s{i}": 1 for i in range(n - 1)})

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.llm.common import BROADCAST_ROWS, unit_key
+from trackloom.llm.common import BROADCAST_ROWS, Scratch, unit_key
 
 #: Rows of a block, the unit that is scheduled.
 BLOCK_ROWS = 16
@@ -181,3 +181,14 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     x = x.join(F.broadcast(places) if sum(blocks.values()) <= BROADCAST_BLOCKS else places, ["_mix_s", "_mix_c"])
     x = x.withColumns({c: F.element_at(f"_{c}", (F.col("mix_block") % PACK + 1).cast("int")) for c in NEW[2:]})
     return x.drop("_mix_s", "_mix_h", "_mix_b", "_mix_r", "_mix_off", "_mix_c", *(f"_{c}" for c in NEW[2:]))
+
+
+def in_order(mixed: DataFrame) -> DataFrame:
+    """The rows of ``mix`` in its order, so that files written of them hold the mixed corpus."""
+    n = 2 * int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mixed.repartitionByRange(n, "mix_slot").sortWithinPartitions("mix_slot", "mix_row")
+
+
+def mix_documents(scratch: Scratch, documents: DataFrame) -> DataFrame:
+    """Write the mixed corpus, whole rows in the order of the mix, as ``mixed`` of ``scratch`` and read it back."""
+    return scratch.save(in_order(mix(documents)), "mixed")

@@ -10,8 +10,8 @@ from trackloom.llm.common import Scratch, table
 
 
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix(docs).select("doc_id", "source", "mix_block", "mix_row", "mix_phase", "mix_release", "mix_deadline", "mix_slot")
+    mixed = mixing.mix_documents(Scratch(spark, "op1"), table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "mix_block", "mix_row", "mix_phase", "mix_release", "mix_deadline", "mix_slot")
 
 
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
