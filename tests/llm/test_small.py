@@ -375,6 +375,21 @@ def test_archive_small_payloads_and_damage(spark, scratch):
     assert warc.archive_pages(Scratch(spark, "none"), d.limit(0)).count() == 0
 
 
+def test_revisits_are_rebuilt_and_verified(spark, scratch):
+    got = warc.archive_pages(scratch, spark.createDataFrame(PAGES, PAGE)).collect()
+    assert Counter((r.page_id, bytes(r.content)) for r in got) == Counter((p, (h or "").encode()) for p, _, h in PAGES)
+    assert {r.record_type for r in got if r.payload is None} == {"revisit"}
+    path = scratch.path("archive")
+    h = spark.read.parquet(f"{path}/headers")
+    revisit = F.col("record_type") == "revisit"
+    bad = {"digest": F.regexp_replace("header", "sha1:.{4}", "sha1:AAAA"), "length": F.regexp_replace("header", r"(?<=charset=utf-8\r\nContent-Length: )\d", "77")}
+    for name, header in bad.items():
+        h.withColumn("header", F.when(revisit, header).otherwise(F.col("header"))).write.parquet(f"{path}-{name}/headers")
+        spark.read.parquet(f"{path}/payloads").write.parquet(f"{path}-{name}/payloads")
+        with pytest.raises(Exception, match="damaged"):
+            warc.read_archive(spark, f"{path}-{name}").collect()
+
+
 def test_warc_files(spark, scratch):
     a = warc.archive_pages(scratch, spark.createDataFrame(PAGES, PAGE))
     warc.export_warc(a, scratch.path("files"))

@@ -67,15 +67,15 @@ def write_archive(records: DataFrame, path: str) -> None:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Rebuild the records: header, payload (null for revisits), and the fields that the header's bytes state.
+    """Rebuild the records: header, payload (null for revisits, which have none in their block), content (the page's
+    bytes, for revisits those of the stored copy), and the fields that the header's bytes state.
 
-    A payload whose SHA-256 is not its key, a response without one, or a header whose digest or lengths disagree with
-    the bytes raises an error.
+    Content whose SHA-256 is not its key, a record of either type without any, or a header whose digest or lengths
+    disagree with the bytes raises an error.
     """
     h = spark.read.parquet(f"{path}/headers")
     p = spark.read.parquet(f"{path}/payloads")
-    key = F.when(F.col("record_type") == "response", F.col("sha256"))
-    d = h.withColumn("need", key).join(p.withColumnRenamed("sha256", "need"), "need", "left")
+    d = h.join(p.withColumnRenamed("payload", "content"), "sha256", "left")
     field = lambda name, kind=r"([^\r\n]*)": F.regexp_extract("header", rf"\r\n{name}: {kind}\r\n", 1)
     head_end = F.instr(F.col("header"), CRLF + CRLF)
     http = F.expr(f"substring(header, instr(header, '{CRLF}{CRLF}') + 4)")
@@ -88,17 +88,17 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         "block_bytes": F.regexp_extract(F.expr("substring(header, 1, instr(header, '\r\n\r\n') + 1)"), r"\r\nContent-Length: (\d+)\r\n", 1).cast("long"),
         "http_bytes": F.octet_length(http).cast("long"),
     })
+    in_block = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("payload_bytes"))
     sound = (
         (head_end > 0)
-        & F.when(F.col("record_type") == "revisit", F.col("block_bytes") == F.col("http_bytes")).otherwise(
-            (F.sha2("payload", 256) == F.col("need"))
-            & (base32_sha1(F.col("payload")) == F.col("payload_digest"))
-            & (F.octet_length("payload") == F.col("payload_bytes"))
-            & (F.col("block_bytes") == F.col("http_bytes") + F.col("payload_bytes"))
-        )
+        & (F.sha2("content", 256) == F.col("sha256"))
+        & (base32_sha1(F.col("content")) == F.col("payload_digest"))
+        & (F.octet_length("content") == F.col("payload_bytes"))
+        & (F.col("block_bytes") == F.col("http_bytes") + in_block)
     )
     checked = F.when(F.coalesce(sound, F.lit(False)), F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("archive record is damaged: "), F.col("header"))))
-    return d.withColumn("record_type", checked).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "header", "payload")
+    d = d.withColumn("payload", F.when(F.col("record_type") == "response", F.col("content"))).withColumn("record_type", checked)
+    return d.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "header", "payload", "content")
 
 
 def archive_pages(scratch: Scratch, pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
