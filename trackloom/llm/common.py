@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +91,24 @@ def lookup(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
     return big.join(F.broadcast(small) if small.count() <= most else small, on, how)
 
 
+def row_keyed(scratch: Scratch, docs: DataFrame, file: str, row: str) -> DataFrame:
+    """``docs`` with two long columns that no two rows share: a hash of the row's file path, and its number in the file.
+
+    They are the same whenever the rows are read, however the scan is split. Rows that are not plainly those of Parquet
+    files (columns and filters of one scan) are written to ``scratch`` first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    keys = F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)
+    if plan.nodeName() == "LogicalRelation":
+        try:
+            return docs.select("*", *keys)
+        except AnalysisException:
+            pass  # a format without row numbers
+    return scratch.save(docs, "rows").select("*", *keys)
+
+
 def unit_key(column: Column) -> Column:
     """A string key that keeps null apart from every string."""
     return F.coalesce(F.concat(F.lit("s:"), column.cast("string")), F.lit("null"))

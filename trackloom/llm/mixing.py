@@ -9,14 +9,15 @@ from collections.abc import Iterable, Iterator, Mapping
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.llm.common import BROADCAST_ROWS, Scratch, unit_key
+from trackloom.llm.common import BROADCAST_ROWS, Scratch, lookup, row_keyed, unit_key
 
-#: Rows of a block, the unit that is scheduled.
+#: Rows of a block, the unit that is scheduled, and blocks about which it grows with the rows instead of their number.
 BLOCK_ROWS = 16
+MOST_BLOCKS = 1 << 20
 #: Parts to which ``whole_weights`` rounds where no other number is given.
 PERIOD = 1000
 #: Exponent of a source's row count in its weight where no weights are given: between equal (0) and natural (1).
@@ -25,8 +26,10 @@ TEMPERATURE = 0.5
 PACK = 256
 BROADCAST_BLOCKS = 2_000_000
 NEW = ["mix_block", "mix_row", "mix_phase", "mix_release", "mix_deadline", "mix_slot"]
-#: Hash buckets in which the rows of one source are numbered, so that a hot source is spread over tasks.
+#: Hash buckets in which the rows of one source are numbered, so that a hot source is spread over tasks, at least, and
+#: rows of the largest source's buckets from which there are more of them.
 RANK_BUCKETS = 1024
+BUCKET_ROWS = 1 << 20
 
 
 def exact_weights(weights: Mapping[str, float]) -> dict[str, int]:
@@ -144,24 +147,28 @@ def packed(places: Mapping[str, tuple[array, array, array, array]]) -> pa.Table:
     return pa.table({"_mix_s": pa.array([s for s, _ in cuts], pa.string()), "_mix_c": pa.array([c for _, c in cuts], pa.int64()), **lists})
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
-    """Add to every row of ``docs`` (doc_id, source, ...) its place in the mix; no row is left out or repeated.
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int | None = None, period: int | None = None, temperature: float = TEMPERATURE, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` (doc_id, source, ...) in the order of the mix, each with its place; none is left out or repeated.
 
     New columns: mix_block (number of the row's block in its source), mix_row (place in the block), mix_phase,
-    mix_release and mix_deadline (slots within the phase), mix_slot (the block's slot in the whole schedule). Rows
-    in order of (mix_slot, mix_row) are the mixed corpus. Columns of these names in ``docs`` are replaced. Rows of a source are first put in hash order. A null source
-    is a source of its own. ``weights`` names target weights by source and must have every source; without it a
-    source's weight is its row count to the power ``temperature``. Weights hold exactly, or rounded to parts of
-    ``period`` if that is given, with so many sources at most. Counts per source and 28 bytes a block are held by the
-    driver. Repeated rows are all placed; an empty table gives an empty result.
+    mix_release and mix_deadline (slots within the phase), mix_slot (the block's slot in the whole schedule). The
+    result's partitions, read one after the other, are in order of (mix_slot, mix_row), so files written of it hold the
+    mixed corpus. Columns of these names in ``docs`` are replaced. Rows of a source are first put in order of a hash of
+    doc_id, then of their place in the files they are read from, so rows that repeat an id or have none are dealt like
+    others. A null source is a source of its own. Texts of any length are moved once, and looked at by nothing.
+
+    ``weights`` names target weights by source and must have every source; without it a source's weight is its row count
+    to the power ``temperature``. Weights hold exactly, or rounded to parts of ``period`` if that is given, with so many
+    sources at most. ``block_rows`` is BLOCK_ROWS, and more where there would be over MOST_BLOCKS blocks. Counts per source
+    and 28 bytes a block are held by the driver. An empty table gives an empty result.
+
+    Two narrow passes over doc_id and source number the rows: they find, for each source, bucket and output partition, the
+    first row there. So the documents themselves are exchanged once, straight to their place.
     """
-    spark = docs.sparkSession
-    docs = docs.drop(*NEW)
-    d = docs.withColumns({"_mix_s": unit_key(F.col("source")), "_mix_h": F.xxhash64("doc_id", F.lit(29))})
-    d = d.withColumn("_mix_b", F.pmod("_mix_h", F.lit(RANK_BUCKETS)).cast("int"))
-    cells = d.groupBy("_mix_s", "_mix_b").agg(F.count("*").alias("n"))
-    found = cells.groupBy("_mix_s").agg(F.sum("n").alias("n"), F.count("*").alias("cells")).collect()
-    counts = {r["_mix_s"]: r["n"] for r in found}
+    spark, docs = docs.sparkSession, docs.drop(*NEW)
+    scratch = scratch or Scratch(spark, "mix")
+    d = row_keyed(scratch, docs, "_mix_f", "_mix_i").withColumns({"_mix_s": unit_key(F.col("source")), "_mix_h": F.xxhash64("doc_id", F.lit(29))})
+    counts = {r["_mix_s"]: r["n"] for r in d.groupBy("_mix_s").agg(F.count("*").alias("n")).collect()}
     if weights is None:
         share = {s: float(n) ** temperature for s, n in counts.items()}
     else:
@@ -170,25 +177,43 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
             raise ValueError(f"no weight for {sorted(missing)}")
         share = {s: named[s] for s in counts}
     whole = exact_weights(share) if period is None else whole_weights(share, period) if share else {}
+    block_rows = block_rows or max(BLOCK_ROWS, -(-sum(counts.values()) // MOST_BLOCKS))
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     places = spark.createDataFrame(packed(schedule(whole, blocks)))
-    offsets = cells.select("_mix_s", "_mix_b", (F.sum("n").over(Window.partitionBy("_mix_s").orderBy("_mix_b")) - F.col("n")).alias("_mix_off"))
-    ranked = d.withColumn("_mix_r", F.row_number().over(Window.partitionBy("_mix_s", "_mix_b").orderBy("_mix_h", "doc_id")) - 1)
-    ranked = ranked.join(F.broadcast(offsets) if sum(r["cells"] for r in found) <= 2 * BROADCAST_ROWS else offsets, ["_mix_s", "_mix_b"])
-    at = F.col("_mix_off") + F.col("_mix_r")
-    x = ranked.withColumns({"mix_block": F.floor(at / block_rows).cast("long"), "mix_row": (at % block_rows).cast("int")})
-    x = x.withColumn("_mix_c", F.expr(f"mix_block div {PACK}"))
-    x = x.join(F.broadcast(places) if sum(blocks.values()) <= BROADCAST_BLOCKS else places, ["_mix_s", "_mix_c"])
-    x = x.withColumns({c: F.element_at(f"_{c}", (F.col("mix_block") % PACK + 1).cast("int")) for c in NEW[2:]})
-    return x.drop("_mix_s", "_mix_h", "_mix_b", "_mix_r", "_mix_off", "_mix_c", *(f"_{c}" for c in NEW[2:]))
-
-
-def in_order(mixed: DataFrame) -> DataFrame:
-    """The rows of ``mix`` in its order, so that files written of them hold the mixed corpus."""
-    n = 2 * int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(n, "mix_slot").sortWithinPartitions("mix_slot", "mix_row")
+    few = sum(blocks.values()) <= BROADCAST_BLOCKS
+    places = F.broadcast(places) if few else places
+    outputs = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def placed(rows: DataFrame, at: Column, columns: list[str]) -> DataFrame:
+        """Rows with their block, place in it, and these columns of the schedule; ``at`` numbers a source's rows from 0."""
+        x = rows.withColumns({"mix_block": F.floor(at / block_rows).cast("long"), "mix_row": (at % block_rows).cast("int")})
+        x = x.withColumn("_mix_c", F.expr(f"mix_block div {PACK}")).join(places, ["_mix_s", "_mix_c"])
+        return x.withColumns({c: F.element_at(f"_{c}", (F.col("mix_block") % PACK + 1).cast("int")) for c in columns})
+
+    # rows by bucket, numbered in it; a row's bucket hangs on the row, not on its id alone
+    buckets = max(16, min(RANK_BUCKETS, BROADCAST_ROWS // 2 // max(1, len(counts))), 1 << (max(counts.values(), default=1) // BUCKET_ROWS).bit_length())
+    order = ["_mix_h", "_mix_f", "_mix_i"]
+    d = d.withColumn("_mix_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    cells = d.groupBy("_mix_s", "_mix_b").agg(F.count("*").alias("n"))
+    cells = cells.select("_mix_s", "_mix_b", (F.sum("n").over(Window.partitionBy("_mix_s").orderBy("_mix_b")) - F.col("n")).alias("_mix_off"))
+    cells = scratch.save(cells, "cells")
+    ranked = d.select("_mix_s", "_mix_b", *order).withColumn("_mix_r", F.row_number().over(Window.partitionBy("_mix_s", "_mix_b").orderBy(*order)) - 1)
+    ranked = lookup(ranked, cells, ["_mix_s", "_mix_b"]).withColumn("_mix_at", F.col("_mix_off") + F.col("_mix_r"))
+    ranked = placed(ranked, F.col("_mix_at"), ["mix_slot"]).withColumn("_mix_k", F.expr(f"int(mix_slot * {outputs} div {max(1, sum(blocks.values()))})"))
+    firsts = ranked.groupBy("_mix_s", "_mix_b", "_mix_k").agg(F.min(F.struct(*order)).alias("low"), F.min("_mix_at").alias("at"))
+    firsts = firsts.groupBy("_mix_s", "_mix_b").agg(F.sort_array(F.collect_list(F.struct("low", "at", F.col("_mix_k").alias("k")))).alias("_mix_cuts"))
+
+    x = lookup(d, scratch.save(firsts, "firsts"), ["_mix_s", "_mix_b"])
+    me = F.struct(*order)
+    cut = F.element_at("_mix_cuts", F.size(F.filter("_mix_cuts", lambda c: c["low"] <= me)))
+    x = x.withColumns({"_mix_at": cut["at"], "_mix_k": cut["k"]}).drop("_mix_cuts")
+    x = x.repartitionById(outputs, F.col("_mix_k"))
+    nth = F.row_number().over(Window.partitionBy("_mix_k", "_mix_s", "_mix_b").orderBy(*order)) - 1
+    x = placed(x.withColumn("_mix_at", F.col("_mix_at") + nth), F.col("_mix_at"), NEW[2:])
+    x = x if few else x.repartitionById(outputs, F.col("_mix_k"))
+    return x.sortWithinPartitions("mix_slot", "mix_row").select(*docs.columns, *NEW)
 
 
 def mix_documents(scratch: Scratch, documents: DataFrame) -> DataFrame:
     """Write the mixed corpus, whole rows in the order of the mix, as ``mixed`` of ``scratch`` and read it back."""
-    return scratch.save(in_order(mix(documents)), "mixed")
+    return scratch.save(mix(documents, scratch=scratch), "mixed")
