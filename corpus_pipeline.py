@@ -46,7 +46,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in files and rows in the order of the Pfair mix of their sources."""
-    return mixing.in_order(mixing.mix(docs.select(COLUMNS))).select(COLUMNS)
+    return mixing.mix(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def shard_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
