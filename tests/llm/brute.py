@@ -122,3 +122,32 @@ def spread(docs, least=8):
         kept = [x for x in lines if not strip(x) or len(sites[strip(x)]) < least]
         out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
     return out
+
+
+def shard_law(rows, shards=16):
+    """What any law-``bytes`` sharding must hold, from (size, shard, slot) rows: gapless slots, near equal bytes."""
+    by = defaultdict(list)
+    for size, shard, slot in rows:
+        by[shard].append((slot, size))
+    assert set(by) <= set(range(shards))
+    assert all(sorted(slot for slot, _ in v) == list(range(len(v))) for v in by.values())
+    sizes = [sum(size for _, size in by[s]) for s in range(shards)]
+    mean, most = sum(sizes) / shards, max((r[0] for r in rows), default=0)
+    assert all(abs(x - mean) <= 0.01 * mean + most for x in sizes), sizes
+
+
+def mix(weights, blocks):
+    """(source, block, phase, release, deadline) of each slot: every slot looks at all sources' next blocks."""
+    left, out, phase = dict(blocks), [], 0
+    while any(left.values()):
+        active = {s: weights[s] for s in left if left[s]}
+        total, ran, slot = sum(active.values()), Counter(), 0
+        while all(left[s] for s in active):
+            window = {s: (ran[s] * total // w, -(-(ran[s] + 1) * total // w)) for s, w in active.items()}
+            s = min((s for s in active if window[s][0] <= slot), key=lambda s: (window[s][1], -active[s], s))
+            out.append((s, blocks[s] - left[s], phase, *window[s]))
+            ran[s] += 1
+            left[s] -= 1
+            slot += 1
+        phase += 1
+    return out

@@ -236,6 +236,24 @@ def test_shards_hold_the_documents(spark, scratch, docs):
     assert Counter((r.doc_id, r["at"], r.slot, len((r.text or "").encode()) + 1) for r in kept) == Counter((r.doc_id, r.shard, r.slot, r["size"]) for r in got)
 
 
+@pytest.mark.parametrize("ids", ["one", "none", "own"])
+def test_shards_cut_repeated_rows(spark, scratch, ids):
+    """One row repeated for most of the bytes: its copies are dealt to many shards."""
+    rng = random.Random(5)
+    one = {"one": lambda i: 7, "none": lambda i: None, "own": lambda i: 10_000 + i}[ids]
+    data = [(i, words(rng, 1)) for i in range(2000)] + [(one(i), "a text like many others") for i in range(2000)]
+    got = sharding.shard_documents(scratch, spark.createDataFrame(data, DOC).repartition(3)).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len(t) + 1) for i, t in data)
+    brute.shard_law([(r["size"], r.shard, r.slot) for r in got])
+
+
+def test_shards_long_texts(spark, scratch):
+    data = [(0, "é" * 3_000_000), (1, "word " * 400_000)] + [(i, "w" * (i % 50)) for i in range(2, 800)]
+    got = sharding.shard_documents(scratch, spark.createDataFrame(data, DOC).repartition(3)).collect()
+    assert {r.doc_id: r["size"] for r in got} == {i: len(t.encode()) + 1 for i, t in data}
+    brute.shard_law([(r["size"], r.shard, r.slot) for r in got])
+
+
 def test_shards_few_rows(spark, scratch):
     assert rows(sharding.shard_documents(scratch, spark.createDataFrame([], DOC))) == []
     got = sharding.shard_documents(scratch, spark.createDataFrame([(1, None), (None, "a"), (1, None)], DOC).withColumn("shard", F.lit(1))).collect()
@@ -315,6 +333,29 @@ def test_mix_holds_the_given_weights(spark, n):
     assert sum(ran.values()) > 20 and all(abs(ran[x] - w / total * sum(ran.values())) < 1 + 1e-9 for x, w in weights.items())
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_mix_is_the_schedule(spark, seed):
+    """Every block's place against a scheduler that looks at all sources in each slot; some ids repeat or are null."""
+    rng = random.Random(seed)
+    sources = ["a", "b", "", None, "s:a", "null"][: 3 + seed]
+    data = [(rng.choice([None, 3, rng.randrange(10**6)]), rng.choice(sources) if rng.random() < 0.5 else "hot", f"t{i}") for i in range(700)]
+    weights = {s: rng.choice([1, 2, 7, 0.5]) for s in [*sources, "hot"]}
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, source string, text string").repartition(3), weights, block_rows=4).collect()
+    assert Counter(tuple(r)[:3] for r in got) == Counter(data)
+    key = lambda s: "null" if s is None else f"s:{s}"
+    counts = Counter(key(s) for _, s, _ in data)
+    want = brute.mix(mixing.exact_weights({key(s): w for s, w in weights.items() if counts[key(s)]}), {s: -(-n // 4) for s, n in counts.items()})
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.mix_slot].append(r)
+    assert sorted(slots) == list(range(len(want)))
+    for slot, (s, block, phase, release, deadline) in enumerate(want):
+        rows_ = slots[slot]
+        assert {(key(r.source), r.mix_block, r.mix_phase, r.mix_release, r.mix_deadline) for r in rows_} == {(s, block, phase, release, deadline)}
+        assert sorted(r.mix_row for r in rows_) == list(range(min(4, counts[s] - 4 * block)))
+    assert [(r.mix_slot, r.mix_row) for r in got] == sorted((r.mix_slot, r.mix_row) for r in got), "partitions are in order"
+
+
 def test_mixed_corpus_is_written(spark, scratch, tmp_path):
     data = [(i, f"text {i}", "ab"[i % 3 == 0]) for i in range(300)]
     d = spark.createDataFrame(data, "doc_id long, text string, source string")

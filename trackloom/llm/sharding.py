@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trackloom.llm.common import Scratch, row_keyed
+
 #: Candidate boundaries that one counting round may return to the driver.
 PROBES = 1 << 16
-#: Parts of one exchange at most, whatever the input's size.
-MOST_PARTS = 4096
+#: Bytes of a part, about, and parts that the driver keeps splitters of; beyond so many, parts grow with the input.
+PART_BYTES = 256 << 20
+MOST_PARTS = 1 << 16
 TOP_BITS = 12
 
 
@@ -150,12 +153,13 @@ def histogram_shards(docs: DataFrame, keys: DataFrame, shards: int = 16, toleran
     ``docs`` and ``keys`` hold the non-negative longs ``h`` and ``g`` (the sort key; rows of equal ``h`` are a group)
     and ``size``. Shards are consecutive ranges of the key; each is cut further into parts, so that the one exchange
     deals a shard to many tasks. ``slot`` counts from 0 without gaps in each shard, in key order. Rows with equal
-    (h, g) stay together. Shards can be empty if there are fewer rows than shards.
+    (h, g) stay together, so g should tell rows apart. Shards can be empty if there are fewer rows than shards. A row
+    is never cut, so a very long text makes its shard longer by as much. An empty table gives an empty result.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = min(MOST_PARTS // shards, max(1, math.ceil(4 * n / shards)))
-    parts = shards * each
     space, total, rows = key_space(keys)
+    each = min(MOST_PARTS // shards, max(1, math.ceil(max(4 * n, total / PART_BYTES) / shards)))
+    parts = shards * each
     cuts = splitters(keys, space, total, rows, parts, shards, tolerance) if rows else [Splitter(0, 0, 0)] * (parts - 1)
     starts = [0, *(cuts[s * each - 1].rows_below for s in range(1, shards))]
     inside = Window.partitionBy("part").orderBy("h", "g")
@@ -168,30 +172,28 @@ def histogram_shards(docs: DataFrame, keys: DataFrame, shards: int = 16, toleran
     )
 
 
-def text_keys(docs: DataFrame) -> DataFrame:
-    """Add size, text_crc32, h and g: equal texts share h; g orders inside a group by a hash of the id."""
+def text_size(docs: DataFrame) -> DataFrame:
+    """Add size and text_crc32 of the text's UTF-8 bytes; null has none."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.withColumns({
-        "size": (F.octet_length(raw) + F.lit(1)).cast("long"),
-        "text_crc32": F.crc32(raw),
-        "h": F.shiftrightunsigned(F.xxhash64(raw), 1),
-        "g": F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(17)), 1),
-    })
+    return docs.withColumns({"size": (F.octet_length(raw) + F.lit(1)).cast("long"), "text_crc32": F.crc32(raw)})
 
 
-def shard_documents(scratch, documents: DataFrame, shards: int = 16) -> DataFrame:
+def shard_documents(scratch: Scratch, documents: DataFrame, shards: int = 16) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The documents themselves, with all their columns, are written in their shards below ``shards`` of ``scratch``: a
-    folder per shard, of rows (document, slot); the result is read from there. Law ``bytes``. Null text has size 1 and
-    the crc32 of no bytes; a null id is a value like any other; repeated rows are all placed (rows that agree in text
-    and id stay together); an empty table gives an empty result. Other columns of the input are not looked at.
+    folder per shard, of rows (document, slot); the result is read from there. Law ``bytes``. Equal texts are a group,
+    which is cut only where a shard needs it, between any two of its rows, repeated ones too. Null text has size 1 and
+    the crc32 of no bytes; a null id is a value like any other; a very long text is a row like any other; an empty
+    table gives an empty result. Other columns of the input are kept, and clash with nothing.
     """
     whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("document"), "doc_id", "text")
-    keyed = text_keys(whole).drop("doc_id", "text", "text_crc32")
+    h = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary")), 1)
+    g = F.shiftrightunsigned(F.xxhash64("doc_id", "file", "row"), 1)
+    keyed = text_size(row_keyed(scratch, whole, "file", "row")).select("document", h.alias("h"), g.alias("g"), "size")
     keys = scratch.save(keyed.select("h", "g", "size"), "keys")
     placed_ = histogram_shards(keyed, keys, shards).select("document", "slot", "shard")
     placed_.write.mode("overwrite").partitionBy("shard").parquet(scratch.path("shards"))
     out = scratch.spark.read.schema(placed_.schema).parquet(scratch.path("shards"))
     out = out.select(F.col("document.doc_id").alias("doc_id"), F.col("document.text").alias("text"), "shard", "slot")
-    return text_keys(out).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return text_size(out).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
