@@ -535,3 +535,93 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got) and len(got) == 605
     assert {r.lang_pred for r in language.language(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language.language(d.limit(0)).count() == 0
+
+
+def test_toxicity_gradient_is_that_of_the_risk():
+    """Sums over parts of the rows give the gradient of the written risk, by differences."""
+    rng = np.random.default_rng(4)
+    size, prior = 5, 0.2
+    parts = []
+    for _ in range(3):
+        n = int(rng.integers(5, 30))
+        on = rng.random((n, size)) < 0.4
+        row, col = np.nonzero(on)
+        parts.append((rng.random(n) < 0.4, row, col, on))
+    loss = lambda z: np.logaddexp(0, -z)
+
+    def risk(x):
+        z = [on @ x[:-1] + x[-1] for *_, on in parts]
+        p, u = np.concatenate([v[q[0]] for v, q in zip(z, parts, strict=True)]), np.concatenate(z)
+        negative = loss(-u).mean() - prior * loss(-p).mean()
+        return (prior * loss(p).mean() + negative) if negative >= 0 else -negative
+
+    for x in (rng.normal(size=size + 1), np.r_[np.full(size, 3.0), -9.0], np.r_[np.full(size, -4.0), 0.0]):
+        sums = []
+        for p, row, col, _ in parts:
+            s = toxicity.Sums(size)
+            s.add(x, p, row, col)
+            sums.append(s.pack())
+        got = toxicity.Sums.unpack(sums, size).step(prior)
+        want = [(risk(x + e) - risk(x - e)) / 2e-6 for e in np.eye(size + 1) * 1e-6]
+        assert np.allclose(got, want, atol=1e-5)
+
+
+def test_toxicity_edges(spark, monkeypatch):
+    """Ties, empty and long texts, repeated rows; the fit's last steps read rows beyond the first ones' bound."""
+    monkeypatch.setattr(toxicity, "FIRST_ROWS", 50)
+    rng = random.Random(3)
+    data = [(i, " ".join([f"w{rng.randrange(90)}" for _ in range(12)] + (["vile"] if i % 5 == 0 else []))) for i in range(1500)]
+    long = ("w1 w2 w3 " * 400_000) + "vile"
+    odd = [(9001, ""), (9002, None), (9003, long), (9004, "vile"), (9004, "vile"), (9005, "x" * 2_500_000)]
+    labels = [(i, int(i % 5 == 0)) for i in range(0, 1500, 2)] + [(2, 0), (99_999, 1)]
+    d = spark.createDataFrame(data + odd, DOC).withColumns({c: F.lit("x") for c in ("positive", "features", "h", "score", "n")}).repartition(4)
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int").withColumn("text", F.lit("vile"))
+    got = toxicity.toxicity(d, lab).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == 1506 and by[9001].score == by[9002].score < 0.5
+    assert by[9004].predicted == by[9003].predicted == 1 and by[9005].predicted == 0
+    assert len({r.score for r in got if r.doc_id == 9004}) == 1
+    assert sum(r.predicted == (r.doc_id % 5 == 0) for r in got if r.doc_id < 1500 and r.held_out) >= 0.99 * sum(r.held_out and r.doc_id < 1500 for r in got)
+    model = toxicity.Model(np.zeros(toxicity.FEATURES), 0.0)
+    assert {r.score for r in toxicity.score(d, model).collect()} == {0.5}
+
+
+def test_hashes_do_not_hang_on_place():
+    """A word's hash is the same in any text; words longer than a block too."""
+    from trackloom.llm import hashing
+
+    giant = b"g" * (hashing.BLOCK + 5)
+    words_ = [b"a", b"ab", "é".encode(), b"abcdef", giant, b"h" * (hashing.BLOCK - 1), b"h" * hashing.BLOCK, b"abcdefg"]
+    alone = {w: hashing.hashed(w + b" ", (4, 5)) for w in words_}
+    raw = b"  ".join(words_ * 2) + b"   "
+    start, h, heads = hashing.hashed(raw, (4, 5))
+    assert [raw[a : a + len(w)] for a, w in zip(start.tolist(), words_ * 2, strict=True)] == words_ * 2
+    assert h.tolist() == [alone[w][1][0] for w in words_ * 2] and len(set(h.tolist())) == len(words_)
+    for k, n in enumerate((4, 5)):
+        long = [w for w in words_ * 2 if len(w) > n]
+        assert [(words_ * 2)[i] for i in heads[k][0]] == long
+        assert heads[k][1].tolist() == [hashing.hashed(w[:n] + b" ")[1][0] for w in long]
+    assert [len(x) for x in hashing.hashed(b"", (4,))[:2]] == [0, 0]
+
+
+def test_language_long_and_many(spark):
+    """Counts of very long texts don't wrap, and many languages are clustered apart; ties go to the first name."""
+    assert language.counts(["ab " * 200_000])[0].max() >= 199_999
+    whole = "Zażółć gęślą jaźń " * 150_000
+    cut = language.counts([whole])[0]
+    from unittest import mock
+
+    with mock.patch.object(language, "PIECE", 1000):
+        assert (language.counts([whole])[0] == cut).all()
+    rng = random.Random(2)
+    data = []
+    for k in range(70):
+        own = [chr(97 + k % 26) + chr(97 + k // 5) + chr(97 + (k * 7) % 26) for _ in range(1)] + [f"{chr(0x400 + k)}{chr(0x400 + 3 * k)}"]
+        data += [(k * 100 + j, " ".join(rng.choices(own, k=20)), f"l{k:02}") for j in range(15)]
+    data += [(7, data[7][1], data[7][2])] * 3000 + [(8000, "", None), (8001, whole, None)]
+    got = language.language(spark.createDataFrame(data, "doc_id long, text string, lang string").withColumn("h", F.lit("x")).repartition(4)).collect()
+    held = [r for r in got if r.held_out and r.doc_id < 7000]
+    assert sum(r.lang_pred == f"l{r.doc_id // 100:02}" for r in held) >= 0.95 * len(held)
+    assert {(r.lang_pred, r.score, r.rejected) for r in got if r.doc_id == 8000} == {("und", 0.0, True)}
+    two = spark.createDataFrame([(i, "la li lo", x) for i in range(40) for x in ("bb", "aa")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language.language(two).collect()} == {"aa"}

@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from trackloom.shipping import ship
 
 #: Rows of a batch that goes to Python: texts are long, and a worker and its executor both hold whole batches.
 BATCH_ROWS = 1_000
+#: Bytes of text that an operator works on at a time; a longer text is worked on alone.
+BATCH_BYTES = 4 << 20
 #: A lookup side of at most this many narrow rows (a few longs each, so under about 40 MB) is broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -44,6 +48,20 @@ def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     return run
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], text_at: int, rows: int = BATCH_ROWS, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of up to ``rows`` rows and about ``most`` bytes of the text column; a longer text comes alone."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most, side="right"))))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

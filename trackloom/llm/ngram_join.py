@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.llm.common import Scratch, components, lookup, tidy
+from trackloom.llm.common import Scratch, by_bytes, components, lookup, tidy
+from trackloom.llm.hashing import BASE, hashed, joined, mixed
 
 #: Words of a shingle, and the least similarity in percent.
 SHINGLE = 5
@@ -30,42 +30,13 @@ BATCH_BYTES = 1 << 20
 
 #: A-Z lower-cased; the white space that separates words becomes a space.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
-BASE = 0x9E3779B97F4A7C15
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-@cache
-def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i below 2**bits."""
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        p = np.full(1 << bits, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of all texts in order, and how many words each text has."""
-    raw = b" ".join((t or "").encode("utf-8", "surrogatepass") for t in texts).translate(LOWER) + b" "
-    b = np.frombuffer(raw, np.uint8)
-    space = b == 32
-    start = np.flatnonzero(~space & np.r_[True, space[:-1]])
-    stop = np.flatnonzero(space & np.r_[False, ~space[:-1]])
-    up, down = powers(max(20, len(b).bit_length()))
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(b.astype(np.uint64) * up[: len(b)], out=total[1:])
-    h = (total[stop] - total[start]) * down[start]
-    sizes = np.array([len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts], np.int64)
-    return mixed(h ^ ((stop - start).astype(np.uint64) << np.uint64(56))), np.diff(np.searchsorted(start, np.r_[0, np.cumsum(sizes)]))
+    raw, ends = joined(texts, LOWER)
+    start, h, _ = hashed(raw)
+    return h, np.diff(np.searchsorted(start, np.r_[0, ends]))
 
 
 def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
@@ -95,13 +66,8 @@ def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
 
 def pieces(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of the batches of about BATCH_BYTES of text, with their shingle sets."""
-    for b in batches:
-        sizes = np.diff(np.frombuffer(b.column(text_at).buffers()[1], np.int32, b.num_rows + 1, 4 * b.column(text_at).offset)) if b.num_rows else np.empty(0, int)
-        part = np.cumsum(sizes) // BATCH_BYTES
-        cut = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, b.num_rows] if b.num_rows else [0]
-        for a, e in zip(cut[:-1], cut[1:], strict=False):
-            p = b.slice(int(a), int(e - a))
-            yield p, shingle_sets(p.column(text_at).to_pylist())
+    for p in by_bytes(batches, text_at, most=BATCH_BYTES):
+        yield p, shingle_sets(p.column(text_at).to_pylist())
 
 
 def heavy_shingles(scratch: Scratch, docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
