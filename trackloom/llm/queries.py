@@ -46,9 +46,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     scratch = Scratch(spark, "op8")
-    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # this tokenizer drops white space before it splits words, so chunks between white space are independent
-    token_store.write_tokens(table(spark, sf_dir, "documents"), scratch.path("tokens"), tokenizer, vocabulary=49_408, end=2, whole_words=True, partitions=n)
+    token_store.write_tokens(table(spark, sf_dir, "documents"), scratch.path("tokens"), tokenizer, end=2)
     return token_store.read_tokens(scratch, spark, scratch.path("tokens"))
 
 

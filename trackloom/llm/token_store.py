@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -15,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.llm.common import Scratch, lookup, tidy
+from trackloom.llm.common import Scratch, by_bytes, lookup, tidy
+from trackloom.llm.hashing import BLOCK
+from trackloom.llm.hashing import blocks as cuts
 
 MAGIC = b"TLBP1\0\0\0"
 #: magic, bits of an id, ids of a block, documents, ids, blocks
@@ -30,7 +33,10 @@ LINE = 64
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
-    """Ids below 2**width as consecutive fields of ``width`` bits, little end first, padded to whole bytes."""
+    """Ids below 2**width as consecutive fields of ``width`` bits, little end first, padded to whole bytes; larger ids
+    raise an error."""
+    if len(ids) and int(ids.max()) >> width:
+        raise ValueError(f"id {ids.max()} does not fit {width} bits")
     if width in (8, 16, 32):
         return ids.astype(f"<u{width // 8}").tobytes()
     bits = (ids.astype(np.uint64)[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
@@ -77,17 +83,46 @@ class TokenFile:
         return np.concatenate(parts)[start - a * self.block_ids : stop - a * self.block_ids]
 
 
+#: Normalisers that change no white space into anything else or the reverse, and a pattern of words
+#: none of which holds white space.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}]
+WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def drops_white_space(path: str) -> bool:
+    """Whether a tokenizer file, by its parts, lower-cases, drops white space and never joins over it."""
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    flat = lambda x, inner: [] if x is None else x[inner] if x["type"] == "Sequence" else [x]
+    normal, split = flat(t["normalizer"], "normalizers"), flat(t["pre_tokenizer"], "pretokenizers")
+    words = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
+    return (
+        all(n in NORMALIZERS for n in normal)
+        and {"type": "Lowercase"} in normal
+        and split[:1] == [words]
+        and all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in split[1:])
+        and t["model"]["type"] == "BPE"
+        and not t["model"]["dropout"]
+        and not (t["truncation"] or t["padding"])
+        and all(a["content"].startswith("<|") and not (set(a["content"]) & set(" \t\n\r\x0b\f")) and not (a["lstrip"] or a["rstrip"] or a["single_word"]) for a in t["added_tokens"])
+    )
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk between ASCII white space, with a memory of the chunks already seen.
 
     This gives what encoding the whole text gives for tokenizers that lower-case, drop white space and never join over
-    it, which ``whole_words`` states; for any other tokenizer whole texts are encoded.
+    it; ``whole_words`` asks for it, and is an error for any other tokenizer. By default it is used where it can be,
+    and whole texts are encoded elsewhere.
     """
 
-    def __init__(self, path: str, whole_words: bool):
+    def __init__(self, path: str, whole_words: bool | None):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.whole_words = Tokenizer.from_file(path), whole_words
+        fits = drops_white_space(path) if whole_words is not False else False
+        if whole_words and not fits:
+            raise ValueError(f"{path} may join words over white space, so whole texts must be encoded")
+        self.tokenizer, self.whole_words = Tokenizer.from_file(path), fits
         suffix, self.ends = getattr(self.tokenizer.model, "end_of_word_suffix", None), None
         if suffix:
             vocabulary = self.tokenizer.get_vocab()
@@ -179,6 +214,14 @@ class ChunkEncoder:
             ids, size = self.ids_of(pair)
             self.add(marked, ids, size.reshape(-1, 2).sum(1))
 
+    def encode_long(self, text: str, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode`` of one text, a piece between white space at a time."""
+        raw = text.encode("utf-8", "surrogatepass")
+        at = [e for _, e in cuts(raw.translate(SPACES) + b" ")]
+        got = [self.encode([raw[a:e].decode("utf-8", "surrogatepass")], end)[0][:-1] for a, e in zip([0, *at], at, strict=False)]
+        ids = np.concatenate([*got, np.full(1, end, np.uint32)])
+        return ids, np.array([len(ids)])
+
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with ``end`` after it, and the number of each text's ids."""
         if not self.whole_words:
@@ -213,21 +256,29 @@ class ChunkEncoder:
 
 
 @cache
-def encoder(path: str, whole_words: bool) -> ChunkEncoder:
+def encoder(path: str, whole_words: bool | None) -> ChunkEncoder:
     """One encoder per worker process; it keeps its memory from task to task. A task has one core, so no threads."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return ChunkEncoder(path, whole_words)
 
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 
 
-def write_tokens(documents: DataFrame, path: str, tokenizer: str, vocabulary: int, end: int, whole_words: bool, partitions: int) -> None:
+def write_tokens(documents: DataFrame, path: str, tokenizer: str, vocabulary: int | None = None, end: int = 2, whole_words: bool | None = None, partitions: int | None = None) -> None:
     """Encode ``documents`` (doc_id, text) and write them below ``path`` in ascending doc_id order, nulls first.
 
     The text is dealt by ranges of doc_id, encoded and packed where it arrives. Files are named in order. Repeated ids
-    stay next to each other. Null text is empty: its only id is ``end``.
+    stay next to each other, ordered by text; repeated rows are each written. Null text is empty: its only id is
+    ``end``, as for an empty text. A very long text is encoded in pieces between white space if the tokenizer allows
+    that, and is one document in one file. An empty table gives no documents. Other columns are not looked at.
+    Without ``vocabulary`` an id takes the bits of the tokenizer's largest; an id that needs more is an error.
     """
+    if vocabulary is None:
+        vocabulary = 1 + max(end, *encoder(tokenizer, whole_words).tokenizer.get_vocab().values())
+    if partitions is None:
+        partitions = 2 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width = max(1, int(vocabulary - 1).bit_length())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,17 +289,17 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, vocabulary: in
             data = encode_file(docs, np.concatenate(sizes), np.concatenate(ids), width)
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["file"])
 
-        for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
-                got, per = own.encode(part.column(1).to_pylist(), end)
-                docs += part.column(0).to_pylist()
-                sizes.append(per)
-                ids.append(got)
-                n += len(got)
-                if n >= FILE_IDS:
-                    yield file()
-                    docs, sizes, ids, n = [], [], [], 0
+        for part in by_bytes(batches, 1, 256):
+            texts = part.column(1).to_pylist()
+            long = own.whole_words and len(texts) == 1 and len(texts[0] or "") > BLOCK
+            got, per = own.encode_long(texts[0], end) if long else own.encode(texts, end)
+            docs += part.column(0).to_pylist()
+            sizes.append(per)
+            ids.append(got)
+            n += len(got)
+            if n >= FILE_IDS:
+                yield file()
+                docs, sizes, ids, n = [], [], [], 0
         if docs:
             yield file()
 
@@ -259,7 +310,10 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, vocabulary: in
 
 
 def read_tokens(scratch: Scratch, spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files below ``path``: doc_id, start (ids before it in all files), n_tokens, ids_crc32."""
+    """Per document of the files below ``path``: doc_id, start (ids before it in all files), n_tokens, ids_crc32.
+
+    Without any document the result is empty; a document is as the files have it, repeated ones and nulls too.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
