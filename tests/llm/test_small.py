@@ -625,3 +625,56 @@ def test_language_long_and_many(spark):
     assert {(r.lang_pred, r.score, r.rejected) for r in got if r.doc_id == 8000} == {("und", 0.0, True)}
     two = spark.createDataFrame([(i, "la li lo", x) for i in range(40) for x in ("bb", "aa")], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in language.language(two).collect()} == {"aa"}
+
+
+def test_tokens_long_and_wide(spark, scratch):
+    """Long texts in pieces, ids that don't fit, and the check of a tokenizer's parts."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    rng = random.Random(5)
+    long = " \n".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz'.é", k=rng.randrange(1, 9))) for _ in range(300_000))
+    data = [(1, long), (2, long), (3, "short"), (4, "q" * 1_500_000 + " end")]
+    token_store.write_tokens(spark.createDataFrame(data, DOC), scratch.path("t"), path, end=2, partitions=2)
+    got = rows(token_store.read_tokens(scratch, spark, scratch.path("t")))
+    assert got == sorted(brute.tokens(data, Tokenizer.from_file(path)), key=str)
+    with pytest.raises(ValueError, match="does not fit"):
+        token_store.pack(np.array([70_000]), 16)
+    assert token_store.drops_white_space(path)
+    changed = json.load(open(path))
+    changed["normalizer"] = None
+    other = f"{scratch.root.removeprefix('file://')}.json"
+    Path(other).write_text(json.dumps(changed))
+    assert not token_store.drops_white_space(other)
+    with pytest.raises(ValueError, match="whole texts"):
+        token_store.ChunkEncoder(other, True)
+
+
+def test_spread_repeats_and_long(spark, scratch):
+    long = "x" * 1_200_000
+    data = [(1, f"shared\n{long}\nown", f"s{k}") for k in range(9)] + [(1, "shared", "s1"), (2, "", "s1"), (None, "shared\nshared \n", None)] + [(5, "shared\nrep", "s3")] * 4
+    d = spark.createDataFrame(data, "doc_id long, text string, site string").withColumns({c: F.lit("x") for c in ("file", "row", "pos", "gone", "line_a")})
+    assert rows(line_spread.remove_spread_lines(scratch, d)) == sorted(brute.spread(data), key=str)
+
+
+def test_decontaminate_long_texts_and_items(spark, monkeypatch):
+    """Pieces of long items overlap, so no window is lost; long texts are read a piece at a time; repeated items."""
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 50)
+    rng = random.Random(4)
+    item = words(rng, 400, 5000)
+    items = [(1, item), (2, item), (2, item), (3, "q" * 1_300_000 + " b c"), (4, "one two")]
+    w = item.split()
+    data = [(k, " ".join(["zz", *w[7 * k : 7 * k + 8], "yy"])) for k in range(56)] + [(100, words(rng, 400_000, 3000) + " " + " ".join(w[40:60])), (101, "a " + "q" * 1_300_000 + " B, c"), (102, "q" * 3_000_000)]
+    d, b = spark.createDataFrame(data, DOC).repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    for block in (1 << 23, 2000):
+        assert rows(decontaminate.digest(decontaminate.contaminated_spans(d, b, block_bytes=block))) == sorted(brute.decontaminate(data, items), key=str)
+
+
+def test_near_long_texts(spark, scratch):
+    rng = random.Random(4)
+    long = words(rng, 300_000, 100_000)
+    data = [(1, long), (2, long + " more"), (3, "y" * 2_000_000), (4, "Y" * 2_000_000), (5, long[: len(long) // 2])]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_groups(scratch, spark.createDataFrame(data, DOC)).collect()}
+    assert got == {(r[0], r[1], r[2]) for r in brute.near(data)}
