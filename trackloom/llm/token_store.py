@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom.llm.common import Scratch, by_bytes, lookup, tidy
-from trackloom.llm.hashing import BLOCK
+from trackloom.llm.hashing import BASE, BLOCK
 from trackloom.llm.hashing import blocks as cuts
+from trackloom.llm.hashing import mixed
 
 MAGIC = b"TLBP1\0\0\0"
 #: magic, bits of an id, ids of a block, documents, ids, blocks
@@ -30,6 +31,9 @@ FILE_IDS = 1 << 21
 MEMORY = 800_000
 #: Chunks of letters that are encoded as one line.
 LINE = 64
+#: Bits of a slot number of the chunk table, and slots in which a chunk can stand. Longer chunks than SHORT bytes, and
+#: those that find no slot, are looked up one by one.
+SLOT_BITS, PROBES, SHORT = 21, 8, 16
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -83,6 +87,84 @@ class TokenFile:
         return np.concatenate(parts)[start - a * self.block_ids : stop - a * self.block_ids]
 
 
+LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+
+
+def plain(text: str | None) -> bytes:
+    """UTF-8 bytes of a text, A-Z lower-cased and with spaces for its ASCII white space."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    # upper case matters where a special token could be spelled, and before a combining mark
+    exact = b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw
+    return raw.translate(SPACES if exact else LOWER)
+
+
+class Chunks:
+    """Where the chunks between the spaces of ``raw`` are, and the first and the last 8 bytes of each as numbers, which
+    with its length say all of a chunk of up to SHORT bytes."""
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+        space = np.frombuffer(raw, np.uint8) == 32
+        self.start = np.flatnonzero(~space & np.r_[True, space[:-1]])
+        self.stop = np.flatnonzero(space & np.r_[False, ~space[:-1]])
+        self.size = self.stop - self.start
+        eight = np.ndarray((len(raw),), "<u8", raw + bytes(8), strides=(1,))
+        self.first = eight[self.start] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(self.size, 8).astype(np.uint64)))
+        self.last = np.where(self.size > 8, eight[np.maximum(self.stop - 8, 0)], 0)
+        self.key = mixed(self.first + self.last * np.uint64(BASE) + self.size.astype(np.uint64)) | np.uint64(1)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def __getitem__(self, k: int) -> bytes:
+        return self.raw[self.start[k] : self.stop[k]]
+
+
+class ChunkTable:
+    """Numbers of chunks, in slots by a hash; whole batches are looked up at once, and each hit compared in full."""
+
+    def __init__(self):
+        self.key, self.number = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int64)
+        self.own = np.zeros((1 << SLOT_BITS, 2), np.uint64)
+        self.size = np.zeros(1 << SLOT_BITS, np.int64)
+
+    def slots(self, key: np.ndarray, probe: int) -> np.ndarray:
+        return ((key >> np.uint64(64 - SLOT_BITS)).astype(np.int64) + probe) & ((1 << SLOT_BITS) - 1)
+
+    def add(self, chunks: list[bytes], first: int) -> None:
+        """Give ``chunks``, which are not in the table, the numbers from ``first``."""
+        c = Chunks(b" ".join(chunks) + b" ")
+        left = np.flatnonzero(c.size <= SHORT)
+        for probe in range(PROBES):
+            slot = self.slots(c.key[left], probe)
+            free = np.flatnonzero(self.key[slot] == 0)
+            slot, one = np.unique(slot[free], return_index=True)
+            taken = free[one]
+            mine = left[taken]
+            self.key[slot], self.number[slot], self.size[slot] = c.key[mine], mine + first, c.size[mine]
+            self.own[slot, 0], self.own[slot, 1] = c.first[mine], c.last[mine]
+            left = np.delete(left, taken)
+            if not len(left):
+                break
+
+    def find(self, c: Chunks) -> np.ndarray:
+        """The chunks' numbers, -1 where the table doesn't have one."""
+        out = np.full(len(c), -1, np.int64)
+        left = np.flatnonzero(c.size <= SHORT)
+        for probe in range(PROBES):
+            slot = self.slots(c.key[left], probe)
+            there = self.key[slot]
+            same = there == c.key[left]
+            at, k = slot[same], left[same]
+            full = (self.own[at, 0] == c.first[k]) & (self.own[at, 1] == c.last[k]) & (self.size[at] == c.size[k])
+            out[k[full]] = self.number[at[full]]
+            left = left[~same & (there != 0)]
+            if not len(left):
+                break
+        return out
+
+
 #: Normalisers that change no white space into anything else or the reverse, and a pattern of words
 #: none of which holds white space.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}]
@@ -135,6 +217,7 @@ class ChunkEncoder:
         self.flat, self.sizes = [np.zeros(1, np.uint32)], [np.ones(1, np.int64)]
         self.seen = np.zeros(1, np.int64)
         self.joined = None
+        self.table = ChunkTable()
 
     def thin(self) -> None:
         """Forget chunks that were met once only since they were learnt, or all if that frees too little."""
@@ -148,15 +231,13 @@ class ChunkEncoder:
         ids, size = self.ids_of(at)
         self.flat, self.sizes, self.joined = [ids], [size], None
         self.seen = np.ones(len(at), np.int64)
-
-    def chunks(self, text: str | None) -> list[bytes]:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        # upper case matters where a special token could be spelled, and before a combining mark
-        exact = b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw
-        return (raw if exact else raw.translate(LOWER)).split()
+        self.table = ChunkTable()
+        self.table.add([c for c, _ in kept], 1)
 
     def add(self, new: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.known.update(zip(new, range(len(self.known) + 1, len(self.known) + len(new) + 1), strict=True))
+        first = len(self.known) + 1
+        self.known.update(zip(new, range(first, first + len(new)), strict=True))
+        self.table.add(new, first)
         self.flat.append(ids.astype(np.uint32))
         self.sizes.append(sizes.astype(np.int64))
         self.joined = None
@@ -180,39 +261,41 @@ class ChunkEncoder:
 
     def learn_letters(self, new: list[bytes]) -> None:
         """Encode chunks of letters in lines, which is faster: each is one word, and its last token says so."""
-        odd: list[bytes] = []
         lines = [new[a : a + LINE] for a in range(0, len(new), LINE)]
-        got = self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)
-        for line, e in zip(lines, got, strict=True):
-            ids = np.array(e.ids, np.int64)
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) == len(line) and stop[-1] == len(ids):
-                self.add(line, ids, np.diff(stop, prepend=0))
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)]
+        ids = np.array(list(chain.from_iterable(got)), np.int64)
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        ends = np.cumsum([len(g) for g in got])
+        per = np.diff(np.searchsorted(stop, np.r_[0, ends], side="right"))
+        whole = (per == [len(x) for x in lines]) & np.isin(ends, stop)
+        if whole.all():
+            self.add(new, ids, np.diff(stop, prepend=0))
+            return
+        for line, g, ok in zip(lines, got, whole.tolist(), strict=True):
+            if ok:
+                self.add(line, np.array(g), np.diff(np.flatnonzero(self.ends[g]) + 1, prepend=0))
             else:
-                odd += line
-        if odd:
-            self.learn_apart(odd)
+                self.learn_apart(line)
 
     def learn(self, new: list[bytes]) -> None:
-        letters, marked, apart = set(), [], []
-        for c in new:
-            stem = c[:-1] if c[-1] in b",." else c
-            if self.ends is None or not stem.decode("utf-8", "replace").isalpha():
-                apart.append(c)
-            elif stem is c:
-                letters.add(c)
-            else:
-                marked.append(c)
-        letters |= {c[:-1] for c in marked}.difference(self.known)
-        apart += [m for m in {c[-1:] for c in marked} if m not in self.known and m not in new]
+        if self.ends is None:
+            self.learn_apart(new)
+            return
+        marked = [c for c in new if c[-1] in b",."]
+        stems = [c[:-1] for c in marked]
+        bare = {c for c in {*new, *stems}.difference(marked) if c and (c.isalpha() or c.decode("utf-8", "replace").isalpha())}
+        letters = list(bare.difference(self.known))
+        joined_ = [(c, s) for c, s in zip(marked, stems, strict=True) if s in bare]
+        apart = set(new).difference(bare, (c for c, _ in joined_)) | {c[-1:] for c, _ in joined_}.difference(self.known)
         if apart:
-            self.learn_apart(apart)
+            self.learn_apart(list(apart))
         if letters:
-            self.learn_letters(list(letters))
-        if marked:
-            pair = np.fromiter((self.known[x] for c in marked for x in (c[:-1], c[-1:])), np.int64, 2 * len(marked))
+            self.learn_letters(letters)
+        if joined_:
+            marks = {m: self.known[m] for m in {c[-1:] for c, _ in joined_}}
+            pair = np.array([k for c, s in joined_ for k in (self.known[s], marks[c[-1:]])], np.int64)
             ids, size = self.ids_of(pair)
-            self.add(marked, ids, size.reshape(-1, 2).sum(1))
+            self.add([c for c, _ in joined_], ids, size.reshape(-1, 2).sum(1))
 
     def encode_long(self, text: str, end: int) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode`` of one text, a piece between white space at a time."""
@@ -227,24 +310,26 @@ class ChunkEncoder:
         if not self.whole_words:
             ids = [[*e.ids, end] for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
             return np.concatenate([np.array(x, np.uint32) for x in ids]), np.array([len(x) for x in ids])
-        chunks = [self.chunks(t) for t in texts]
-        n = np.array([len(c) + 1 for c in chunks])
-        inside = np.ones(n.sum(), bool)
-        inside[np.cumsum(n) - 1] = False  # chunk 0 is the end of a text
-        at = np.zeros(len(inside), np.int64)
-        found = np.fromiter(map(self.known.get, chain.from_iterable(chunks), repeat(-1)), np.int64, len(at) - len(n))
+        raw = [plain(t) for t in texts]
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        words = Chunks(b" ".join(raw) + b" ")
+        found = self.table.find(words)
         if (found < 0).any():
-            flat_chunks = list(chain.from_iterable(chunks))
-            new = list({flat_chunks[k] for k in np.flatnonzero(found < 0).tolist()})
+            missing = np.flatnonzero(found < 0).tolist()
+            chunks = [words[k] for k in missing]
+            found[missing] = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+            new = {c for c, k in zip(chunks, found[missing].tolist(), strict=True) if k < 0}
             if len(self.known) + len(new) > MEMORY and self.known:
                 self.thin()
-                new = list(set(flat_chunks).difference(self.known))
-                self.learn(new)
-                found = np.fromiter(map(self.known.__getitem__, flat_chunks), np.int64, len(flat_chunks))
-            else:
-                self.learn(new)
-                missing = np.flatnonzero(found < 0)
-                found[missing] = [self.known[flat_chunks[k]] for k in missing.tolist()]
+                chunks = [words[k] for k in range(len(found))]
+                missing, new = range(len(found)), set(chunks).difference(self.known)
+            if new:
+                self.learn(list(new))
+                found[missing] = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        n = np.diff(np.searchsorted(words.start, np.r_[0, ends])) + 1
+        inside = np.ones(n.sum(), bool)
+        inside[np.cumsum(n) - 1] = False  # chunk 0 is the end of a text
+        at = np.zeros(len(inside), np.int64)
         at[inside] = found
         out, size = self.ids_of(at)
         met = np.bincount(at, minlength=len(self.known) + 1)
@@ -262,9 +347,6 @@ def encoder(path: str, whole_words: bool | None) -> ChunkEncoder:
     return ChunkEncoder(path, whole_words)
 
 
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
-
 
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, vocabulary: int | None = None, end: int = 2, whole_words: bool | None = None, partitions: int | None = None) -> None:
     """Encode ``documents`` (doc_id, text) and write them below ``path`` in ascending doc_id order, nulls first.
