@@ -374,3 +374,48 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {tuple(r) for r in feed.windowed(d, "30 minutes", "10 minutes", by=["u"]).collect()}
     assert got and got <= want and all(r[0].isoformat() >= "2024-01-01T04" for r in want - got), "only windows that are still open are missing"
+
+
+@graph_feature("node", "numpy")
+def what_is_given(**kw):
+    assert kw["feature_opts"] == {"scale": 3} and kw["ball_id"] == "ball" and kw["possession_team_id"] == kw["ball_owning_team_id"][0]
+    assert kw["velocity"].shape == kw["position"].shape == (23, 3) and kw["ball_idx"].tolist() == [22]
+    assert (kw["ball_position"] == kw["position"][22]).all() and kw["is_ball_carrier"][kw["ball_carrier_idx"]] and kw["is_gk"].sum() == 2
+    return np.full((23, 2), kw["feature_opts"]["scale"])
+
+
+def test_builtin_edges_next_to_own_nodes(spark, two):
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    d = frames.with_graph_ids(two)
+    plain = graphs.build_graphs(d, graphs.GraphConfig(prediction=True), SOCCER).orderBy("frame_id").collect()
+    config = graphs.GraphConfig(prediction=True, node_functions=(what_is_given,), feature_opts={"scale": 3})
+    for r, p in zip(graphs.build_graphs(d, config, SOCCER).orderBy("frame_id").collect(), plain, strict=True):
+        assert r.e_shape_1 == 6 and np.allclose(r.e, p.e) and r.x_shape_1 == 17 and np.allclose([row[:15] for row in r.x], p.x) and {row[16] for row in r.x} == {3}
+    both = graphs.GraphConfig(prediction=True, edge_functions=(gaps,), builtin_edges=True)
+    r = graphs.build_graphs(d, both, SOCCER).orderBy("frame_id").first()
+    assert r.e_shape_1 == 8 and np.allclose([row[:6] for row in r.e], plain[0].e) and np.allclose([row[6] for row in r.e], np.array(r.e)[:, 7])
+    own = graphs.build_graphs(d, graphs.GraphConfig(prediction=True, node_functions=(speed_twice,), builtin_nodes=False), SOCCER).first()
+    assert own.x_shape_1 == 1
+    labels = d.withColumn("label", F.when(F.col("id") == "ball", 1).otherwise(0))
+    for c in (graphs.GraphConfig(), graphs.GraphConfig(node_functions=(speed_twice,)), graphs.GraphConfig(prediction=True, global_cols=("x",))):
+        with pytest.raises(Exception, match="one value"):
+            graphs.build_graphs(labels, c, SOCCER).collect()
+    for c in ({}, {"node_functions": (speed_twice,)}):
+        with pytest.raises(NotImplementedError):
+            graphs.build_graphs(d, graphs.GraphConfig(prediction=True, adjacency="delaunay", **c), SOCCER)
+    for bad in ({"pad": 1}, {"sample_rate": "half"}, {"global_cols": "x"}, {"label_col": 3}, {"feature_opts": []}):
+        with pytest.raises(TypeError):
+            graphs.GraphConfig(**bad)
+
+
+def test_published_time_to_intercept(spark):
+    """A runner of the owning side and a defender of a published frame, and the published time."""
+    runner = dict(team_id="own", x=-2.1199999999999974, y=9.850000000000001, vx=0.0, vy=0.0)
+    target = dict(team_id="other", x=-20.669999999999998, y=-4.560000000000002, vx=0.3928571428571188, vy=-0.21428571428569082)
+    shared = dict(game_id="g", period_id=1, frame_id=1, t_ms=0, ball_owning_team_id="own", is_ball_carrier=False, z=0.0, vz=0.0, v=0.0)
+    (cell,) = pressing.pressing_pairs(spark.createDataFrame([{**shared, **o, "id": o["team_id"]} for o in (runner, target)]), SOCCER, ball_method="exclude").collect()
+    assert (cell.row_id, cell.column_id) == ("other", "own") and cell.tti == pytest.approx(2.6428493704618106, abs=1e-9)

@@ -42,9 +42,24 @@ class GraphConfig:
     extra_cols: tuple[str, ...] = ()
     node_functions: tuple[Callable, ...] = ()
     edge_functions: tuple[Callable, ...] = ()
+    #: whether the built-in columns come before those of numpy functions; for edges by default only where there are none
+    builtin_nodes: bool = True
+    builtin_edges: bool | None = None
+    #: handed to numpy functions as ``feature_opts``
+    feature_opts: dict = field(default_factory=dict)
     by: tuple[str, ...] = field(default=tuple(FRAME))
 
     def __post_init__(self):
+        for name, kind in (("prediction", bool), ("pad", bool), ("self_loop_ball", bool), ("builtin_nodes", bool), ("label_col", str), ("graph_id_col", str), ("feature_opts", dict)):
+            if not isinstance(getattr(self, name), kind):
+                raise TypeError(f"{name} must be of type {kind.__name__}")
+        if self.sample_rate is not None and (isinstance(self.sample_rate, bool) or not isinstance(self.sample_rate, (int, float))):
+            raise TypeError("sample_rate must be a number")
+        for name in ("global_cols", "extra_cols", "node_functions", "edge_functions"):
+            if not isinstance(getattr(self, name), (tuple, list)):
+                raise TypeError(f"{name} must be a tuple")
+        if reserved := {"settings"} & set(self.feature_opts):
+            raise ValueError(f"{reserved} is a reserved keyword")
         if self.adjacency not in (pairs.DENSE, pairs.DENSE_AP, pairs.DENSE_DP, pairs.SPLIT_BY_TEAM, pairs.DELAUNAY):
             raise ValueError(f"no adjacency {self.adjacency!r}")
         if self.connect not in (pairs.TO_BALL, pairs.TO_CARRIER, pairs.NO_CONNECTION):
@@ -72,129 +87,156 @@ def prepared(df: DataFrame, config: GraphConfig, settings: Settings) -> DataFram
     return frames.sample_frames(df, config.sample_rate) if config.sample_rate else df
 
 
+def of_style(functions: tuple[Callable, ...], style: str, kind: str) -> list[Callable]:
+    return X.checked([f for f in functions if getattr(f, "feature_style", style) == style], kind)
+
+
+def node_columns(config: GraphConfig, settings: Settings) -> list[Callable]:
+    builtin = X.football_nodes if isinstance(settings, FootballSettings) else X.soccer_nodes
+    own = of_style(config.node_functions, "columns", "node")
+    return own or ([builtin] if config.builtin_nodes or not config.node_functions else [])
+
+
+def edge_columns(config: GraphConfig, settings: Settings) -> list[Callable]:
+    builtin = X.football_edges if isinstance(settings, FootballSettings) else X.soccer_edges
+    own = of_style(config.edge_functions, "columns", "edge")
+    return own or ([builtin] if config.builtin_edges or not config.edge_functions else [])
+
+
 def node_table(df: DataFrame, config: GraphConfig, settings: Settings) -> tuple[DataFrame, list[str]]:
     """Rows widened by the node features, and the features' names in order."""
     football = isinstance(settings, FootballSettings)
     d = X.with_ball(df, settings.ball_id, list(config.by), "xy" if football else "xyz")
     if football:
         d = X.with_frame_units(d, list(config.by))
-    functions = X.checked([f for f in config.node_functions if f.feature_style == "columns"] or [X.football_nodes if football else X.soccer_nodes], "node")
-    columns = {k: v for f in functions for k, v in f(settings).items()}
+    columns = {k: v for f in node_columns(config, settings) for k, v in f(settings).items()}
     columns |= X.global_features(list(config.global_cols), config.global_type, settings.ball_id)
     return d.withColumns({f"f_{k}": finite(v.cast("double"), 0.0) for k, v in columns.items()}), [f"f_{k}" for k in columns]
 
 
+def edge_inputs(d: DataFrame, settings: Settings) -> list[str]:
+    columns = FOOTBALL_EDGE if isinstance(settings, FootballSettings) else SOCCER_EDGE
+    return [c for c in ("id", "team_id", "ball_owning_team_id", "is_ball_carrier", *columns) if c in d.columns]
+
+
 def edge_table(df: DataFrame, config: GraphConfig, settings: Settings) -> tuple[DataFrame, list[str]]:
     """A row per cell of each frame's matrix that is 1: i.row, j.row and the edge features."""
-    football = isinstance(settings, FootballSettings)
-    columns = ["id", "team_id", "ball_owning_team_id", "is_ball_carrier", *(FOOTBALL_EDGE if football else SOCCER_EDGE)]
-    p = pairs.pairs(df, list(config.by), frames.graph_order(settings), [c for c in columns if c in df.columns])
+    p = pairs.pairs(df, list(config.by), frames.graph_order(settings), edge_inputs(df, settings))
     p = p.where(pairs.connected(config.adjacency, config.connect, settings.ball_id, "is_ball_carrier" in df.columns))
-    functions = X.checked([f for f in config.edge_functions if f.feature_style == "columns"] or [X.football_edges if football else X.soccer_edges], "edge")
-    features = {k: v for f in functions for k, v in f(settings).items()}
+    features = {k: v for f in edge_columns(config, settings) for k, v in f(settings).items()}
     return X.with_differences(p, settings).withColumns({f"f_{k}": v.cast("double") for k, v in features.items()}), [f"f_{k}" for k in features]
 
 
 def build_graphs(df: DataFrame, config: GraphConfig = GraphConfig(), settings: Settings = Settings()) -> DataFrame:
     """A row per frame: x (nodes by features), e (edges by features, row-major), a, their shapes, ids and label.
 
-    Nodes are ordered attackers, defenders, ball, then by id. Matrices are built inside a frame's packed array by
-    higher-order functions, so rows are shuffled once; features of style ``numpy`` are computed by ``numpy_graphs``.
+    Nodes are ordered attackers, defenders, ball, then by id. Rows are shuffled once, by frame: a frame's rows are
+    packed, its pairs exploded with the packed frame on the first of them, and collected again where they are. Labels,
+    graph ids and global columns must have one value in a frame. Features that are numpy functions are computed by
+    ``with_numpy`` afterwards.
     """
-    if any(f.feature_style == "numpy" for f in (*config.node_functions, *config.edge_functions)):
-        return numpy_graphs(df, config, settings)
-    d, names = node_table(frames.constant_in_frame(prepared(df, config, settings), [config.graph_id_col, config.label_col], list(config.by)), config, settings)
-    football = isinstance(settings, FootballSettings)
-    keep = [c for c in ("id", "team_id", "ball_owning_team_id", "is_ball_carrier", *(FOOTBALL_EDGE if football else SOCCER_EDGE)) if c in d.columns]
+    numpy_style = of_style(config.node_functions, "numpy", "node") + of_style(config.edge_functions, "numpy", "edge")
+    one_value = [config.graph_id_col, config.label_col, *config.global_cols]
+    d, names = node_table(frames.constant_in_frame(prepared(df, config, settings), one_value, list(config.by)), config, settings)
+    keep = edge_inputs(d, settings)
+    own = [c for c in d.columns if c not in config.by and c not in names] if numpy_style else []
     first = {"label": config.label_col, "graph_id": config.graph_id_col}
     packed = d.groupBy(*config.by).agg(
-        F.array_sort(F.collect_list(F.struct(frames.graph_order(settings).alias("_o"), *keep, F.array(*names).alias("f")))).alias("_n"),
-        *(F.min(c).alias(k) for k, c in first.items()),
+        F.array_sort(F.collect_list(F.struct(frames.graph_order(settings).alias("_o"), *dict.fromkeys([*keep, *own]), F.array(*names).cast("array<double>").alias("f")))).alias("_n"),
+        *(F.min(c).alias(f"_{k}") for k, c in first.items()),
     )
-    functions = X.checked([f for f in config.edge_functions if f.feature_style == "columns"] or [X.football_edges if football else X.soccer_edges], "edge")
-    edge = {k: v for f in functions for k, v in f(settings).items()}
+    edge = {k: v for f in edge_columns(config, settings) for k, v in f(settings).items()}
     on = lambda i, j: F.coalesce(pairs.connected(config.adjacency, config.connect, settings.ball_id, "is_ball_carrier" in d.columns, i, j), F.lit(False))
-    bare = F.transform("_n", lambda v, k: F.struct(k.alias("row"), *(v[c].alias(c) for c in keep)))
-    cells = packed.select(*config.by, bare.alias("_n")).select(*config.by, "_n", F.explode("_n").alias("i")).select(*config.by, "i", F.explode("_n").alias("j")).where(on(F.col("i"), F.col("j")))
-    cells = X.with_differences(cells, settings).select(*config.by, F.struct(F.col("i.row").alias("i"), F.col("j.row").alias("j"), F.array(*(v.cast("double") for v in edge.values())).alias("f")).alias("_c"))
-    # frames are dealt already, so this and the join move no rows
-    edges = cells.groupBy(*config.by).agg(F.array_sort(F.collect_list("_c")).alias("_e"))
-    g = packed.join(edges, list(config.by), "left")
+    cell = lambda v, k: [k.alias("row"), *(v[c].alias(c) for c in keep)]
+    whole = F.struct("_n", "_label", "_graph_id")
+    i = F.transform("_n", lambda v, k: F.struct(*cell(v, k), F.when(k == 0, whole).alias("frame")))
+    cells = packed.select(*config.by, i.alias("_i"), F.transform("_n", lambda v, k: F.struct(*cell(v, k))).alias("_j"))
+    cells = cells.select(*config.by, F.explode("_i").alias("i"), "_j").select(*config.by, "i", F.explode("_j").alias("j"))
+    head = F.when((F.col("i.row") == 0) & (F.col("j.row") == 0), F.col("i.frame"))
+    cells = cells.withColumns({"_on": on(F.col("i"), F.col("j")), "_head": head}).where(F.col("_on") | F.col("_head").isNotNull())
+    made = F.struct(F.col("i.row").alias("i"), F.col("j.row").alias("j"), F.array(*(v.cast("double") for v in edge.values())).cast("array<double>").alias("f"))
+    cells = X.with_differences(cells, settings).select(*config.by, F.when(F.col("_on"), made).alias("_c"), "_head")
+    g = cells.groupBy(*config.by).agg(F.array_sort(F.collect_list("_c")).alias("_e"), F.first("_head", ignorenulls=True).alias("_head"))
+    g = g.select(*config.by, "_e", "_head._n", F.col("_head._label").alias("label"), F.col("_head._graph_id").alias("graph_id"))
     n = F.size("_n")
     g = g.withColumns({
         "x": F.transform("_n", lambda v: v["f"]),
-        "e": F.coalesce(F.transform("_e", lambda c: c["f"]), F.array().cast("array<array<double>>")),
+        "e": F.transform("_e", lambda c: c["f"]),
         "a": F.transform("_n", lambda i: F.transform("_n", lambda j: F.when(on(i, j), 1).otherwise(0))),
         "object_ids": F.transform("_n", lambda v: F.nullif(v["id"].cast("string"), F.lit(""))),
         "ball_owning_team_id": F.element_at("_n", 1)["ball_owning_team_id"],
     })
     g = g.withColumns({"x_shape_0": n.cast("long"), "x_shape_1": F.lit(len(names)).cast("long"), "e_shape_0": F.size("e").cast("long"), "e_shape_1": F.lit(len(edge)).cast("long"), "a_shape_0": n.cast("long"), "a_shape_1": n.cast("long"), "label": F.col("label").cast("long"), "frame_id": F.col("frame_id").cast("long")})
-    head = [c for c in config.by if c != "frame_id"]
-    return g.select(*head, *(f.split()[0] for f in SCHEMA.split(", ")))
-
-
-def numpy_graphs(df: DataFrame, config: GraphConfig, settings: Settings) -> DataFrame:
-    """Graphs with features of one's own that are numpy functions, called once per frame with its arrays.
-
-    Keywords: every kept column by name, position and velocity (N, 3), ball_position, is_gk, ball_id,
-    possession_team_id, settings. The built-in columns come first, then the functions' in the order given.
+    columns = [*(c for c in config.by if c != "frame_id"), *(f.split()[0] for f in SCHEMA.split(", "))]
+    if numpy_style:
+        return with_numpy(g, columns, own, config, settings)
+    return g.select(*columns)
+
+
+def keywords(r: dict, config: GraphConfig, settings: Settings) -> dict:
+    """What a numpy function gets: the frame's columns as arrays, and what follows from them."""
+    finite_ = lambda m: np.nan_to_num(m, nan=1e-10, posinf=1e3, neginf=-1e3)
+    kw = {c: np.asarray(v) for c, v in r.items()}
+    n = len(kw["id"])
+    kw["position"] = finite_(np.stack([kw[c].astype(float) for c in "xyz" if c in kw], 1))
+    if "vx" in kw:
+        kw["velocity"] = finite_(np.stack([kw[c].astype(float) for c in ("vx", "vy", "vz") if c in kw], 1))
+    ball = np.flatnonzero(kw["team_id"] == settings.ball_id)
+    carriers = np.flatnonzero(kw["is_ball_carrier"].astype(bool)) if "is_ball_carrier" in kw else []
+    return kw | {
+        "ball_id": settings.ball_id,
+        "possession_team_id": kw["ball_owning_team_id"][0],
+        "is_gk": kw["position_name"] == "GK" if "position_name" in kw else np.zeros(n, bool),
+        "ball_position": kw["position"][ball[0]] if len(ball) else np.zeros(kw["position"].shape[1]),
+        "ball_idx": ball if len(ball) else 0,
+        "ball_carrier_idx": carriers[0] if len(carriers) else None,
+        "settings": settings,
+        "feature_opts": config.feature_opts,
+    }
+
+
+def with_numpy(g: DataFrame, columns: list[str], own: list[str], config: GraphConfig, settings: Settings) -> DataFrame:
+    """Append columns of numpy functions, called once per frame, to x and e.
+
+    Keywords: every column of the input by name, position and velocity (N, 3), ball_position, ball_idx,
+    ball_carrier_idx, is_gk, ball_id, possession_team_id, settings, feature_opts. Built-in columns come first, then the
+    functions' in the order given.
     """
-    d, names = node_table(prepared(df, config, settings), config, settings)
-    own_nodes = X.checked([f for f in config.node_functions if f.feature_style == "numpy"], "node")
-    own_edges = X.checked([f for f in config.edge_functions if f.feature_style == "numpy"], "edge")
-    columns = [c for c in d.columns if c not in config.by]
-    objects = F.array_sort(F.collect_list(F.struct(frames.graph_order(settings).alias("_o"), *columns)))
-    array_of = lambda c: F.transform("_n", lambda v: v[c])
-    # a frame is a row of arrays, so that many frames go to Python in one batch
-    packed = d.groupBy(*config.by).agg(objects.alias("_n")).select(*config.by, *(array_of(c).alias(c) for c in columns))
-    head = [c for c in config.by if c != "frame_id"]
+    own_nodes, own_edges = of_style(config.node_functions, "numpy", "node"), of_style(config.edge_functions, "numpy", "edge")
+    # a frame is a row of flat arrays, so that many frames go to Python in one batch
+    flat = {"x": F.flatten("x"), "e": F.flatten("e"), "a": F.flatten("a")}
+    array_of = lambda c: F.transform("_n", lambda v: v[c]).alias(f"_{c}")
+    source = g.select(*(flat[c].alias(c) if c in flat else c for c in columns), *map(array_of, own))
 
     def graph(r: dict) -> list:
-        kw = {c: np.asarray(r[c]) for c in columns}
-        n, team, own = len(kw["id"]), kw["team_id"], kw["ball_owning_team_id"]
-        kw["position"] = np.stack([kw[c].astype(float) for c in "xyz" if c in kw], 1)
-        kw |= {"ball_id": settings.ball_id, "possession_team_id": own[0], "settings": settings}
-        if "vx" in kw:
-            kw["velocity"] = np.stack([kw[c].astype(float) for c in ("vx", "vy", "vz")], 1)
-        is_ball = team == settings.ball_id
-        ball = np.flatnonzero(is_ball)
-        kw["ball_position"] = kw["position"][ball[0]] if len(ball) else np.full(kw["position"].shape[1], np.nan)
-        kw["is_gk"] = kw["position_name"] == "GK" if "position_name" in kw else np.zeros(n, bool)
-        x = [np.stack([kw[c].astype(float) for c in names], 1)]
+        kw = keywords({c: r[f"_{c}"] for c in own}, config, settings)
+        n = len(kw["id"])
+        a = np.asarray(r["a"]).reshape(n, n) > 0
+        x, e = ([np.asarray(r[c], float).reshape(r[f"{c}_shape_0"], r[f"{c}_shape_1"])] for c in "xe")
         for f in own_nodes:
             v = np.asarray(f(**kw), float)
             if v.shape[:1] != (n,) or v.ndim > 2:
                 raise ValueError(f"node feature {f.__name__} must return (N,) or (N, k), not {v.shape}")
             x.append(v.reshape(n, -1))
-        att, dfn = team == own, (team != own) & ~is_ball
-        a = {pairs.DENSE: np.ones((n, n), bool), pairs.DENSE_AP: np.outer(att, att), pairs.DENSE_DP: np.outer(dfn, dfn), pairs.SPLIT_BY_TEAM: team[:, None] == team[None, :]}[config.adjacency]
-        if config.connect == pairs.TO_BALL:
-            a = a | is_ball[:, None] | is_ball[None, :]
-        elif config.connect == pairs.TO_CARRIER:
-            carrier = kw["is_ball_carrier"].astype(bool)
-            a = a | np.outer(is_ball, carrier) | np.outer(carrier, is_ball)
-        e = []
         for f in own_edges:
             got = f(**kw)
             for v in got if isinstance(got, tuple) else (got,):
                 v = np.asarray(v, float)
                 if v.shape != (n, n):
                     raise ValueError(f"edge feature {f.__name__} must return (N, N), not {v.shape}")
-                e.append(v[a])
-        x, e = np.nan_to_num(np.hstack(x)), np.nan_to_num(np.stack(e, 1)) if e else np.zeros((int(a.sum()), 0))
-        label = r[config.label_col][0]
-        shapes = [k for m in (x, e, a) for k in m.shape]
-        ids = [str(i) or None if i is not None else None for i in r["id"]]
-        return [*(r[c] for c in head), x.tolist(), e.tolist(), a.astype(int).tolist(), *shapes, r[config.graph_id_col][0], None if pd.isna(label) else int(label), int(r["frame_id"]), ids, own[0]]
+                e.append(v[a][:, None])
+        x, e = np.nan_to_num(np.hstack(x)), np.nan_to_num(np.hstack(e))
+        made = {"x": x.tolist(), "e": e.tolist(), "a": a.astype(int).tolist(), "x_shape_1": x.shape[1], "e_shape_1": e.shape[1]}
+        made["label"] = None if pd.isna(r["label"]) else int(r["label"])
+        return [made.get(c, r[c]) for c in columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = [*head, *(f.split()[0] for f in SCHEMA.split(", "))]
         for pdf in batches:
             rows = [graph(dict(zip(pdf.columns, r, strict=True))) for r in pdf.itertuples(index=False, name=None)]
-            yield pd.DataFrame(rows, columns=out).astype({"label": "Int64"})
+            yield pd.DataFrame(rows, columns=columns).astype({"label": "Int64"})
 
-    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in head)
-    return packed.mapInPandas(run, kinds + SCHEMA)
+    kinds = {f.name: f.dataType.simpleString() for f in g.schema.fields}
+    return source.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
 
 
 def dimensions(graphs: DataFrame) -> DataFrame:

@@ -88,15 +88,13 @@ def w3_smoothing(spark, sf_dir):
 
 # --- sources ----------------------------------------------------------------------------------------------------------
 
-WIDE = ["h01", "h02", "ball"]
-
-
-@query(f"""WITH {TRACKING} SELECT frame_id, id, {q4("x")} AS x, {q4("y")} AS y, {q4("CASE WHEN id = 'ball' THEN z ELSE 0 END")} AS z FROM t WHERE id IN ('h01', 'h02', 'ball')""")
+@query(f"""WITH {TRACKING} SELECT frame_id, id, {q4("x")} AS x, {q4("y")} AS y, {q4("CASE WHEN id = 'ball' THEN z ELSE 0 END")} AS z FROM t""")
 def s9_unpivot(spark, sf_dir):
-    """Wide provider rows to a row per object; a missing z is 0."""
+    """Wide provider rows of all 23 objects to a row per object; a missing z is 0."""
     t = tracking(spark, sf_dir)
+    ids = [*(f"h{k:02}" for k in range(11)), *(f"a{k}" for k in range(11, 22)), BALL]
     pick = lambda i, c: F.max(F.when(F.col("id") == i, F.col(c))).alias(f"{i}_{c}")
-    wide = t.groupBy("frame_id").agg(*(pick(i, c) for i in WIDE for c in "xy"), pick("ball", "z"))
+    wide = t.groupBy("frame_id").agg(*(pick(i, c) for i in ids for c in "xy"), pick(BALL, "z"))
     return soccer.unpivot(wide, ["frame_id"]).select("frame_id", "id", *(r4(c).alias(c) for c in "xyz"))
 
 
@@ -435,14 +433,34 @@ def g11_football_edges(spark, sf_dir):
     return e.groupBy("frame_id", F.col("i.id").alias("id")).agg(F.count("*").alias("edges"), *(r4(F.sum(n)).alias(n[2:]) for n in names))
 
 
-@query(f"""WITH {TRACKING}, e AS (SELECT a.frame_id, count(*) AS n FROM t a JOIN t b USING ({KEYS}) WHERE a.team_id = b.team_id OR a.id = 'ball' OR b.id = 'ball' GROUP BY a.frame_id),
-n AS (SELECT frame_id, any_value(game_id) || '-' || CAST(any_value(period_id) AS VARCHAR) || '-' || CAST(frame_id AS VARCHAR) AS graph_id, count(*) AS n, any_value(ball_owning_team_id) AS ball_owning_team_id,
-  string_agg(id, ',' ORDER BY CASE WHEN id = 'ball' THEN 2 WHEN team_id = ball_owning_team_id THEN -1 ELSE 0 END, id) AS ids FROM t GROUP BY frame_id)
-SELECT frame_id, graph_id, n.n AS x_shape_0, 15::BIGINT AS x_shape_1, e.n AS e_shape_0, 6::BIGINT AS e_shape_1, e.n AS ones, ids, ball_owning_team_id, NULL::BIGINT AS label FROM n JOIN e USING (frame_id)""")
+ORDER = "CASE WHEN id = 'ball' THEN 2 WHEN team_id = ball_owning_team_id THEN -1 ELSE 0 END, id"
+PLACED = f"s AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY {ORDER}) - 1 AS place FROM t)"
+
+
+def weighed(columns: list[tuple[str, str]], row: str) -> str:
+    """Sum of a matrix' values times their numbers in row-major order, so that a value in another place shows."""
+    return " + ".join(f"({row} * {len(columns)} + {k + 1}) * CAST({e} AS DOUBLE)" for k, (_, e) in enumerate(columns))
+
+
+def in_places(matrix: str) -> Column:
+    """The same of an array of arrays."""
+    flat = F.flatten(matrix)
+    return r4(F.aggregate(F.transform(flat, lambda v, k: v * (k + 1) / 1000), F.lit(0.0), lambda a, v: a + v))
+
+
+@query(f"""WITH {TRACKING}, {PLACED}, b AS (SELECT {KEYS}, x AS bx, y AS by_, z AS bz FROM t WHERE id = 'ball'), w AS (SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS n FROM s JOIN b USING ({KEYS})),
+x AS (SELECT frame_id, sum({weighed(NODES, "place")}) / 1000 AS nodes FROM w GROUP BY frame_id),
+p AS (SELECT a.frame_id, a.id = 'ball' AS ball, row_number() OVER (PARTITION BY a.frame_id ORDER BY a.place, b.place) - 1 AS k, a.place * 23 + b.place AS cell, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz, b.vx - a.vx AS dvx, b.vy - a.vy AS dvy, b.v - a.v AS dv
+  FROM s a JOIN s b USING ({KEYS}) WHERE a.team_id = b.team_id OR a.id = 'ball' OR b.id = 'ball'), q AS (SELECT *, sqrt(dx * dx + dy * dy) AS np, sqrt(dvx * dvx + dvy * dvy) AS nv FROM p),
+e AS (SELECT frame_id, count(*) AS n, sum(cell)::BIGINT AS cells, sum({weighed(EDGES, "k")}) / 1000 AS edges FROM q GROUP BY frame_id),
+n AS (SELECT frame_id, any_value(game_id) || '-' || CAST(any_value(period_id) AS VARCHAR) || '-' || CAST(frame_id AS VARCHAR) AS graph_id, count(*) AS n, any_value(ball_owning_team_id) AS ball_owning_team_id, string_agg(id, ',' ORDER BY {ORDER}) AS ids FROM t GROUP BY frame_id)
+SELECT frame_id, graph_id, n.n AS x_shape_0, 15::BIGINT AS x_shape_1, e.n AS e_shape_0, 6::BIGINT AS e_shape_1, e.n AS ones, cells, {q4("nodes")} AS nodes, {q4("edges")} AS edges, ids, ball_owning_team_id, NULL::BIGINT AS label FROM n JOIN e USING (frame_id) JOIN x USING (frame_id)""")
 def g15_graphs(spark, sf_dir):
-    """Graph rows with shapes, ones of the adjacency and ids."""
+    """Graph rows with shapes, ids, the places of the ones, and all values of x and e by place."""
     g = graphs.build_graphs(frames.with_graph_ids(tracking(spark, sf_dir)), graphs.GraphConfig(prediction=True), SOCCER)
-    return g.select("frame_id", "graph_id", "x_shape_0", "x_shape_1", "e_shape_0", "e_shape_1", F.aggregate(F.flatten("a"), F.lit(0).cast("long"), lambda s, v: s + v).alias("ones"), F.array_join("object_ids", ",").alias("ids"), "ball_owning_team_id", "label")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + v)
+    ones = F.flatten("a")
+    return g.select("frame_id", "graph_id", "x_shape_0", "x_shape_1", "e_shape_0", "e_shape_1", total(ones).alias("ones"), total(F.transform(ones, lambda v, k: v * k)).alias("cells"), in_places("x").alias("nodes"), in_places("e").alias("edges"), F.array_join("object_ids", ",").alias("ids"), "ball_owning_team_id", "label")
 
 
 @query(f"WITH {TRACKING} SELECT 23::BIGINT AS most_nodes, 15::BIGINT AS node_features, 6::BIGINT AS edge_features, count(DISTINCT frame_id) AS graphs FROM t")
@@ -464,14 +482,14 @@ def gap(**kw):
     return ((p[:, None] - p[None]) ** 2).sum(-1) ** 0.5
 
 
-@query(f"""WITH {EDGE_PAIRS}, s AS (SELECT frame_id, sum(sqrt(dx * dx + dy * dy + dz * dz)) AS g FROM e GROUP BY frame_id), n AS (SELECT frame_id, sum(2 * v) AS v FROM t GROUP BY frame_id)
-SELECT frame_id, 16::BIGINT AS x_shape_1, 1::BIGINT AS e_shape_1, {q4("v")} AS speeds, {q4("g")} AS gaps FROM s JOIN n USING (frame_id)""")
+@query(f"""WITH {EDGE_PAIRS}, s AS (SELECT frame_id, sum(sqrt(dx * dx + dy * dy + dz * dz)) AS g, sum({EDGES[0][1]}) AS d FROM e GROUP BY frame_id), n AS (SELECT frame_id, sum(2 * v) AS v FROM t GROUP BY frame_id)
+SELECT frame_id, 16::BIGINT AS x_shape_1, 7::BIGINT AS e_shape_1, {q4("v")} AS speeds, {q4("d")} AS distances, {q4("g")} AS gaps FROM s JOIN n USING (frame_id)""")
 def v_own_features(spark, sf_dir):
-    """V1 V2 V3 V4 V5 V6: numpy features of one's own, called once per frame."""
-    config = graphs.GraphConfig(prediction=True, node_functions=(twice_the_speed,), edge_functions=(gap,))
+    """V1 V2 V3 V4 V5 V6: numpy features of one's own, called once per frame, after the built-in ones."""
+    config = graphs.GraphConfig(prediction=True, node_functions=(twice_the_speed,), edge_functions=(gap,), builtin_edges=True)
     g = graphs.build_graphs(frames.with_graph_ids(tracking(spark, sf_dir)), config, SOCCER)
     total = lambda c, at: r4(F.aggregate(F.transform(c, lambda row: row[at]), F.lit(0.0), lambda a, x: a + x))
-    return g.select("frame_id", "x_shape_1", "e_shape_1", total("x", 15).alias("speeds"), total("e", 0).alias("gaps"))
+    return g.select("frame_id", "x_shape_1", "e_shape_1", total("x", 15).alias("speeds"), total("e", 0).alias("distances"), total("e", 6).alias("gaps"))
 
 
 # --- pressing ---------------------------------------------------------------------------------------------------------
@@ -501,12 +519,15 @@ def x_pressing_full(spark, sf_dir):
     return c.groupBy("frame_id", "row_id").agg(F.count("*").alias("cells"), r4(F.sum("tti")).alias("tti"), r4(F.sum("pti")).alias("pti"))
 
 
-@query(f"""WITH {TRACKING} SELECT frame_id, 11::INTEGER AS n_rows, 11::INTEGER AS n_columns,
-string_agg(id, ',' ORDER BY id) FILTER (team_id = ball_owning_team_id) AS columns, string_agg(id, ',' ORDER BY id) FILTER (team_id <> ball_owning_team_id AND id <> 'ball') AS rows FROM t GROUP BY frame_id""")
+@query(f"""WITH {TRACKING}, {RUN}, k AS (SELECT * FROM m WHERE rt <> own AND rt <> 'ball' AND (ct = own OR ct = 'ball')),
+x AS (SELECT frame_id, row_id, column_id, CASE WHEN carries THEN least(tti, min(CASE WHEN ct = 'ball' THEN tti END) OVER (PARTITION BY frame_id, row_id)) ELSE tti END AS tti, ct FROM k),
+p AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY row_id, column_id) AS place FROM x WHERE ct <> 'ball')
+SELECT frame_id, 11::INTEGER AS n_rows, 11::INTEGER AS n_columns, {q4("sum(tti * place) / 1000")} AS times, {q4(f"sum({PTI} * place) / 1000")} AS probabilities,
+  string_agg(DISTINCT column_id, ',' ORDER BY column_id) AS columns, string_agg(DISTINCT row_id, ',' ORDER BY row_id) AS rows FROM p GROUP BY frame_id""")
 def x7_pressing_matrices(spark, sf_dir):
-    """One row per frame of matrices and the ids of their rows and columns."""
+    """One row per frame of matrices, all their values by place, and the ids of their rows and columns."""
     m = pressing.pressing_matrices(pressing.pressing_pairs(tracking(spark, sf_dir), SOCCER))
-    return m.select("frame_id", F.size("time_to_intercept").alias("n_rows"), F.size(F.element_at("probability_to_intercept", 1)).alias("n_columns"), F.array_join("columns", ",").alias("columns"), F.array_join("rows", ",").alias("rows"))
+    return m.select("frame_id", F.size("time_to_intercept").alias("n_rows"), F.size(F.element_at("probability_to_intercept", 1)).alias("n_columns"), in_places("time_to_intercept").alias("times"), in_places("probability_to_intercept").alias("probabilities"), F.array_join("columns", ",").alias("columns"), F.array_join("rows", ",").alias("rows"))
 
 
 # --- formations -------------------------------------------------------------------------------------------------------
