@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom.functions import geometry, scalar
-from trackloom.operators import features, formations, frames, graphs, kinematics, pairs, possession, pressing, splits
+from trackloom.operators import datasets, features, formations, frames, graphs, kinematics, pairs, possession, pressing, splits
 from trackloom.plans.views import FEED, TRACKING, feed, table, tracking
 from trackloom.schema import BALL, FRAME, FootballSettings, Settings
-from trackloom.sources import football, graph_files, soccer
+from trackloom.sources import football, graph_files, providers, soccer
 from trackloom.sources.files import scratch
 from trackloom.streaming import feed as stream
 
@@ -131,6 +132,56 @@ def f26_arrays(spark, sf_dir):
     return p.select("user_id", n(ids).alias("n"), F.slice(ids, 1, 3).isNotNull().alias("has_slice"), total.alias("first_three"), n(F.filter(kinds, lambda x: x != 0)).alias("nonzero"), n(F.array_except(allowed, kinds)).alias("absent"))
 
 
+def xml_files(t: DataFrame, path: str) -> None:
+    """``t`` as a positions XML, a set of frames per object and half, and a match information XML."""
+    attribute = lambda name, value: F.concat(F.lit(f'{name}="'), value.cast("string"), F.lit('" '))
+    ball = F.col("id") == BALL
+    frame = F.concat(F.lit("<Frame "), attribute("N", F.col("frame_id")), attribute("X", F.col("x")), attribute("Y", F.col("y")), F.when(ball, F.concat(
+        attribute("Z", F.col("z")), attribute("BallPossession", F.when(F.col("ball_owning_team_id") == "home", 1).otherwise(2)), attribute("BallStatus", F.lit(1)))).otherwise(F.lit("")), F.lit("/>"))
+    sets = t.groupBy("period_id", "id", "team_id").agg(F.array_join(F.collect_list(frame), "").alias("frames"))
+    head = F.concat(F.lit("<FrameSet "), attribute("GameSection", F.when(F.col("period_id") == 1, "firstHalf").otherwise("secondHalf")), attribute("MatchId", F.lit("m")), attribute("TeamId", F.when(F.col("id") == BALL, "BALL").otherwise(F.col("team_id"))), attribute("PersonId", F.col("id")), F.lit(">"))
+    file = F.concat(F.lit("<PutDataRequest><Positions>"), head, "frames", F.lit("</FrameSet></Positions></PutDataRequest>"))
+    sets.select(file).write.option("maxRecordsPerFile", 1).text(f"{path}/tracking")
+    player = F.concat(F.lit("<Player "), attribute("PersonId", F.col("id")), F.when(F.col("position_name") == "GK", attribute("PlayingPosition", F.lit("TW"))).otherwise(F.lit("")), F.lit("/>"))
+    teams = t.where(F.col("id") != BALL).select("team_id", "id", "position_name").distinct().groupBy("team_id").agg(F.array_join(F.collect_list(player), "").alias("p"))
+    team = F.concat(F.lit("<Team "), attribute("TeamId", F.col("team_id")), F.lit("><Players>"), "p", F.lit("</Players></Team>"))
+    m = teams.groupBy().agg(F.concat(F.lit('<MatchInformation><General MatchId="m" HomeTeamId="home" GuestTeamId="away"/><Teams>'), F.array_join(F.collect_list(team), ""), F.lit("</Teams></MatchInformation>")))
+    m.coalesce(1).write.text(f"{path}/meta")
+
+
+@query(f"""WITH {TRACKING}, p AS (SELECT *, min(frame_id) OVER (PARTITION BY period_id) AS f FROM t)
+SELECT period_id, frame_id, id, CASE WHEN id = 'ball' THEN 'ball' ELSE team_id END AS team_id, CASE WHEN id = 'ball' THEN 'ball' WHEN position_name = 'GK' THEN 'GK' END AS position_name, (frame_id - f) * 40 AS t_ms, ball_owning_team_id, 'alive' AS ball_state,
+  {q4("CASE WHEN ball_owning_team_id <> 'home' THEN -x ELSE x END")} AS x, {q4("CASE WHEN ball_owning_team_id <> 'home' THEN -y ELSE y END")} AS y, {q4("CASE WHEN id = 'ball' THEN z ELSE 0 END")} AS z FROM p""")
+def s5_positions_xml(spark, sf_dir):
+    """Provider files written, read with their roster and taken through the whole pipeline."""
+    path = scratch(spark, "provider")
+    xml_files(tracking(spark, sf_dir), path)
+    d = soccer.load_feed(providers.sportec(spark, f"{path}/tracking", f"{path}/meta"), SOCCER)
+    return d.select("period_id", "frame_id", "id", "team_id", "position_name", "t_ms", "ball_owning_team_id", "ball_state", *(r4(c).alias(c) for c in "xyz"))
+
+
+@query(f"""WITH {TRACKING}, p AS (SELECT *, CASE WHEN period_id = 1 THEN 0 ELSE 2700000 END AS f FROM t)
+SELECT frame_id, id, CAST(frame_id * 40 AS BIGINT) AS t_ms, ball_owning_team_id, {q4("x")} AS x, {q4("y")} AS y, {q4("CASE WHEN id = 'ball' THEN z ELSE 0 END")} AS z FROM p""")
+def s5_structured_json(spark, sf_dir):
+    """Frames as an array of JSON with trackable objects, and the match data that names them."""
+    path, t = scratch(spark, "structured"), tracking(spark, sf_dir)
+    number = F.when(F.col("id") == BALL, 55).otherwise(1000 + F.col("i"))
+    ms = F.col("frame_id") * 40 + F.when(F.col("period_id") == 2, 2_700_000).otherwise(0)
+    clock = F.format_string("%d:%02d:%02d.%02d", (ms / 3_600_000).cast("int"), ((ms % 3_600_000) / 60_000).cast("int"), ((ms % 60_000) / 1000).cast("int"), ((ms % 1000) / 10).cast("int"))
+    group = F.struct(F.concat(F.first("ball_owning_team_id"), F.lit(" team")).alias("group"))
+    data = F.collect_list(F.struct(number.alias("trackable_object"), "x", "y", F.when(F.col("id") == BALL, F.col("z")).alias("z")))
+    f = t.groupBy(F.col("frame_id").alias("frame"), F.col("period_id").alias("period"), clock.alias("timestamp")).agg(group.alias("possession"), data.alias("data"))
+    f.select(F.to_json(F.struct(*f.columns))).write.option("compression", "gzip").text(f"{path}/frames")
+    people = [{"id": k, "trackable_object": 1000 + k, "team_id": 1 if k < 11 else 2, "player_role": {"acronym": "GK" if k in (0, 11) else "SUB"}} for k in range(22)]
+    meta = {"id": 7, "home_team": {"id": 1}, "away_team": {"id": 2}, "ball": {"trackable_object": 55}, "players": people}
+    spark.range(1).select(F.lit(json.dumps(meta))).write.text(f"{path}/match")
+    rows, _, _ = providers.skillcorner(spark, f"{path}/frames", f"{path}/match", multi_line=False)
+    k = F.col("id").try_cast("int")
+    names = F.when(F.col("id") == BALL, F.lit(BALL)).otherwise(F.concat(F.when(k < 11, "h").otherwise("a"), F.lpad(k.cast("string"), 2, "0")))
+    owner = F.when(F.col("ball_owning_team_id") == "1", "home").when(F.col("ball_owning_team_id") == "2", "away")
+    return rows.select("frame_id", names.alias("id"), "t_ms", owner.alias("ball_owning_team_id"), *(r4(c).alias(c) for c in "xyz"))
+
+
 PLAYER = "SELECT c_custkey AS k, CAST(5 + c_custkey % 2 AS VARCHAR) || '-' || CAST(c_custkey % 12 AS VARCHAR) AS height, CAST(150 + c_custkey % 200 AS VARCHAR) AS weight FROM customer"
 FIELD = """f AS (SELECT CAST(o_orderkey AS BIGINT) AS gameid, CAST(o_custkey AS BIGINT) AS nflid, CASE WHEN o_orderkey % 2 = 0 THEN 'left' ELSE 'right' END AS way,
   CAST(o_orderkey * 7 % 1200 AS DOUBLE) / 10 AS x, CAST(o_orderkey * 11 % 533 AS DOUBLE) / 10 AS y, CAST(o_orderkey * 13 % 3600 AS DOUBLE) / 10 AS o, CAST(o_orderkey * 17 % 3600 AS DOUBLE) / 10 AS dir FROM orders)"""
@@ -600,6 +651,49 @@ def m3_split_groups(spark, sf_dir):
     return splits.split_groups(d, "k", 6, 3, 1).distinct()
 
 
+TEXT_HASH = lambda e: f"(('0x' || substr(md5('0:' || {e}), 1, 12))::BIGINT % 999983)"
+
+
+@query(f"""WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS k, 'g-' || CAST(o_custkey AS VARCHAR) AS g FROM orders), c AS (SELECT g, count(*) AS c FROM o GROUP BY g), s AS (SELECT g, sum(c) OVER (ORDER BY {TEXT_HASH("g")}, g) - c AS b, (SELECT count(*) FROM o) AS n FROM c),
+z AS (SELECT *, n - floor(0.6 * n) - floor(0.3 * n) AS v, floor(0.3 * n) AS t FROM s), e AS (SELECT min(b) AS v_end FROM z WHERE b >= v)
+SELECT k, CASE WHEN b < v_end THEN 'validation' WHEN b < v_end + t THEN 'test' ELSE 'train' END AS split FROM z, e, o WHERE o.g = z.g""")
+def m3_split_text_groups(spark, sf_dir):
+    """M3: groups that are named by text, as graph ids are."""
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"), scalar.dashed(F.lit("g"), F.col("o_custkey")).alias("g"))
+    return splits.split_groups(d, "g", 6, 3, 1).select("k", "split")
+
+
+@query(f"""WITH {TRACKING}, g AS (SELECT DISTINCT frame_id FROM t), u AS (SELECT frame_id FROM g UNION ALL SELECT frame_id FROM g WHERE frame_id % 2 = 0),
+r AS (SELECT frame_id, row_number() OVER (ORDER BY {HASH.replace("k", "frame_id")}, frame_id) - 1 AS p, count(*) OVER () AS n FROM u)
+SELECT CASE WHEN p < floor(0.8 * n) THEN 'train' ELSE 'test' END AS part, count(*) AS graphs, sum(frame_id)::BIGINT AS frames FROM r GROUP BY 1""")
+def u4_dataset(spark, sf_dir):
+    """U4 M2 M6 M7: graph datasets added to each other and split."""
+    t = tracking(spark, sf_dir)
+    build = lambda d: datasets.graph_dataset(spark, graphs.build_graphs(frames.with_graph_ids(d), graphs.GraphConfig(prediction=True), SOCCER).select("x", "e", "a", "label", "graph_id", "frame_id"))
+    both = build(t).add(build(t.where(F.col("frame_id") % 2 == 0)))
+    parts = zip(("train", "test"), both.split(0.8, 0.2, by_graph_id=False), strict=True)
+    train, test = (d.graphs.select(F.lit(name).alias("part"), "frame_id") for name, d in parts)
+    return train.unionByName(test).groupBy("part").agg(F.count("*").alias("graphs"), F.sum("frame_id").alias("frames"))
+
+
+@query(f"""WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_orderkey % 6 AS INTEGER) AS q, CAST((o_orderkey % 15) AS INTEGER) AS m, CAST(o_orderkey % 60 AS INTEGER) AS s, CAST(o_orderkey % 30 AS INTEGER) AS hs, CAST(o_orderkey % 20 AS INTEGER) AS vs, CAST(o_orderkey % 25 AS DOUBLE) AS y, o_orderkey % 2 = 0 AS home FROM orders)
+SELECT k AS game_id, home AS is_home, {q4("(CASE WHEN home THEN hs - vs ELSE vs - hs END) / 100.0")} AS diff, {q4("CASE WHEN home THEN 0.25 ELSE 0.75 END")} AS chance, {q4("m / (CASE WHEN q <= 4 THEN 15.0 ELSE 10.0 END)")} AS minute, {q4("s / 60.0")} AS second,
+  {q4("CASE WHEN q <= 4 THEN (3600 - ((greatest(q, 1) - 1) * 900 + m * 60 + s)) / 3600.0 ELSE (600 - (m * 60 + s)) / 600.0 END")} AS game_left, {q4("(m * 60 + s) / (CASE WHEN q <= 4 THEN 900.0 ELSE 600.0 END)")} AS quarter_left, {q4("y / 50")} AS to_go,
+  k % 3 = 0 AS is_pass, 'V ' || CAST(vs AS VARCHAR) || ' - H ' || CAST(hs AS VARCHAR) AS board FROM o""")
+def m13_plays_features(spark, sf_dir):
+    """Inputs and targets of a play: clock, score and field as shares."""
+    k = F.col("o_orderkey").cast("long")
+    part = lambda m: (k % m).cast("int")
+    o = table(spark, sf_dir, "orders").select(
+        k.alias("gameId"), F.lit(1).alias("playId"), F.when(k % 2 == 0, "H").otherwise("V").alias("possessionTeam"), part(6).alias("quarter"), part(4).alias("down"), part(25).cast("double").alias("yardsToGo"), part(50).cast("double").alias("yardlineNumber"),
+        F.concat(F.lpad(part(15).cast("string"), 2, "0"), F.lit(":"), F.lpad(part(60).cast("string"), 2, "0")).alias("gameClock"), part(30).alias("preSnapHomeScore"), part(20).alias("preSnapVisitorScore"), F.lit(0.25).alias("preSnapHomeTeamWinProbability"),
+        F.when(k % 3 == 0, "C").alias("passResult"), F.lit(5.0).alias("prePenaltyYardsGained"), F.lit(5.0).alias("yardsGained"),
+    )
+    d, _ = football.plays_features(o, o.select("gameId", F.lit("H").alias("homeTeamAbbr"), F.lit("V").alias("visitorTeamAbbr")))
+    shares = {"diff": "preSnapScoreDiff", "chance": "preSnapTeamWinProbability", "minute": "quarterMinute", "second": "quarterSecond", "game_left": "gameSecondsLeft", "quarter_left": "quarterSecondsLeft", "to_go": "yardsToGo"}
+    return d.select(F.col("gameId").alias("game_id"), F.col("isHome").alias("is_home"), *(r4(c).alias(n) for n, c in shares.items()), F.col("isPass").alias("is_pass"), F.col("scoreBoard").alias("board"))
+
+
 @query(f"""WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS k, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS label FROM orders), n AS (SELECT count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0 FROM o),
 r AS (SELECT o.*, row_number() OVER (PARTITION BY label ORDER BY {HASH}, k) - 1 AS p FROM o)
 SELECT label, count(*) AS n, min(k) AS first_key, sum(k)::BIGINT AS keys FROM r, n WHERE p < CASE WHEN label = 1 THEN least(n1, floor(n0 * 0.4 / 0.6)) ELSE least(n0, floor(n1 * 0.6 / 0.4)) END GROUP BY label""")

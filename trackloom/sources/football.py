@@ -12,6 +12,10 @@ from trackloom.schema import FOOTBALL, FootballSettings
 #: Fixed tokens that stand for null in the feed, and the id of the ball.
 NULLS = ["NA", "NULL", ""]
 BALL_ID = -9999.9
+#: Kinds of frames, events that end a play before or at the snap, and events of the huddle.
+BEFORE_SNAP, SNAP = "BEFORE_SNAP", "SNAP"
+ENDING = ["field_goal_play", "pass_forward", "timeout_away", "timeout_home", "snap_direct"]
+HUDDLE = ["huddle_break_offense", "huddle_start_offense"]
 
 
 def scan(spark: SparkSession, path: str, types: dict[str, str] | None = None, sep: str = ",") -> DataFrame:
@@ -57,6 +61,59 @@ def tracking(feed: DataFrame, players_: DataFrame, plays: DataFrame, settings: F
     )
 
 
+#: Types of the columns that the loader reads as numbers.
+TRACKING_TYPES = {"gameId": "bigint", "playId": "bigint", "nflId": "double", "frameId": "bigint", "x": "double", "y": "double", "s": "double", "a": "double", "dis": "double", "o": "double", "dir": "double"}
+PLAYER_TYPES = {"nflId": "double", "weight": "double"}
+PLAY_TYPES = {"gameId": "bigint", "playId": "bigint"}
+
+
+def load(spark: SparkSession, tracking_path: str, players_path: str, plays_path: str, settings: FootballSettings = FootballSettings(), sample_rate: float | None = None) -> DataFrame:
+    """``tracking`` of three CSV files or folders; unknown sizes and positions are null."""
+    feed, players_, plays = (scan(spark, p, t) for p, t in ((tracking_path, TRACKING_TYPES), (players_path, PLAYER_TYPES), (plays_path, PLAY_TYPES)))
+    return tracking(feed, players_, plays, settings, sample_rate)
+
+
+def before_snap(tracking_: DataFrame) -> DataFrame:
+    """Rows before the snap of plays that don't end at once: plays with one of ENDING's events up to the snap go, events
+    are carried forward per player, and rows of the huddle go."""
+    early = F.col("frameType").isin(BEFORE_SNAP, SNAP)
+    ended = tracking_.where(early & F.col("event").isin(ENDING)).select("gameId", "playId").distinct()
+    d = tracking_.join(ended, ["gameId", "playId"], "left_anti").where(early)
+    d = filled_forward(d, "event", ["gameId", "playId", "nflId"], ["frameId"])
+    # a null event is no member of HUDDLE and no other either, so its row goes
+    return d.where(~F.col("event").isin(HUDDLE) & (F.col("frameType") != SNAP))
+
+
+def plays_features(plays: DataFrame, games: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Model inputs and targets of each play, and the names of the ``x``, ``y`` and ``other`` columns.
+
+    ``plays`` and ``games`` are joined by gameId. Shares: a quarter has 900 seconds, a game 3600, overtime 600.
+    """
+    c = F.col
+    home, normal = c("possessionTeam") == c("homeTeamAbbr"), c("quarter") <= 4
+    minute, second = (F.split("gameClock", ":")[k].cast("int") for k in (0, 1))
+    lead = c("preSnapHomeScore") - c("preSnapVisitorScore")
+    clock = minute * 60 + second
+    game_left = F.when(normal, 3600 - ((F.greatest(c("quarter"), F.lit(1)) - 1) * 900 + clock)).otherwise(600 - clock)
+    minute_part = F.when(normal, minute / 15.0).otherwise(minute / 10.0)
+    d = plays.join(games.select("gameId", "homeTeamAbbr", "visitorTeamAbbr"), "gameId").select(
+        "gameId", "playId", "quarter", "down",
+        (c("yardsToGo") / 50.0).alias("yardsToGo"), (c("yardlineNumber") / 50).alias("yardlineNumber"), "prePenaltyYardsGained", "yardsGained", "visitorTeamAbbr",
+        F.coalesce(home, F.lit(False)).alias("isHome"),
+        (F.when(home, lead).otherwise(-lead) / 100.0).alias("preSnapScoreDiff"),
+        F.when(home, c("preSnapHomeTeamWinProbability")).otherwise(1 - c("preSnapHomeTeamWinProbability")).alias("preSnapTeamWinProbability"),
+        minute_part.alias("quarterMinute"), (second / 60.0).alias("quarterSecond"),
+        (game_left / F.when(normal, 3600).otherwise(600)).alias("gameSecondsLeft"),
+        (clock / F.when(normal, 900).otherwise(600)).alias("quarterSecondsLeft"),
+        c("passResult").isNotNull().alias("isPass"), c("yardsToGo").alias("yardsToGoText"),
+        F.concat(c("visitorTeamAbbr"), F.lit(" "), c("preSnapVisitorScore").cast("string"), F.lit(" - "), c("homeTeamAbbr"), F.lit(" "), c("preSnapHomeScore").cast("string")).alias("scoreBoard"),
+        (c("prePenaltyYardsGained") / 100.0).alias("prePenaltyYardsGainedNorm"),
+    )
+    y = ["prePenaltyYardsGained", "yardsGained", "isPass", "prePenaltyYardsGainedNorm"]
+    x = ["quarter", "down", "yardsToGo", "isHome", "preSnapScoreDiff", "preSnapTeamWinProbability", "quarterMinute", "quarterSecond", "gameSecondsLeft", "quarterSecondsLeft", "yardlineNumber"]
+    return d, {"x": x, "y": y, "other": [n for n in d.columns if n not in x and n not in y]}
+
+
 def without_plays(tracking_: DataFrame, plays: DataFrame, results: list[str]) -> DataFrame:
     """Drop the plays with one of these results."""
     gone = plays.where(F.col("passResult").isin(results)).select("gameId", "playId").distinct()

@@ -54,4 +54,14 @@ def to_torch(graphs: DataFrame) -> Iterator:
     except ImportError as e:
         raise ImportError("torch and torch_geometric are not installed") from e
     for d in to_dicts(graphs):
-        yield Data(x=torch.tensor(d["x"]), edge_index=torch.tensor(np.array(np.nonzero(d["a"]))), edge_attr=torch.tensor(d["e"]), y=torch.tensor(d["y"]), id=d["id"], frame_id=d["frame_id"], object_ids=d["object_ids"])
+        yield Data(x=torch.tensor(d["x"]), edge_index=torch.tensor(np.array(np.nonzero(d["a"]))), edge_attr=torch.tensor(d["e"]), y=torch.tensor(d["y"]), id=d["id"], frame_id=d["frame_id"], object_ids=d["object_ids"], ball_owning_team_id=d["ball_owning_team_id"])
+
+
+def to_spektral(graphs: DataFrame) -> Iterator:
+    """Graph objects of spektral, if it is installed."""
+    try:
+        from spektral.data import Graph
+    except ImportError as e:
+        raise ImportError("spektral is not installed") from e
+    for d in to_dicts(graphs):
+        yield Graph(x=d["x"], a=d["a"], e=d["e"], y=d["y"], id=d["id"], frame_id=d["frame_id"], object_ids=d["object_ids"], ball_owning_team_id=d["ball_owning_team_id"])

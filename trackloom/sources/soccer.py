@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import warnings
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions.scalar import strip_suffix
@@ -46,13 +48,45 @@ def with_roster(df: DataFrame, players: DataFrame) -> DataFrame:
 def load(df: DataFrame, settings: Settings = Settings(), smoothing: bool = True) -> DataFrame:
     """The whole soccer pipeline on long rows: motion, clamps, owner and carrier, direction, goalkeepers, one row each.
 
-    Two shuffles: by object, then by frame. Goalkeepers are inferred where the home team has no known position.
+    Two shuffles: by object, then by frame. Goalkeepers are inferred in games whose home team has no known position. If
+    no row at all names an owner, there is a warning: all owners are then inferred from the distance to the ball.
     """
+    if possession.owners_missing(df):
+        warnings.warn("no row names the team that owns the ball; owners are inferred from the distance to the ball", UserWarning, stacklevel=2)
     d = possession.with_owner(kinematics.kinematics(df, settings, smoothing), settings)
     if settings.orientation == "ball_owning":
         d = possession.facing_right(d, settings)
-    known = df.where((F.col("team_id") == settings.home_team_id) & F.col("position_name").isNotNull()).take(1)
-    return possession.one_row_per_object(d if known else possession.goalkeepers(d, settings))
+    named = (F.col("team_id") == settings.home_team_id) & F.col("position_name").isNotNull()
+    games = df.groupBy("game_id").agg(F.max(named).alias("_named"))
+    kinds = {bool(r[0]) for r in games.select("_named").distinct().collect()}
+    if kinds == {False}:
+        d = possession.goalkeepers(d, settings)
+    elif len(kinds) == 2:
+        inferred = possession.goalkeepers(d.withColumn("_given", F.col("position_name")), settings).join(games, "game_id")
+        d = inferred.withColumn("position_name", F.when(F.col("_named"), F.col("_given")).otherwise(F.col("position_name"))).drop("_given", "_named")
+    return possession.one_row_per_object(d)
+
+
+def load_feed(feed: tuple[DataFrame, DataFrame, str], settings: Settings = Settings(), smoothing: bool = True) -> DataFrame:
+    """The whole pipeline on what a reader of ``providers`` gives; the feed's home team takes the place of the settings'."""
+    rows, players, home = feed
+    return load(with_roster(rows, players), replace(settings, home_team_id=home), smoothing)
+
+
+def with_game_id(df: DataFrame, name: str) -> DataFrame:
+    """Rows without a game's id get ``name``, the same in every run; a column is added if there is none."""
+    given = F.col("game_id") if "game_id" in df.columns else F.lit(None).cast("string")
+    return df.withColumn("game_id", F.coalesce(given, F.lit(name)))
+
+
+def player_by_id(players: DataFrame, player_id: str) -> Row | None:
+    """A player's row of a roster, or None."""
+    return players.where(F.col("id") == player_id).first()
+
+
+def team_id_of_player(players: DataFrame, player_id: str) -> str | None:
+    found = player_by_id(players, player_id)
+    return found["team_id"] if found else None
 
 
 def from_wide(df: DataFrame, players: DataFrame, settings: Settings = Settings(), smoothing: bool = True) -> DataFrame:
