@@ -165,3 +165,91 @@ def test_text_and_missing_groups(spark):
 def test_keywords_without_a_ball():
     kw = graphs.keywords({"id": ["a", "b"], "team_id": ["home", "away"], "ball_owning_team_id": ["home"] * 2, "x": [np.nan, 1.0], "y": [0.0, 2.0]}, graphs.GraphConfig(), SOCCER)
     assert kw["ball_idx"] == 0 and kw["ball_carrier_idx"] is None and (kw["ball_position"] == 0).all() and kw["position"][0, 0] == 1e-10
+
+
+# --- formations -------------------------------------------------------------------------------------------------------
+
+
+def least_costs(cost):
+    """Cost of the best match of each matrix (problems, n, n), over all subsets of places."""
+    problems, n, _ = cost.shape
+    best = np.full((1 << n, problems), np.inf)
+    best[0] = 0
+    for mask in range(1 << n):
+        i = mask.bit_count()
+        if i < n:
+            for j in range(n):
+                if not mask >> j & 1:
+                    best[mask | 1 << j] = np.minimum(best[mask | 1 << j], best[mask] + cost[:, i, j])
+    return best[-1]
+
+
+def test_formation_query_against_brute_force(spark):
+    """Every team of every frame of the registered query: no template and no match costs less."""
+    from trackloom.operators import formations
+    from trackloom.plans import catalog
+    from trackloom.plans.views import tracking
+
+    data = "/root/testdata/sf0.001"
+    teams = {}
+    for r in tracking(spark, data).where("id <> 'ball' and position_name <> 'GK'").collect():
+        teams.setdefault((r.frame_id, r.team_id), []).append((r.id, r.x, r.y, r.team_id == r.ball_owning_team_id))
+    got = {}
+    for r in catalog.QUERIES["e_formations_per_frame"](spark, data).collect():
+        if r.id != "ball":
+            got.setdefault((r.frame_id, r.team_id), {})[r.id] = (r.formation, r.position)
+    assert set(got) == set(teams)
+    names, places, labels = formations.Matcher().by_size[10]
+    low, high = places.min((0, 1)), places.max((0, 1))
+    keys = sorted(teams)
+    own = [sorted(teams[k]) for k in keys]
+    xy = np.array([[p[1:3] for p in t] for t in own])
+    corner = np.where(np.array([t[0][3] for t in own])[:, None, None, None], places - low, high - places)
+    scaled = corner * ((xy.max(1) - xy.min(1)) / (high - low))[:, None, None] + xy.min(1)[:, None, None]
+    cost = np.linalg.norm(xy[:, None, :, None] - scaled[:, :, None], axis=-1)
+    least = least_costs(cost.reshape(-1, 10, 10)).reshape(len(keys), len(names))
+    for k, t, c, costs in zip(keys, own, cost, least, strict=True):
+        best = names[int(np.argmin(costs))]
+        found = got[k]
+        assert {f for f, _ in found.values()} == {best} or np.isclose(costs[names.index(found[t[0][0]][0])], costs.min(), rtol=1e-12)
+        at = names.index(found[t[0][0]][0])
+        match = [labels[at].index(found[p[0]][1]) for p in t]
+        assert sorted(match) == list(range(10)) and np.isclose(c[at][range(10), match].sum(), costs.min(), rtol=1e-9)
+        assert [p for _, p in found.values()].count("GK") == 1
+
+
+def test_many_assignments_and_given_places():
+    from trackloom.functions.assignment import assign, assign_many
+    from trackloom.operators import formations
+
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 1), (3, 3), (4, 7), (10, 10)):
+        cost = np.concatenate([rng.random((40, n, m)), rng.integers(0, 3, (40, n, m))])  # and with many ties
+        assert (assign_many(cost) == [assign(c) for c in cost]).all()
+    assert assign_many(np.empty((0, 3, 3))).shape == (0, 3)
+    with pytest.raises(ValueError):
+        assign_many(np.zeros((1, 3, 2)))
+    given = {"mine": (np.array([[0, 0], [1, 0], [0, 1.0]]), ["A", "B", "C"]), "flat": ([[0, 0], [0, 1], [0, 2.0]], ["x", "y", "z"])}
+    m = formations.Matcher(given)
+    assert m.fit(np.array([[5, 5], [9, 5], [5, 9.0]]), True)[:2] == ("mine", ["A", "B", "C"]) and m.fit(np.zeros((4, 2)), True) is None
+    with pytest.raises(ValueError, match="for each label"):
+        formations.Matcher({"bad": ([[0, 0]], ["A", "B"])})
+    assert {len(formations.template(n)[1]) for n in formations.CATALOGUE} == {8, 9, 10} and len(formations.CATALOGUE) >= 65
+
+
+def test_moved_in_numpy():
+    from trackloom.streaming import feed
+
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n = int(rng.integers(1, 12))
+        t, x, y = np.sort(rng.integers(0, 6, n)) * 40, rng.random(n), rng.random(n)
+        last = None if rng.random() < 0.4 else (int(rng.integers(0, 3)) * 40, 0.5, 0.25)
+        got = feed.moved(t, x, y, last)
+        want = []
+        for k in range(n):
+            dt = (t[k] - last[0]) / 1000 if last else 0
+            want.append(((x[k] - last[1]) / dt, (y[k] - last[2]) / dt) if dt > 0 else (0, 0))
+            if last is None or dt > 0:
+                last = (int(t[k]), x[k], y[k])
+        assert np.allclose(np.array(want).T, got[:2]) and got[2] == last

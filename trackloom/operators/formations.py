@@ -3,27 +3,38 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.functions.assignment import assign
+from trackloom.functions.assignment import assign_many
 from trackloom.operators import frames
 from trackloom.schema import BALL, FRAME, Settings
 
 #: Fixed names: the formations of the published 19-cluster catalogue, as digits of lines from the back.
-CATALOGUE = ["5221", "352", "343flat", "3232", "4222", "41212", "343", "41221", "433", "4321", "4141", "442", "3331", "31312", "3241", "3142", "2422", "2332", "2431"]
+CLUSTERS = ["5221", "352", "343flat", "3232", "4222", "41212", "343", "41221", "433", "4321", "4141", "442", "3331", "31312", "3241", "3142", "2422", "2332", "2431"]
+#: Names of other formations in use, of ten, nine and eight outfield players.
+TENS = ["451", "4411", "4231", "532", "541", "3511", "3421", "3412", "4132", "424", "4312", "4213", "3313", "3322", "3241", "3223", "42211", "42121", "41311", "32221", "32311", "31213", "31222", "5311", "5212", "5131", "2431", "2341", "235", "325", "334", "253"]
+NINES = ["441", "432", "342", "351", "531", "333", "4311", "4221", "4131", "3411", "3321", "3231", "252", "522"]
+EIGHTS = ["332", "431", "341", "422", "323", "242", "521", "3311", "3221", "4211"]
+CATALOGUE = [*dict.fromkeys([*CLUSTERS, *TENS]), *NINES, *EIGHTS]
+#: A template: places (n, 2) in [0, 1] of a team that plays to the right, and their labels.
+Template = tuple[np.ndarray, list[str]]
+#: Teams whose costs are held at a time.
+TEAMS = 512
 #: Fixed names of places in a line of so many players, from left to right.
 LINES = {1: ["C"], 2: ["LC", "RC"], 3: ["L", "C", "R"], 4: ["L", "LC", "RC", "R"], 5: ["L", "LC", "C", "RC", "R"]}
 
 
 @cache
-def template(name: str) -> tuple[np.ndarray, list[str]]:
+def template(name: str) -> Template:
     """Places (n, 2) of a formation that plays to the right, in [0, 1], and their labels.
 
     Lines are evenly spaced from the back, players evenly across a line; ``flat`` puts the last line level.
@@ -41,80 +52,107 @@ def template(name: str) -> tuple[np.ndarray, list[str]]:
     return np.array(xy), labels
 
 
-def catalogue(names: Iterable[str] | None = None) -> dict[int, dict[str, tuple[np.ndarray, list[str]]]]:
-    """Templates by number of outfield players: of the catalogue, and its eights and nines with one or two fewer."""
+def catalogue(names: Iterable[str] | Mapping[str, Template] | None = None) -> dict[int, dict[str, Template]]:
+    """Templates by number of outfield players: of names, or given ones by name; by default of CATALOGUE."""
     out: dict[int, dict] = {}
-    for n in names or CATALOGUE:
-        t = template(n)
-        out.setdefault(len(t[1]), {})[n] = t
-    if names is None:
-        for n in ("441", "432", "342", "351", "332", "431", "341", "422"):
-            t = template(n)
-            out.setdefault(len(t[1]), {})[n] = t
+    for n in CATALOGUE if names is None else names:
+        xy, labels = names[n] if isinstance(names, Mapping) else template(n)
+        if np.shape(xy) != (len(labels), 2):
+            raise ValueError(f"formation {n!r} must have a place (x, y) for each label")
+        out.setdefault(len(labels), {})[n] = np.asarray(xy, float), list(labels)
     return out
 
 
 class Matcher:
     """Fits templates to players: all templates of a size share one box, which is stretched to the players' box."""
 
-    def __init__(self, names: tuple[str, ...] | None = None):
+    def __init__(self, names: Iterable[str] | Mapping[str, Template] | None = None):
         self.by_size = {n: (list(t), np.array([v[0] for v in t.values()]), [v[1] for v in t.values()]) for n, t in catalogue(names).items()}
 
     def fit(self, xy: np.ndarray, to_right: bool) -> tuple[str, list[str], float] | None:
-        """(formation, a label per player, cost), or None without a template of this size. The first of equals wins.
-
-        A template is solved only if its lower bound, each player's nearest place, is below the best cost so far.
-        """
+        """(formation, a label per player, cost), or None without a template of this size. The first of equals wins."""
         if len(xy) not in self.by_size:
             return None
-        names, places, labels = self.by_size[len(xy)]
-        if not to_right:
-            places = 1 - places
+        names, _, labels = self.by_size[len(xy)]
+        best, match, cost = (x[0] for x in self.fit_many(np.asarray(xy, float)[None], np.array([to_right])))
+        return names[best], [labels[best][m] for m in match], float(cost)
+
+    def fit_many(self, xy: np.ndarray, to_right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best template, match and cost of each of the teams (teams, players, 2), all of a size that has templates.
+
+        Templates are tried in order of a lower bound for all teams at once: each player's nearest place, and what the
+        places' nearest players cost beyond that. A team is done when its next bound is above its best cost.
+        """
+        teams, n, _ = xy.shape
+        _, places, _ = self.by_size[n]
         low, high = places.min((0, 1)), places.max((0, 1))
-        own_low, own_high = xy.min(0), xy.max(0)
+        own_low, own_high = xy.min(1), xy.max(1)
         scale = np.where(high > low, (own_high - own_low) / np.where(high > low, high - low, 1), 1)
-        cost = np.linalg.norm(xy[None, :, None, :] - ((places - low) * scale + own_low)[:, None, :, :], axis=-1)
-        bound = np.maximum(cost.min(2).sum(1), cost.min(1).sum(1))
-        best = (np.inf, len(names), None)
-        for k in np.lexsort((np.arange(len(names)), bound)).tolist():
-            if bound[k] > best[0]:
+        # turned, a template is the same places from the box's other corner
+        from_corner = np.where(to_right[:, None, None, None], places - low, high - places)
+        cost = np.linalg.norm(xy[:, None, :, None, :] - (from_corner * scale[:, None, None, :] + own_low[:, None, None, :])[:, :, None, :, :], axis=-1)
+        nearest = cost.min(3)
+        bound = (nearest.sum(2) + (cost - nearest[:, :, :, None]).min(2).sum(2)) * (1 - 1e-12)  # rounding must not raise it
+        order = np.argsort(bound, axis=1, kind="stable")
+        best, total, match = np.full(teams, len(places)), np.full(teams, np.inf), np.zeros((teams, n), int)
+        live = np.arange(teams)
+        for nth in range(len(places)):
+            k = order[live, nth]
+            going = bound[live, k] <= total[live]
+            live, k = live[going], k[going]
+            if not len(live):
                 break
-            match = assign(cost[k])
-            total = float(cost[k][np.arange(len(xy)), match].sum())
-            if (total, k) < best[:2]:
-                best = (total, k, match)
-        total, k, match = best
-        return names[k], [labels[k][m] for m in match], total
+            own = cost[live, k]
+            found = assign_many(own)
+            sums = np.take_along_axis(own, found[:, :, None], 2)[:, :, 0].sum(1)
+            better = (sums < total[live]) | ((sums == total[live]) & (k < best[live]))
+            at = live[better]
+            best[at], total[at], match[at] = k[better], sums[better], found[better]
+        return best, match, total
 
 
 DETECTED = "team_id string, is_attacking boolean, ids array<string>, positions array<string>, formation string, cost double, players int"
 
 
-def detect(df: DataFrame, keys: list[str], formations: tuple[str, ...] | None = None) -> DataFrame:
+def detect(df: DataFrame, keys: list[str], formations: tuple[str, ...] | Mapping[str, Template] | None = None) -> DataFrame:
     """A row per team of each group: its formation, and its players' positions.
 
-    Groups of either side with another number of outfield players than a template has get no row. Many groups share a
-    Python call: rows are dealt by game and a hash of the group, and looped over inside.
+    Teams with another number of outfield players than a template has, or a player without a place, get no row. Teams
+    go to Python in Arrow batches, and those of a size are matched together.
     """
     players = F.array_sort(F.collect_list(F.when(F.col("position_name").isNull() | (F.col("position_name") != "GK"), F.struct("id", "x", "y"))))
     keepers = F.array_sort(F.collect_list(F.when(F.col("position_name") == "GK", F.col("id"))))
     teams = df.where(F.col("team_id") != BALL).groupBy(*keys, "ball_owning_team_id", "team_id").agg(players.alias("players"), keepers.alias("keepers"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in teams.schema.fields if f.name in keys) + ", ball_owning_team_id string, " + DETECTED
+    attacks = F.coalesce(F.col("team_id") == F.col("ball_owning_team_id"), F.lit(False))
+    part = lambda c: F.transform("players", lambda p: p[c])
+    teams = teams.select(*keys, "ball_owning_team_id", "team_id", attacks.alias("is_attacking"), part("id").alias("ids"), part("x").cast("array<double>").alias("x"), part("y").cast("array<double>").alias("y"), "keepers")
+    names = [*keys, "ball_owning_team_id", *(f.split()[0] for f in DETECTED.split(", "))]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in teams.schema.fields if f.name in keys) + ", ball_owning_team_id string, " + DETECTED
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         matcher = Matcher(formations)
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                xy = np.array([(p["x"], p["y"]) for p in r.players], float).reshape(-1, 2)
-                attacks = r.team_id == r.ball_owning_team_id
-                got = matcher.fit(xy, attacks)
-                if got:
-                    gks = list(r.keepers)
-                    out.append([*(getattr(r, k) for k in keys), r.ball_owning_team_id, r.team_id, attacks, [p["id"] for p in r.players] + gks, got[1] + ["GK"] * len(gks), got[0], got[2], len(xy)])
-            yield pd.DataFrame(out, columns=[*keys, "ball_owning_team_id", "team_id", "is_attacking", "ids", "positions", "formation", "cost", "players"])
-
-    return teams.mapInPandas(run, schema)
+        for b in batches:
+            size = pc.list_value_length(b.column("x")).to_numpy(zero_copy_only=False)
+            to_right = np.array(b.column("is_attacking").to_pylist(), bool)
+            for n in sorted(set(size.tolist()) & set(matcher.by_size)):
+                rows = np.flatnonzero(size == n)
+                for a in range(0, len(rows), TEAMS):
+                    at = rows[a : a + TEAMS]
+                    part = b.take(pa.array(at))
+                    xy = np.stack([part.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n) for c in "xy"], 2)
+                    known = np.isfinite(xy).all((1, 2))
+                    part, xy, at = part.filter(pa.array(known)), xy[known], at[known]
+                    if not len(at):
+                        continue
+                    best, match, cost = matcher.fit_many(xy, to_right[at])
+                    own, _, labels = matcher.by_size[n]
+                    gk = part.column("keepers").to_pylist()
+                    ids = [i + g for i, g in zip(part.column("ids").to_pylist(), gk, strict=True)]
+                    places = [[labels[k][m] for m in ms] + ["GK"] * len(g) for k, ms, g in zip(best.tolist(), match.tolist(), gk, strict=True)]
+                    made = [pa.array(ids, pa.list_(pa.string())), pa.array(places, pa.list_(pa.string())), pa.array([own[k] for k in best.tolist()], pa.string()), pa.array(cost), pa.array(np.full(len(at), n, np.int32))]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*keys, "ball_owning_team_id", "team_id", "is_attacking")), *made], names)
+
+    return teams.mapInArrow(run, schema)
 
 
 def steady(found: DataFrame, keys: list[str], threshold: float | None, after_possession: bool = True) -> DataFrame:
@@ -207,12 +245,15 @@ def detect_formations(
     end_ms: int | None = None,
     period_id: int | None = None,
     every: str = "frame",
-    formations: tuple[str, ...] | None = None,
+    formations: tuple[str, ...] | Mapping[str, Template] | None = None,
     substitutions: str = "drop",
     change_after_possession: bool = True,
     change_threshold: float | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """(positions, segments). Positions: a row per object and frame or segment; segments: None per frame."""
+    """(positions, segments). Positions: a row per object and frame or segment; segments: None per frame.
+
+    ``formations`` names templates, or gives them as {name: (places, labels)}; CATALOGUE is the default.
+    """
     if settings.orientation != "ball_owning":
         raise ValueError("formations need ball-owning orientation")
     d = frames.time_window(df, start_ms, end_ms, period_id)
