@@ -376,6 +376,29 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got and got <= want and all(r[0].isoformat() >= "2024-01-01T04" for r in want - got), "only windows that are still open are missing"
 
 
+def test_sessions_as_a_stream(spark, tmp_path):
+    rows = [(u, f"2024-01-01 {h:02d}:{m:02d}:00") for u in (1, 2) for h, m in ((0, 0), (0, 20), (3, 0), (3, 10), (9, 0))]
+    d = spark.createDataFrame(rows, "u int, s string").select("u", F.to_timestamp("s").alias("ts"))
+    d.write.parquet(str(tmp_path / "in"))
+    s = feed.sessions(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), "1 hour", ["u"], "0 seconds")
+    feed.run_once(s, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {tuple(r) for r in feed.sessions(d, "1 hour", ["u"]).collect()}
+    assert got < want and len(got) == 4 and {r[3] for r in want - got} == {1}, "only the last sessions are still open"
+
+
+def test_scratch_is_removed(spark):
+    import os
+
+    from trackloom.sources import files
+
+    path = files.scratch(spark, "test")
+    spark.range(3).write.parquet(path)
+    local = path.removeprefix("file://")
+    assert os.path.isdir(local) and path.startswith(files.shared_root(spark)) and files.cleanup(spark) >= 1
+    assert not os.path.exists(local) and files.cleanup(spark) == 0
+
+
 @graph_feature("node", "numpy")
 def what_is_given(**kw):
     assert kw["feature_opts"] == {"scale": 3} and kw["ball_id"] == "ball" and kw["possession_team_id"] == kw["ball_owning_team_id"][0]

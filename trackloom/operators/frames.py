@@ -105,8 +105,9 @@ def with_graph_ids(df: DataFrame, by: list[str] = FRAME) -> DataFrame:
 
 
 def with_dummy_labels(df: DataFrame, by: list[str] = FRAME, seed: int = 0) -> DataFrame:
-    """A 0 or 1 per distinct ``by``, from a hash of it and the seed."""
-    return df.withColumn("label", F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(2)).cast("int"))
+    """A 0 or 1 per distinct ``by``, from the md5 of it and the seed."""
+    digest = F.md5(F.concat_ws("-", *(F.col(c).cast("string") for c in by), F.lit(str(seed))))
+    return df.withColumn("label", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 2).cast("int"))
 
 
 def constant_in_frame(df: DataFrame, columns: list[str], by: list[str] = FRAME) -> DataFrame:

@@ -385,9 +385,10 @@ def m9_graph_ids(spark, sf_dir):
     return d.select("graph_id").distinct()
 
 
-@query()
+@query(f"""WITH {TRACKING}, f AS (SELECT DISTINCT {KEYS}, ('0x' || substr(md5(game_id || '-' || CAST(period_id AS VARCHAR) || '-' || CAST(frame_id AS VARCHAR) || '-3'), 1, 8))::BIGINT % 2 AS label FROM t)
+SELECT {KEYS}, label::INTEGER AS lo, label::INTEGER AS hi FROM f""")
 def m8_dummy_labels(spark, sf_dir):
-    """A 0 or 1 per frame from a hash, which other engines do not have."""
+    """A 0 or 1 per frame from a hash of it."""
     return frames.with_dummy_labels(tracking(spark, sf_dir), seed=3).groupBy(*FRAME).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
 
 
