@@ -112,3 +112,41 @@ def test_empty(spark, folder, tmp_path):
         stage(spark, docs, folder).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         assert docs.count() == 0
+
+
+@pytest.fixture
+def odd(spark, tmp_path):
+    """Repeated rows, nulls in every column, long texts, and extra columns whose names clash with the stages' own."""
+    rng = random.Random(3)
+    items = [(1, " ".join(f"b{j}" for j in range(12)))]
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(250_000))
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(40)) for _ in range(60)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)]
+    rows += [rows[4]] * 5 + [(100, long, "en", "s1", len(long)), (101, long + " end", None, "s2", None), (102, f"{long} {items[0][1]}", "en", None, 1)]
+    rows += [(None, None, None, None, None), (None, "a text without an id", "en", "s1", 20), (103, "", "en", "s1", 0), (104, items[0][1], "en", "s1", 3), (105, None, "en", "s0", 0)]
+    clash = ["score", "positive", "n", "e", "fp", "items", "n_words", "span_start", "_file", "file", "row", "h", "g", "size", "shard", "slot", "part", "mix_slot", "_mix_s", "_metadata"]
+    d = spark.createDataFrame(rows, KIND)
+    d = d.selectExpr("*", *(f"'x' AS {c}" for c in clash))
+    d.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 0, None) for i in range(50)] + [(None, 1, 1), (3, None, 1)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path), rows, items
+
+
+def test_stages_on_odd_rows(spark, odd, tmp_path):
+    folder, rows, items = odd
+    d, out = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, d, folder).write.parquet(f"{tmp_path}/out/{name}")
+        d = spark.read.parquet(f"{tmp_path}/out/{name}")
+        out.append([tuple(r) for r in d.collect()])
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert d.columns == corpus_pipeline.COLUMNS
+    assert Counter(out[0]) == Counter(rows), "without toxic labels all stay"
+    gone = Counter(out[0]) - Counter(out[1])
+    assert {r[0] for r in gone} == {101, 102} and sum(gone.values()) == 2
+    by = {r[0]: r for r in out[2]}
+    assert by[104][1] == "" and by[104][4] == 0 and by[105][1] is None
+    assert Counter(r for r in out[1] if r[0] != 104) == Counter(r for r in out[2] if r[0] != 104)
+    assert Counter(out[2]) == Counter(out[3]) == Counter(r[:5] for r in out[4])
+    brute.shard_law([r[5:] for r in out[4]])

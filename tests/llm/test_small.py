@@ -668,7 +668,7 @@ def test_decontaminate_long_texts_and_items(spark, monkeypatch):
     w = item.split()
     data = [(k, " ".join(["zz", *w[7 * k : 7 * k + 8], "yy"])) for k in range(56)] + [(100, words(rng, 400_000, 3000) + " " + " ".join(w[40:60])), (101, "a " + "q" * 1_300_000 + " B, c"), (102, "q" * 3_000_000)]
     d, b = spark.createDataFrame(data, DOC).repartition(2), spark.createDataFrame(items, "item_id long, text string")
-    for block in (1 << 23, 2000):
+    for block in (1 << 23, 1 << 19):
         assert rows(decontaminate.digest(decontaminate.contaminated_spans(d, b, block_bytes=block))) == sorted(brute.decontaminate(data, items), key=str)
 
 
@@ -678,3 +678,28 @@ def test_near_long_texts(spark, scratch):
     data = [(1, long), (2, long + " more"), (3, "y" * 2_000_000), (4, "Y" * 2_000_000), (5, long[: len(long) // 2])]
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_groups(scratch, spark.createDataFrame(data, DOC)).collect()}
     assert got == {(r[0], r[1], r[2]) for r in brute.near(data)}
+
+
+def test_near_ids_with_several_texts(spark, scratch):
+    """Rows that share an id but not their text are nodes of their own."""
+    rng = random.Random(6)
+    a, b = words(rng, 60, 10_000), words(rng, 60, 10_000)
+    data = [(5, a), (5, b), (3, a), (9, b + " more"), (9, None), (7, words(rng, 40, 10_000)), (None, a), (5, a)]
+    got = rows(ngram_join.near_groups(scratch, spark.createDataFrame(data, DOC)))
+    assert got == sorted([(5, 56, 3), (5, 56, 5), (3, 56, 3), (9, 57, 5), (9, 0, 9), (7, 36, 7), (None, 56, None), (5, 56, 3)], key=str)
+
+
+def test_clashing_names_of_places(spark, scratch, tmp_path):
+    """Extra columns named as the operators' own, or as the files' hidden one, are kept and read as nothing else."""
+    names = ["_metadata", "_mix_s", "_mix_h", "_mix_doc", "file", "row", "h", "g", "document", "size", "line_a", "gone", "_file", "_row"]
+    data = [(i % 40, f"text {i}\nshared", f"s{i % 11}", *(f"{c}{i}" for c in names)) for i in range(120)]
+    spark.createDataFrame(data, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names)).repartition(2).write.parquet(f"{tmp_path}/d")
+    d = spark.read.parquet(f"{tmp_path}/d")
+    assert Counter(tuple(r)[: len(data[0])] for r in mixing.mix(d).collect()) == Counter(data)
+    got = sharding.shard_documents(scratch, d).collect()
+    brute.shard_law([(r["size"], r.shard, r.slot) for r in got])
+    spread = line_spread.remove_spread_lines(scratch, d.withColumn("site", F.col("source"))).collect()
+    assert len(spread) == 120 and {r.n_removed for r in spread} == {1}
+    b = spark.createDataFrame([(1, "text 7"), (2, "text 9 shared")], "item_id long, text string")
+    found = decontaminate.contaminated_spans(d, b, block_bytes=20).collect()
+    assert Counter(tuple(r)[: len(data[0])] for r in found) == Counter(data) and sum(len(r["items"]) for r in found) == 2

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.shipping import ship
+from trackloom.sources.files import remove, scratch, shared_root  # noqa: F401
 
 #: Rows of a batch that goes to Python: texts are long, and a worker and its executor both hold whole batches.
 BATCH_ROWS = 1_000
@@ -25,7 +24,7 @@ BROADCAST_ROWS = 500_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Give this package to the session's Python workers, and keep their batches small."""
+    """Give this package to the session's Python workers, and keep the session's Arrow batches to BATCH_ROWS rows."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, BATCH_ROWS)
@@ -67,25 +66,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary folder in local mode only."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="trackloom-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 class Scratch:
-    """Tables of one run of an operator in the shared folder. They cut lineage and survive lost executors."""
+    """Tables of one run of an operator in the shared folder. They cut lineage and survive lost executors.
+
+    Those that a result is read from stay until ``trackloom.sources.files.cleanup`` removes them.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         prepare(spark)
         self.spark = spark
-        self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = scratch(spark, name)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -95,10 +85,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, self.path(name))
 
 
 def lookup(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
@@ -118,13 +106,17 @@ def row_keyed(scratch: Scratch, docs: DataFrame, file: str, row: str) -> DataFra
     plan = docs._jdf.queryExecution().analyzed()
     while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         plan = plan.children().head()
-    keys = F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)
+
+    def keyed(d: DataFrame) -> DataFrame:
+        at = d.metadataColumn("_metadata")  # the files' own, even if there is a column of that name
+        return d.select("*", F.xxhash64(at["file_path"]).alias(file), at["row_index"].alias(row))
+
     if plan.nodeName() == "LogicalRelation":
         try:
-            return docs.select("*", *keys)
+            return keyed(docs)
         except AnalysisException:
             pass  # a format without row numbers
-    return scratch.save(docs, "rows").select("*", *keys)
+    return keyed(scratch.save(docs, "rows"))
 
 
 def unit_key(column: Column) -> Column:

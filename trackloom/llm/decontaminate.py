@@ -231,7 +231,8 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
         return docs.mapInArrow(tidy(search), f"{kinds}, n_words long, {SPANS}")
 
-    docs = row_keyed(scratch, docs, "_file", "_row")
+    held_whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("document"), "text")
+    docs = row_keyed(scratch, held_whole, "_file", "_row")
     for k in range(n):
         held = load(k)
 
@@ -246,7 +247,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         found.write.parquet(scratch.path(f"hits/block={k}"))
         held.destroy()
     found = spark.read.parquet(scratch.path("hits")).groupBy("_file", "_row").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in NEW[1:]))
-    joined = lookup(docs, scratch.save(found, "found"), ["_file", "_row"], "left").select(*names, *NEW[1:])
+    joined = lookup(docs.drop("text"), scratch.save(found, "found"), ["_file", "_row"], "left").select("document.*", *NEW[1:])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, names.index("text")):

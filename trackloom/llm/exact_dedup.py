@@ -71,7 +71,8 @@ def dedup(scratch: Scratch, documents: DataFrame) -> DataFrame:
     Texts are equal if their normalised bytes are; the smallest doc_id of a group stays. Documents whose fingerprint
     occurs once are unique, as equal texts have equal fingerprints; all others are grouped by their whole text, not a
     digest. Null text counts as empty. A null doc_id is larger than any other; in a group of nulls only, all stay.
-    Rows that repeat a doc_id with an equal text share ``kept``. An empty table gives an empty result.
+    Rows that repeat a doc_id with an equal text share ``kept``. A text of any length is compared whole. An empty table
+    gives an empty result; other columns are not looked at.
     """
     docs = documents.select("doc_id", normalised(F.col("text")).alias("t"))
     fp = F.shiftrightunsigned(F.xxhash64("t"), 64 - BITS)

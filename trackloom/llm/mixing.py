@@ -167,7 +167,8 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     """
     spark, docs = docs.sparkSession, docs.drop(*NEW)
     scratch = scratch or Scratch(spark, "mix")
-    d = row_keyed(scratch, docs, "_mix_f", "_mix_i").withColumns({"_mix_s": unit_key(F.col("source")), "_mix_h": F.xxhash64("doc_id", F.lit(29))})
+    whole_rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_mix_doc"), "doc_id", "source")
+    d = row_keyed(scratch, whole_rows, "_mix_f", "_mix_i").withColumns({"_mix_s": unit_key(F.col("source")), "_mix_h": F.xxhash64("doc_id", F.lit(29))})
     counts = {r["_mix_s"]: r["n"] for r in d.groupBy("_mix_s").agg(F.count("*").alias("n")).collect()}
     if weights is None:
         share = {s: float(n) ** temperature for s, n in counts.items()}
@@ -203,7 +204,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     firsts = ranked.groupBy("_mix_s", "_mix_b", "_mix_k").agg(F.min(F.struct(*order)).alias("low"), F.min("_mix_at").alias("at"))
     firsts = firsts.groupBy("_mix_s", "_mix_b").agg(F.sort_array(F.collect_list(F.struct("low", "at", F.col("_mix_k").alias("k")))).alias("_mix_cuts"))
 
-    x = lookup(d, scratch.save(firsts, "firsts"), ["_mix_s", "_mix_b"])
+    x = lookup(d.drop("doc_id", "source"), scratch.save(firsts, "firsts"), ["_mix_s", "_mix_b"])
     me = F.struct(*order)
     cut = F.element_at("_mix_cuts", F.size(F.filter("_mix_cuts", lambda c: c["low"] <= me)))
     x = x.withColumns({"_mix_at": cut["at"], "_mix_k": cut["k"]}).drop("_mix_cuts")
@@ -211,7 +212,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     nth = F.row_number().over(Window.partitionBy("_mix_k", "_mix_s", "_mix_b").orderBy(*order)) - 1
     x = placed(x.withColumn("_mix_at", F.col("_mix_at") + nth), F.col("_mix_at"), NEW[2:])
     x = x if few else x.repartitionById(outputs, F.col("_mix_k"))
-    return x.sortWithinPartitions("mix_slot", "mix_row").select(*docs.columns, *NEW)
+    return x.sortWithinPartitions("mix_slot", "mix_row").select("_mix_doc.*", *NEW)
 
 
 def mix_documents(scratch: Scratch, documents: DataFrame) -> DataFrame:

@@ -212,14 +212,21 @@ def near_groups(scratch: Scratch, documents: DataFrame, percent: int = PERCENT)
     pair of a bucket whose members are still apart is tried, if the places and the number of common shingles at the
     beginnings of both allow a link. A pair's overlap is counted in each fragment of the order and summed.
 
-    Null text has no words. A row with a null doc_id gets a null component and links with nothing. doc_id names a
-    document: rows may repeat, but not with other text. An empty table gives an empty result.
+    Links are exact up to the 64-bit hashes that stand for shingles. Null, empty and blank texts have no words. A row
+    with a null doc_id gets a null component and links with nothing. Repeated rows are each returned. Rows that share a
+    doc_id but not their set are nodes of their own. A text of any length is hashed whole, in pieces. An empty table
+    gives an empty result; other columns are not looked at.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     heavy = spark.sparkContext.broadcast(heavy_shingles(scratch, docs))
     whole = scratch.save(prefixes(docs, heavy, percent), "prefixes")
     sig = ["sig_a", "sig_b"]
+    sets = F.struct("n", *sig)
+    clash = whole.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(sets).alias("lo"), F.max(sets).alias("hi")).where("lo <> hi")
+    if clash.take(1):
+        scratch.drop("prefixes")
+        return renamed_groups(scratch, docs, percent)
     has = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     copies = whole.where(has).groupBy(*sig).agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1").select(*sig, "least")
     copies = scratch.save(copies, "copies")
@@ -264,3 +271,14 @@ def near_groups(scratch: Scratch, documents: DataFrame, percent: int = PERCENT)
         roots = scratch.save(components(scratch, links.unionByName(more), "near"), "roots2")
     out = lookup(narrow, roots.withColumnRenamed("node", "e"), ["e"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "e").alias("component_id"))
+
+
+def renamed_groups(scratch: Scratch, docs: DataFrame, percent: int) -> DataFrame:
+    """``near_groups`` where an id names several texts: each id and text gets a number of its own for the join."""
+    own = docs.withColumn("own", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    inner = Scratch(scratch.spark, "renamed")
+    groups = scratch.save(near_groups(inner, own.select(F.col("own").alias("doc_id"), "text"), percent).withColumnsRenamed({"doc_id": "own", "component_id": "root"}), "groups")
+    names = scratch.save(own.where(F.col("own").isNotNull()).select("own", "doc_id").distinct(), "names")
+    named = groups.join(names, "own", "left")
+    least = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return lookup(named, scratch.save(least, "least"), ["root"], "left").select("doc_id", "n_shingles", "component_id")

@@ -1,4 +1,7 @@
-"""The corpus operators as registered queries over the tables of a folder, and their SQL where it can be written."""
+"""The corpus operators as registered queries over the tables of a folder, and their SQL where it can be written.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns are as the operators state.
+"""
 
 from __future__ import annotations
 
@@ -10,37 +13,46 @@ from trackloom.llm.common import Scratch, table
 
 
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` in the order of the Pfair mix of their sources: each row's block and slot. See ``mixing.mix``."""
     mixed = mixing.mix_documents(Scratch(spark, "op1"), table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "mix_block", "mix_row", "mix_phase", "mix_release", "mix_deadline", "mix_slot")
 
 
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived, read back and verified: its digest, type and the page it revisits. See ``warc.archive_pages``."""
     scratch = Scratch(spark, "op2")
     return warc.archive_pages(scratch, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` in 16 shards of near equal bytes. See ``sharding.shard_documents``."""
     return sharding.shard_documents(Scratch(spark, "op3"), table(spark, sf_dir, "documents"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that stays of each group of equal normalised texts. See ``exact_dedup.dedup``."""
     return exact_dedup.dedup(Scratch(spark, "op4"), table(spark, sf_dir, "documents"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside windows of ``benchmark``, and the items found. See ``decontaminate.contaminated_spans``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.contaminated_spans(docs, table(spark, sf_dir, "benchmark")).drop("text"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learnt outside the held-out fifth. See ``toxicity.train`` and ``toxicity.toxicity``."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt outside the held-out fifth. See ``language.train`` and ``language.language``."""
     return language.language(table(spark, sf_dir, "documents"))
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """The place and checksum of every document's ids, read from the files they were packed into. See
+    ``token_store.write_tokens``; ``tokenizer`` is the path of its file."""
     if tokenizer is None:
         import public_tokenizers
 
@@ -51,10 +63,12 @@ def op8_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that similar sets of 5-word shingles link. See ``ngram_join.near_groups``."""
     return ngram_join.near_groups(Scratch(spark, "op9"), table(spark, sf_dir, "documents"))
 
 
 def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that at least 8 sources share; null texts have a null digest. See ``line_spread.remove_spread_lines``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("site"))
     out = line_spread.remove_spread_lines(Scratch(spark, "op10"), docs)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))

@@ -93,7 +93,8 @@ class CountingQuotientFilter:
 
     @staticmethod
     def merge(parts: list[CountingQuotientFilter], bits: int) -> CountingQuotientFilter:
-        """The multiset union: the parts' items come sorted, are interleaved by value, and equal ones add up."""
+        """The multiset union: the parts' items come as sorted runs, which a stable sort (a merge of the runs that it
+        finds) interleaves by value; equal ones add up."""
         read = [p.items() for p in parts]
         values = np.concatenate([v for v, _ in read]) if read else np.empty(0, np.uint64)
         counts = np.concatenate([c for _, c in read]) if read else np.empty(0, np.int64)

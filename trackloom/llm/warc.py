@@ -29,7 +29,9 @@ def records_of(scratch: Scratch, pages: DataFrame, min_revisit_bytes: int = 0) -
 
     Of the records with equal payloads of at least ``min_revisit_bytes`` bytes, those with the largest page_id are
     responses and the others revisit it; a null page_id counts as smallest. A null html is an empty payload. Line
-    ends in a url are percent-encoded.
+    ends in a url are percent-encoded; a null url is empty. Rows that repeat the largest page_id are all responses, and
+    their payload is stored once. A payload of any length is one value of its row. An empty table gives no records;
+    other columns are not looked at.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     p = pages.select("page_id", F.coalesce(F.col("url"), F.lit("")).alias("url"), body.alias("payload"))
@@ -102,7 +104,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_pages(scratch: Scratch, pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Write the archive of ``pages`` (page_id, url, html) in the shared folder and read it back, a row per page."""
+    """Write the archive of ``pages`` (page_id, url, html) in the shared folder and read it back, a row per page.
+
+    Nulls, repeated rows, long payloads and empty tables: see ``records_of``.
+    """
     write_archive(records_of(scratch, pages, min_revisit_bytes), scratch.path("archive"))
     return read_archive(pages.sparkSession, scratch.path("archive"))
 
