@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents``,
 writes every stage's result as Parquet in the shared folder and reads it back as the next one's documents. The mixing
 stage decides the order of the rows: it writes files in the order of the mix, and the sharding stage cuts that order
 into shards, so that each shard holds the sources in their target shares.
+
+For all stages: an empty table gives an empty one; columns of ``docs`` besides those of ``documents`` are dropped, whatever
+their names; texts of any length are read whole; null and empty texts stay, unless a stage says otherwise.
 """
 
 from __future__ import annotations
@@ -18,7 +21,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model scores below 0.5 stay. The model learns from these documents and ``labels``."""
+    """Documents that the model scores below 0.5 stay; one at exactly 0.5 goes. The model learns from these documents and
+    ``labels``.
+
+    Null and empty texts score as the class prior does. Repeated rows get one score, so they stay or go together.
+    Without labels of toxic documents all stay.
+    """
+    docs = docs.select(COLUMNS)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(COLUMNS), model).where(F.col("score") < 0.5).drop("score")
 
@@ -26,7 +35,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that n-gram similarity links, the one with the smallest doc_id stays.
 
-    Documents without words link with nothing and all stay, as do those with a null id.
+    Documents without words link with nothing and all stay, as do those with a null id. Rows that repeat the doc_id that
+    stays all stay.
     """
     scratch = Scratch(spark, "near")
     groups = ngram_join.near_groups(scratch, docs)
@@ -37,7 +47,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark are cut out of the texts; n_chars of a cut text is its new length.
 
-    Documents with windows of one item or more lose the words of every occurrence, and keep all others.
+    Documents with windows of one item or more lose the words of every occurrence, and keep all others; a document that
+    is nothing else stays with what is left. Null texts stay null; repeated rows are cut alike; an empty benchmark cuts
+    nothing.
     """
     found = decontaminate.contaminated_spans(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"), remove=True)
     n_chars = F.when(F.size("span_start") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -45,7 +57,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in files and rows in the order of the Pfair mix of their sources."""
+    """All documents, in files and rows in the order of the Pfair mix of their sources.
+
+    A null source is a source of its own; rows that repeat, or have no id, are each placed. Ties of deadlines go to the
+    larger weight, then to the source's name.
+    """
     return mixing.mix(docs.select(COLUMNS)).select(COLUMNS)
 
 
@@ -53,7 +69,7 @@ def shard_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the order of the rows of ``docs``' files into 16 shards of near equal bytes; adds size, shard and slot.
 
     ``docs`` must be read from files. A file's place is that of its name in the order of names, a row's its number in
-    the file.
+    the file. Null texts have size 1. Rows are told apart by their place, so repeated ones are cut like others.
     """
     scratch = Scratch(spark, "shards")
     at = docs.select(*COLUMNS, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("g"))
