@@ -566,6 +566,18 @@ def test_toxicity_gradient_is_that_of_the_risk():
         assert np.allclose(got, want, atol=1e-5)
 
 
+def test_features_of_long_texts(monkeypatch):
+    """Read in blocks, a text has the features that it has as a whole."""
+    rng = random.Random(8)
+    text = words(rng, 500_000, 30_000) + " " + "z" * 1_200_000 + " end"
+    wanted = np.random.default_rng(1).random(toxicity.FEATURES) < 0.3
+    blockwise = [toxicity.features([text], w) for w in (None, wanted)]
+    monkeypatch.setattr(toxicity, "BATCH_BYTES", 1 << 30)
+    for (d, f), w in zip(blockwise, (None, wanted), strict=True):
+        d2, f2 = toxicity.features([text], w)
+        assert (f == f2).all() and (d == d2).all() and len(f) > 1000
+
+
 def test_toxicity_edges(spark, monkeypatch):
     """Ties, empty and long texts, repeated rows; the fit's last steps read rows beyond the first ones' bound."""
     monkeypatch.setattr(toxicity, "FIRST_ROWS", 50)

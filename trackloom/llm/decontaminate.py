@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -67,9 +66,9 @@ class Windows:
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def window_blocks(scratch: Scratch, benchmark: DataFrame, window: int, block_bytes: int) -> tuple[DataFrame, int]:
-    """(block, windows): the benchmark's windows as packed objects of about ``block_bytes`` of text each, and how many
-    blocks there are. They are made in tasks; the driver holds none of it."""
+def benchmark_blocks(scratch: Scratch, benchmark: DataFrame, window: int, block_bytes: int) -> tuple[DataFrame, int]:
+    """(item, words, block): pieces of the benchmark's items, dealt to blocks of about ``block_bytes``, and how many blocks
+    there are. They are made in tasks; the driver reads a block at a time."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,14 +86,7 @@ def window_blocks(scratch: Scratch, benchmark: DataFrame, window: int, block_byt
     cut = scratch.save(items.mapInArrow(tidy(pieces), "item string, words binary").where(F.octet_length("words") > 0), "pieces")
     total = cut.agg(F.sum(F.octet_length("words") + F.lit(16))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-
-    def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(i, w.split()) for b in batches for i, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([pickle.dumps(Windows(held, window))], pa.binary())], ["block", "windows"])
-
-    dealt = cut.select("item", "words", F.pmod(F.xxhash64("item", "words"), F.lit(n)).alias("block"))
-    # what is unpickled later is only what this run has written
-    return scratch.save(dealt.groupBy("block").applyInArrow(build, "block long, windows binary"), "windows"), n
+    return cut.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(n))), n
 
 
 def compacted(s: np.ndarray, shortest: int) -> np.ndarray:
@@ -215,12 +207,13 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     spark, docs = docs.sparkSession, docs.drop(*NEW)
     scratch, names = Scratch(spark, "decontaminate"), docs.columns
-    made, n = window_blocks(scratch, benchmark, window, block_bytes)
+    made, n = benchmark_blocks(scratch, benchmark, window, block_bytes)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def load(k: int):
-        got = made.where(F.col("block") == k).select("windows").collect()
-        return spark.sparkContext.broadcast(pickle.loads(got[0][0]) if got else Windows([], window))
+        got = made.where(F.col("block") == k).select("item", "words").toArrow()
+        pieces = zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)
+        return spark.sparkContext.broadcast(Windows([(i, w.split()) for i, w in pieces], window))
 
     if n == 1:
         shared = load(0)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import Scratch, by_bytes, doc_fold, lookup, tidy
 from trackloom.llm.decontaminate import WORD_BYTES
-from trackloom.llm.hashing import hashed, joined
+from trackloom.llm.hashing import blocks, hashed, joined
 
 #: Bits of a hashed feature, and features.
 BITS = 18
@@ -34,6 +34,14 @@ def features(texts: list[str | None], wanted: np.ndarray | None = None) -> tuple
     """(text, feature) of each text's distinct features, in order: hashes of its words, and of the first 4 and 5 bytes
     of longer ones. With ``wanted``, a flag per feature, only such features."""
     raw, ends = joined(texts, WORD_BYTES)
+    if len(texts) == 1 and len(raw) > 2 * BATCH_BYTES:  # a long text, a block at a time
+        on = np.zeros(FEATURES, bool)
+        for a, e in blocks(raw):
+            _, words, heads = hashed(raw[a:e], HEADS)
+            for h in (words, *(h for _, h in heads)):
+                on[h >> np.uint64(64 - BITS)] = True
+        f = np.flatnonzero(on if wanted is None else on & wanted)
+        return np.zeros(len(f), np.int64), f
     start, words, heads = hashed(raw, HEADS)
     doc = np.searchsorted(ends, start, side="right")
     pairs = []
