@@ -639,6 +639,21 @@ def test_language_long_and_many(spark):
     assert {r.lang_pred for r in language.language(two).collect()} == {"aa"}
 
 
+def test_tokens_of_fresh_words():
+    """Batches whose words hardly repeat go to the tokenizer whole, others by chunks; the ids are the same."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    rng = random.Random(9)
+    fresh = ["".join(rng.choices("abcdefghij KL.,'", k=400)) for _ in range(60)] + [None, "", " \n"]
+    own, tokenizer = token_store.ChunkEncoder(path, True), Tokenizer.from_file(path)
+    for texts, remembered in ((fresh, False), ([words(rng, 300, 50) for _ in range(20)], True), (fresh[::-1], True)):
+        ids, per = own.encode(texts, 2)
+        want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+        assert ids.tolist() == [i for w in want for i in w] and per.tolist() == [len(w) for w in want]
+        assert bool(own.known) is remembered
+
+
 def test_tokens_long_and_wide(spark, scratch):
     """Long texts in pieces, ids that don't fit, and the check of a tokenizer's parts."""
     import json

@@ -29,6 +29,8 @@ BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 21
 #: Distinct chunks whose ids a task remembers.
 MEMORY = 800_000
+#: A batch of which more than one in so many chunks is a new one is encoded as whole texts.
+FRESH = 2
 #: Chunks of letters that are encoded as one line.
 LINE = 64
 #: Bits of a slot number of the chunk table, and slots in which a chunk can stand. Longer chunks than SHORT bytes, and
@@ -297,6 +299,10 @@ class ChunkEncoder:
             ids, size = self.ids_of(pair)
             self.add([c for c, _ in joined_], ids, size.reshape(-1, 2).sum(1))
 
+    def encode_whole(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        return np.array(list(chain.from_iterable((*x, end) for x in ids)), np.uint32), np.array([len(x) + 1 for x in ids])
+
     def encode_long(self, text: str, end: int) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode`` of one text, a piece between white space at a time."""
         raw = text.encode("utf-8", "surrogatepass")
@@ -308,8 +314,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with ``end`` after it, and the number of each text's ids."""
         if not self.whole_words:
-            ids = [[*e.ids, end] for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-            return np.concatenate([np.array(x, np.uint32) for x in ids]), np.array([len(x) for x in ids])
+            return self.encode_whole(texts, end)
         raw = [plain(t) for t in texts]
         ends = np.cumsum([len(r) + 1 for r in raw])
         words = Chunks(b" ".join(raw) + b" ")
@@ -319,6 +324,8 @@ class ChunkEncoder:
             chunks = [words[k] for k in missing]
             found[missing] = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
             new = {c for c, k in zip(chunks, found[missing].tolist(), strict=True) if k < 0}
+            if FRESH * len(new) > len(found):
+                return self.encode_whole(texts, end)  # most words are met but once: there is nothing to remember
             if len(self.known) + len(new) > MEMORY and self.known:
                 self.thin()
                 chunks = [words[k] for k in range(len(found))]
