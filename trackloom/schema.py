@@ -12,6 +12,7 @@ FOOTBALL = "football"
 FRAME = ["game_id", "period_id", "frame_id"]
 OBJECT = ["game_id", "id", "period_id"]
 
+#: Fixed names: the columns of a row of tracking data.
 TRACKING = T.StructType(
     [T.StructField("game_id", T.StringType()), T.StructField("period_id", T.IntegerType()), T.StructField("frame_id", T.LongType()), T.StructField("t_ms", T.LongType()), T.StructField("ball_state", T.StringType())]
     + [T.StructField(c, T.StringType()) for c in ("id", "team_id", "position_name")]
@@ -22,7 +23,7 @@ TRACKING = T.StructType(
 
 @dataclass(frozen=True)
 class Settings:
-    """A metric soccer pitch with its origin at the centre, and the limits of motion."""
+    """A metric soccer pitch with its origin at the centre, and the limits of motion. The defaults are fixed values."""
 
     length: float = 105.0
     width: float = 68.0
@@ -58,7 +59,7 @@ class Settings:
 
 @dataclass(frozen=True)
 class FootballSettings(Settings):
-    """An American football field in yards."""
+    """An American football field in yards. The defaults are fixed values."""
 
     length: float = 120.0
     width: float = 53.3
