@@ -413,6 +413,12 @@ def g1_adjacency(spark, sf_dir):
     return p.groupBy("frame_id").agg(*(F.count_if(pairs.connected(k, j, BALL)).alias(f"{k}_{j}") for k in KINDS for j in JOINS))
 
 
+@query(f"WITH {TRACKING}, c AS (SELECT a.frame_id, {', '.join(f'count(*) FILTER (({k}) {j}) AS {kn}__{jn}' for kn, k in KINDS.items() for jn, j in JOINS.items())} FROM t a JOIN t b USING ({KEYS}) GROUP BY a.frame_id), u AS (UNPIVOT c ON COLUMNS(* EXCLUDE frame_id) INTO NAME n VALUE edges) SELECT split_part(n, '__', 1) AS kind, split_part(n, '__', 2) AS connect, max(edges) AS edges FROM u GROUP BY n")
+def g19_pad_sizes(spark, sf_dir):
+    """The most edges that each adjacency and ball connection can have; full frames have as many."""
+    return spark.createDataFrame([(k, j, pairs.most_edges(k, j)) for k in KINDS for j in JOINS], "kind string, connect string, edges long")
+
+
 def sincos_sql(name: str, angle: str) -> list[tuple[str, str]]:
     return [(f"{name}_sin", f"(sin({angle}) + 1) / 2"), (f"{name}_cos", f"(cos({angle}) + 1) / 2")]
 
