@@ -26,6 +26,9 @@ LEAST_DOCS, LEAST_Z, LEAST_LIFT = 3, 4.0, 1.5
 FIRST_ROWS = 10_000
 FIRST_STEPS, STEPS = 300, 12
 RATE, DECAY = 0.1, 1e-3
+#: Parts of one in which tasks' sums are added up as whole numbers, so that their order changes nothing. Sums stay in
+#: range for 10**11 rows; beyond that Spark raises an error.
+UNIT = 1 << 20
 #: Bytes of text whose features a task holds at a time.
 BATCH_BYTES = 1 << 20
 
@@ -79,9 +82,11 @@ class Sums:
     n: np.ndarray = field(default_factory=lambda: np.zeros(2))
     loss: np.ndarray = field(default_factory=lambda: np.zeros(2))
     gradient: np.ndarray | None = None  # (2, size + 1): of the positives' rows, of all rows
+    count: np.ndarray | None = None  # positives with each feature, and all positives
 
     def __post_init__(self):
         self.gradient = np.zeros((2, self.size + 1)) if self.gradient is None else self.gradient
+        self.count = np.zeros(self.size + 1) if self.count is None else self.count
 
     def add(self, x: np.ndarray, positive: np.ndarray, row: np.ndarray, col: np.ndarray) -> None:
         """Rows with their flag, and the pairs (row, feature) that are set, at weights ``x`` (the last is the bias)."""
@@ -93,21 +98,17 @@ class Sums:
             g = s * w
             self.gradient[k, :-1] += np.bincount(col, g[row], self.size)
             self.gradient[k, -1] += g.sum()
-        self.count = getattr(self, "count", np.zeros(self.size + 1))
         on = positive[row]
         self.count[:-1] += np.bincount(col[on], minlength=self.size)
         self.count[-1] += positive.sum()
 
     def pack(self) -> bytes:
-        count = getattr(self, "count", np.zeros(self.size + 1))
-        return np.concatenate([self.n, self.loss, self.gradient.ravel(), count]).tobytes()
+        return np.concatenate([self.n, self.loss, self.gradient.ravel(), self.count]).tobytes()
 
     @classmethod
     def unpack(cls, parts: list[bytes], size: int) -> Sums:
         flat = np.sum([np.frombuffer(p) for p in parts], 0) if parts else np.zeros(4 + 3 * (size + 1))
-        out = cls(size, flat[:2], flat[2:4], flat[4 : 4 + 2 * (size + 1)].reshape(2, -1))
-        out.count = flat[4 + 2 * (size + 1) :]
-        return out
+        return cls(size, flat[:2], flat[2:4], flat[4 : 4 + 2 * (size + 1)].reshape(2, -1), flat[4 + 2 * (size + 1) :])
 
     def step(self, prior: float) -> np.ndarray:
         """Gradient of the non-negative risk with logistic loss l,
@@ -235,10 +236,14 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
             for b in batches:
                 if b.num_rows:
                     sums.add(now.value, *rows_of(b))
-            yield pa.RecordBatch.from_arrays([pa.array([sums.pack()], pa.binary())], ["sums"])
-
-        parts = packed.select("positive", "features").mapInArrow(add, "sums binary").collect()
-        fit.step(Sums.unpack([r["sums"] for r in parts], size).step(prior), 0.2 * RATE * (1 - t / STEPS))
+            flat = np.rint(np.frombuffer(sums.pack()) * UNIT).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["k", "v"])
+
+        # tasks' sums are added up before the driver, which gets 3 numbers a feature however many tasks there are
+        got = packed.select("positive", "features").mapInArrow(add, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+        flat = np.zeros(4 + 3 * (size + 1))
+        flat[got.column("k").to_numpy()] = got.column("v").to_numpy() / UNIT
+        fit.step(Sums.unpack([flat.tobytes()], size).step(prior), 0.2 * RATE * (1 - t / STEPS))
         now.destroy()
     weights = np.zeros(FEATURES)
     weights[used] = fit.x[:-1]
