@@ -266,11 +266,17 @@ def near_groups(scratch: Scratch, documents: DataFrame, percent: int = PERCENT)
     rest = rest.where(enough(F.size(F.array_intersect("left", "right")), F.col("nx"), F.col("ny"), percent)).select("x", "nx", "y", "ny").distinct()
     rest = scratch.save(rest, "rest")
     scratch.drop("buckets", "labelled", "prefixes", "tried")
+    out = rooted(narrow, roots, "e").withColumnRenamed("e", "component_id")
     if rest.take(1):
-        more = verified(scratch, docs, rest, heavy, percent, "links2")
-        roots = scratch.save(components(scratch, links.unionByName(more), "near"), "roots2")
-    out = lookup(narrow, roots.withColumnRenamed("node", "e"), ["e"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "e").alias("component_id"))
+        # only the groups that these links join are looked at again, each by its root
+        more = rooted(rooted(verified(scratch, docs, rest, heavy, percent, "links2"), roots, "a"), roots, "b")
+        out = rooted(out, scratch.save(components(scratch, more, "joined"), "roots2"), "component_id")
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def rooted(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the root of each node of ``column`` in its place; a node without one stays."""
+    return lookup(rows, roots.withColumnRenamed("node", column), [column], "left").withColumn(column, F.coalesce("root", column)).drop("root")
 
 
 def renamed_groups(scratch: Scratch, docs: DataFrame, percent: int) -> DataFrame:
