@@ -189,7 +189,8 @@ def segment_ids(df: DataFrame, every: str) -> tuple[DataFrame, str]:
         changed = ~F.col("_own").eqNullSafe(F.lag("_own").over(w)) | ~F.col("period_id").eqNullSafe(F.lag("period_id").over(w))
         one = one.withColumn("_c", F.when(changed, 1).otherwise(0))
         ids = one.withColumn("possession_id", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_own", "_c")
-        return df.join(ids, FRAME), "possession_id"
+        # a row per frame: never broadcast, whatever its estimated size
+        return df.join(ids.hint("shuffle_hash"), FRAME), "possession_id"
     if every == "period":
         return df, "period_id"
     m = re.fullmatch(r"(\d+)(ms|s|m|h)", every)
