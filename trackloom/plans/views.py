@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.schema import FRAME
 from trackloom.shipping import ship
 
 
@@ -59,10 +62,22 @@ COLUMNS = {
 DERIVED = {"v": "sqrt(vx * vx + vy * vy + vz * vz)", "a": "sqrt(ax * ax + ay * ay)"}
 
 
-def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as frames of 23 objects. Sides own the ball in turn; 5 games, 2 periods."""
-    d = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("i"))
-    return d.select("i", *(F.expr(e).alias(c) for c, e in COLUMNS.items())).withColumns({c: F.expr(e) for c, e in DERIVED.items()})
+#: Frames that one task makes and works on.
+FRAMES_A_TASK = 4_000
+
+
+def tracking(spark: SparkSession, sf_dir: str, by: tuple[str | Column, ...] = tuple(FRAME)) -> DataFrame:
+    """Customers as frames of 23 objects. Sides own the ball in turn; 5 games, 2 periods.
+
+    Frames are dealt out by ``by``, columns of a whole frame, before they become rows: what is grouped by these columns
+    is in one task and not shuffled, and there are as many tasks as frames need, however few files hold them.
+    """
+    d = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-d.count() // FRAMES_A_TASK))
+    whole = [c for c, e in COLUMNS.items() if not re.search(r"\bi\b", e)]
+    d = d.select("k", *(F.expr(COLUMNS[c]).alias(c) for c in whole)).repartition(tasks, *by)
+    d = d.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(N - 1))))
+    return d.select("i", *(c if c in whole else F.expr(e).alias(c) for c, e in COLUMNS.items())).withColumns({c: F.expr(e) for c, e in DERIVED.items()})
 
 
 def for_duckdb(e: str) -> str:
