@@ -375,7 +375,7 @@ SELECT frame_id, team_id, want::BIGINT AS n, (want - n)::BIGINT AS added FROM te
 def g14_padding(spark, sf_dir):
     """Teams filled up with empty rows, then complete frames."""
     d = frames.padded(holes(spark, sf_dir), SOCCER)
-    return d.groupBy("frame_id", "team_id").agg(F.count("*").alias("n"), F.count_if(F.col("id") == "").alias("added"))
+    return d.groupBy(*FRAME, "team_id").agg(F.count("*").alias("n"), F.count_if(F.col("id") == "").alias("added")).drop("game_id", "period_id")
 
 
 @query(f"WITH {TRACKING} SELECT DISTINCT game_id || '-' || CAST(period_id AS VARCHAR) || '-' || CAST(frame_id AS VARCHAR) AS graph_id FROM t")
