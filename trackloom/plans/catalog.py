@@ -333,7 +333,7 @@ def p11_forward_fill(spark, sf_dir):
 @query(f"""WITH {TRACKING} SELECT frame_id, id FROM (SELECT *, rank() OVER (PARTITION BY game_id, period_id, t_ms ORDER BY frame_id) AS r FROM t) WHERE r = 1""")
 def p12_first_frame(spark, sf_dir):
     """Of the frames at one time, the first."""
-    return frames.first_frame_at(tracking(spark, sf_dir)).select("frame_id", "id")
+    return frames.first_frame_at(tracking(spark, sf_dir, by=("game_id", "period_id", "t_ms"))).select("frame_id", "id")
 
 
 @query(f"""WITH {TRACKING} SELECT game_id, arg_min(frame_id, (t_ms, frame_id)) AS frame_id, min(t_ms) AS t_ms FROM t WHERE period_id = 2 AND t_ms >= 1000 GROUP BY game_id""")
