@@ -566,7 +566,7 @@ SELECT frame_id, row_id, count(*) AS cells, {q4("sum(tti)")} AS tti, {q4(f"sum({
 def x_pressing_teams(spark, sf_dir):
     """Defenders against the owning side, the better of carrier and ball; summed per row."""
     c = pressing.pressing_pairs(tracking(spark, sf_dir), SOCCER)
-    return c.groupBy("frame_id", "row_id").agg(F.count("*").alias("cells"), r4(F.sum("tti")).alias("tti"), r4(F.sum("pti")).alias("pti"))
+    return c.groupBy(*FRAME, "row_id").agg(F.count("*").alias("cells"), r4(F.sum("tti")).alias("tti"), r4(F.sum("pti")).alias("pti")).drop("game_id", "period_id")
 
 
 @query(f"""WITH {TRACKING}, {RUN}, k AS (SELECT frame_id, own, row_id, column_id, CASE WHEN rv < 4 OR cv < 4 THEN 0 ELSE {PTI} END AS pti, CASE WHEN row_id = column_id THEN 0 ELSE tti END AS tti FROM m)
@@ -574,7 +574,7 @@ SELECT frame_id, CASE WHEN own = 'home' THEN column_id ELSE row_id END AS row_id
 def x_pressing_full(spark, sf_dir):
     """All pairs with the ball, a speed threshold, home and away sides; summed per row."""
     c = pressing.pressing_pairs(tracking(spark, sf_dir), SOCCER, method="full", ball_method="include", speed_threshold=4.0, orient="home_away")
-    return c.groupBy("frame_id", "row_id").agg(F.count("*").alias("cells"), r4(F.sum("tti")).alias("tti"), r4(F.sum("pti")).alias("pti"))
+    return c.groupBy(*FRAME, "row_id").agg(F.count("*").alias("cells"), r4(F.sum("tti")).alias("tti"), r4(F.sum("pti")).alias("pti")).drop("game_id", "period_id")
 
 
 @query(f"""WITH {TRACKING}, {RUN}, k AS (SELECT * FROM m WHERE rt <> own AND rt <> 'ball' AND (ct = own OR ct = 'ball')),
