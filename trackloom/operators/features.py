@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -163,6 +164,36 @@ def football_edges(s: FootballSettings) -> dict[str, Column]:
     }
 
 
+def edges_in_numpy(v: dict[str, np.ndarray], cells: tuple[np.ndarray, ...], ball: np.ndarray, s: Settings) -> np.ndarray:
+    """The columns of ``soccer_edges`` or ``football_edges`` (cells, columns) for cells (frame, i, j) of whole frames.
+
+    ``v`` has columns (frames, n), NaN for null, and ``ball`` who is the ball. The same as by ``with_differences``, but
+    without a row per pair.
+    """
+    f, i, j = cells
+    less, more = (lambda c: v[c][f, i] - v[c][f, j]), (lambda c: v[c][f, j] - v[c][f, i])
+    zero = lambda a: np.where(np.isnan(a), 0.0, a)
+    clip = lambda a, low: np.fmax(np.fmin(a, 1.0), low)  # noqa: E731  NaN becomes 1, as in Spark
+    part = lambda a: (zero(a) + 1) / 2
+    unit = lambda a, size: np.where(size == 0, 0.0, a / np.where(size == 0, 1.0, size))
+    by_kind = lambda player, other: np.where(ball[f, i], other, player)
+    with np.errstate(all="ignore"):
+        px, py, dv = less("x"), less("y"), zero(more("v"))
+        flat = np.sqrt(px * px + py * py)
+        place = zero(np.arctan2(py, px))
+        speed = clip(dv / by_kind(s.max_player_speed, s.max_ball_speed), 0.0) * np.sign(dv)
+        if isinstance(s, FootballSettings):
+            known = lambda a: np.where(flat < np.inf, a, 0.0)
+            turns = [known(part(g(more(c)))) for c in ("dir", "o") for g in (np.cos, np.sin)]
+            faster = clip(zero(more("a")) / by_kind(s.max_player_acceleration, s.max_ball_acceleration), -1.0)
+            return np.stack([zero(flat) / s.diagonal, known(speed), faster, known(part(np.cos(place))), known(part(np.sin(place))), *turns], 1)
+        pz, dx, dy = less("z"), more("vx"), more("vy")
+        size = np.sqrt(dx * dx + dy * dy)
+        turn = np.arccos(clip(unit(px, flat) * unit(dx, size) + unit(py, flat) * unit(dy, size), -1.0))
+        gap = np.sqrt(px * px + py * py + pz * pz)
+        return np.stack([zero(gap) / s.diagonal, speed, part(np.cos(place)), part(np.sin(place)), part(np.cos(turn)), part(np.sin(turn))], 1)
+
+
 def global_features(columns: list[str], where: str, ball_id: str) -> dict[str, Column]:
     """Columns of a whole frame on its nodes: on the ball's row only, or on all."""
     if where not in ("ball", "all"):

@@ -1,4 +1,4 @@
-"""Per-frame graphs: one row per frame with node, edge and adjacency matrices, from one shuffle by frame."""
+"""Per-frame graphs: one row per frame with node, edge and adjacency matrices, from one shuffle by frame at most."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.scalar import finite
@@ -130,47 +131,55 @@ def edge_table(df: DataFrame, config: GraphConfig, settings: Settings) -> tuple[
 def build_graphs(df: DataFrame, config: GraphConfig = GraphConfig(), settings: Settings = Settings()) -> DataFrame:
     """A row per frame: x (nodes by features), e (edges by features, row-major), a, their shapes, ids and label.
 
-    Nodes are ordered attackers, defenders, ball, then by id. Rows are shuffled once, by frame: a frame's rows are
-    packed, its pairs exploded with the packed frame on the first of them, and collected again where they are. Labels,
-    graph ids and global columns must have one value in a frame. Features that are numpy functions are computed by
-    ``with_numpy`` afterwards.
+    Nodes are ordered attackers, defenders, ball, then by id. Rows are shuffled once, by frame, if they are not together
+    already, and a frame's rows are packed; ``matrices`` makes a, e and what numpy functions add, so pairs never become
+    rows. Only edge features of one's own that are column expressions need a row per pair (``with_cells``). Labels,
+    graph ids and global columns must have one value in a frame.
     """
     numpy_style = of_style(config.node_functions, "numpy", "node") + of_style(config.edge_functions, "numpy", "edge")
     one_value = [config.graph_id_col, config.label_col, *config.global_cols]
     d, names = node_table(frames.constant_in_frame(prepared(df, config, settings), one_value, list(config.by)), config, settings)
+    pairs.connected(config.adjacency, config.connect, settings.ball_id, "is_ball_carrier" in d.columns)  # raises where there is none
     keep = edge_inputs(d, settings)
     own = [c for c in d.columns if c not in config.by and c not in names] if numpy_style else []
     first = {"label": config.label_col, "graph_id": config.graph_id_col}
-    packed = d.groupBy(*config.by).agg(
-        F.array_sort(F.collect_list(F.struct(frames.graph_order(settings).alias("_o"), *dict.fromkeys([*keep, *own]), F.array(*names).cast("array<double>").alias("f")))).alias("_n"),
-        *(F.min(c).alias(f"_{k}") for k, c in first.items()),
+    g = d.groupBy(*config.by).agg(
+        F.sort_array(F.collect_list(F.struct(frames.graph_order(settings).alias("_o"), *dict.fromkeys([*keep, *own]), F.array(*names).cast("array<double>").alias("f")))).alias("_n"),
+        *(F.min(c).alias(k) for k, c in first.items()),
     )
     edge = {k: v for f in edge_columns(config, settings) for k, v in f(settings).items()}
-    on = lambda i, j: F.coalesce(pairs.connected(config.adjacency, config.connect, settings.ball_id, "is_ball_carrier" in d.columns, i, j), F.lit(False))
+    if of_style(config.edge_functions, "columns", "edge"):
+        g = with_cells(g, edge, keep, config, settings)
+    n = F.size("_n").cast("long")
+    g = g.withColumns({
+        "_m": matrices(keep, own, len(edge), config, settings),
+        "x": F.col("_n.f"),
+        "object_ids": F.transform("_n", lambda v: F.nullif(v["id"].cast("string"), F.lit(""))),
+        "ball_owning_team_id": F.element_at("_n", 1)["ball_owning_team_id"],
+    })
+    g = g.withColumns({
+        **({"x": F.col("_m.x")} if numpy_style else {}),
+        "e": F.col("_m.e"), "a": F.col("_m.a"), "e_shape_0": F.size("_m.e").cast("long"), "x_shape_0": n, "a_shape_0": n, "a_shape_1": n,
+        "x_shape_1": F.col("_m.x_shape_1") if numpy_style else F.lit(len(names)).cast("long"),
+        "e_shape_1": F.col("_m.e_shape_1") if numpy_style else F.lit(len(edge)).cast("long"),
+        "label": F.col("label").cast("long"), "frame_id": F.col("frame_id").cast("long"),
+    })
+    return g.select(*(c for c in config.by if c != "frame_id"), *(f.split()[0] for f in SCHEMA.split(", ")))
+
+
+def with_cells(g: DataFrame, edge: dict, keep: list[str], config: GraphConfig, settings: Settings) -> DataFrame:
+    """Add ``_e``: features of edges that are column expressions, from a row per pair and the packed frame on the first."""
+    on = F.coalesce(pairs.connected(config.adjacency, config.connect, settings.ball_id, "is_ball_carrier" in keep), F.lit(False))
     cell = lambda v, k: [k.alias("row"), *(v[c].alias(c) for c in keep)]
-    whole = F.struct("_n", "_label", "_graph_id")
-    i = F.transform("_n", lambda v, k: F.struct(*cell(v, k), F.when(k == 0, whole).alias("frame")))
-    cells = packed.select(*config.by, i.alias("_i"), F.transform("_n", lambda v, k: F.struct(*cell(v, k))).alias("_j"))
+    i = F.transform("_n", lambda v, k: F.struct(*cell(v, k), F.when(k == 0, F.struct("_n", "label", "graph_id")).alias("frame")))
+    cells = g.select(*config.by, i.alias("_i"), F.transform("_n", lambda v, k: F.struct(*cell(v, k))).alias("_j"))
     cells = cells.select(*config.by, F.explode("_i").alias("i"), "_j").select(*config.by, "i", F.explode("_j").alias("j"))
     head = F.when((F.col("i.row") == 0) & (F.col("j.row") == 0), F.col("i.frame"))
-    cells = cells.withColumns({"_on": on(F.col("i"), F.col("j")), "_head": head}).where(F.col("_on") | F.col("_head").isNotNull())
+    cells = cells.withColumns({"_on": on, "_head": head}).where(F.col("_on") | F.col("_head").isNotNull())
     made = F.struct(F.col("i.row").alias("i"), F.col("j.row").alias("j"), F.array(*(v.cast("double") for v in edge.values())).cast("array<double>").alias("f"))
     cells = X.with_differences(cells, settings).select(*config.by, F.when(F.col("_on"), made).alias("_c"), "_head")
     g = cells.groupBy(*config.by).agg(F.array_sort(F.collect_list("_c")).alias("_e"), F.first("_head", ignorenulls=True).alias("_head"))
-    g = g.select(*config.by, "_e", "_head._n", F.col("_head._label").alias("label"), F.col("_head._graph_id").alias("graph_id"))
-    n = F.size("_n")
-    g = g.withColumns({
-        "x": F.transform("_n", lambda v: v["f"]),
-        "e": F.transform("_e", lambda c: c["f"]),
-        "a": F.transform("_n", lambda i: F.transform("_n", lambda j: F.when(on(i, j), 1).otherwise(0))),
-        "object_ids": F.transform("_n", lambda v: F.nullif(v["id"].cast("string"), F.lit(""))),
-        "ball_owning_team_id": F.element_at("_n", 1)["ball_owning_team_id"],
-    })
-    g = g.withColumns({"x_shape_0": n.cast("long"), "x_shape_1": F.lit(len(names)).cast("long"), "e_shape_0": F.size("e").cast("long"), "e_shape_1": F.lit(len(edge)).cast("long"), "a_shape_0": n.cast("long"), "a_shape_1": n.cast("long"), "label": F.col("label").cast("long"), "frame_id": F.col("frame_id").cast("long")})
-    columns = [*(c for c in config.by if c != "frame_id"), *(f.split()[0] for f in SCHEMA.split(", "))]
-    if numpy_style:
-        return with_numpy(g, columns, own, config, settings)
-    return g.select(*columns)
+    return g.select(*config.by, "_head.*", F.col("_e.f").alias("_e"))
 
 
 def keywords(r: dict, config: GraphConfig, settings: Settings) -> dict:
@@ -195,48 +204,98 @@ def keywords(r: dict, config: GraphConfig, settings: Settings) -> dict:
     }
 
 
-def with_numpy(g: DataFrame, columns: list[str], own: list[str], config: GraphConfig, settings: Settings) -> DataFrame:
-    """Append columns of numpy functions, called once per frame, to x and e.
+#: Frames whose matrices are held at a time.
+SLICE = 256
+MADE = "x array<array<double>>, e array<array<double>>, a array<array<int>>, x_shape_1 long, e_shape_1 long"
+
+
+def listed(values: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """Rows of ``values`` (rows, columns) as arrays of arrays, so many to each."""
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(np.ascontiguousarray(values).ravel()))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rows)]).astype(np.int32)), inner)
+
+
+def matrices(keep: list[str], own: list[str], n_edge: int, config: GraphConfig, settings: Settings) -> Column:
+    """A struct per packed frame: a, e, and x where there are numpy functions. Frames of a size are done together.
 
-    Keywords: every column of the input by name, position and velocity (N, 3), ball_position, ball_idx,
-    ball_carrier_idx, is_gk, ball_id, possession_team_id, settings, feature_opts. Built-in columns come first, then the
-    functions' in the order given.
+    Numpy functions are called once per frame. Their keywords: every column of the input by name, position and velocity
+    (N, 3), ball_position, ball_idx, ball_carrier_idx, is_gk, ball_id, possession_team_id, settings, feature_opts.
+    Built-in columns come first, then the functions' in the order given.
     """
     own_nodes, own_edges = of_style(config.node_functions, "numpy", "node"), of_style(config.edge_functions, "numpy", "edge")
-    # a frame is a row of flat arrays, so that many frames go to Python in one batch
-    flat = {"x": F.flatten("x"), "e": F.flatten("e"), "a": F.flatten("a")}
-    array_of = lambda c: F.transform("_n", lambda v: v[c]).alias(f"_{c}")
-    source = g.select(*(flat[c].alias(c) if c in flat else c for c in columns), *map(array_of, own))
-
-    def graph(r: dict) -> list:
-        kw = keywords({c: r[f"_{c}"] for c in own}, config, settings)
-        n = len(kw["id"])
-        a = np.asarray(r["a"]).reshape(n, n) > 0
-        x, e = ([np.asarray(r[c], float).reshape(r[f"{c}_shape_0"], r[f"{c}_shape_1"])] for c in "xe")
-        for f in own_nodes:
-            v = np.asarray(f(**kw), float)
-            if v.shape[:1] != (n,) or v.ndim > 2:
-                raise ValueError(f"node feature {f.__name__} must return (N,) or (N, k), not {v.shape}")
-            x.append(v.reshape(n, -1))
-        for f in own_edges:
-            got = f(**kw)
-            for v in got if isinstance(got, tuple) else (got,):
-                v = np.asarray(v, float)
-                if v.shape != (n, n):
-                    raise ValueError(f"edge feature {f.__name__} must return (N, N), not {v.shape}")
-                e.append(v[a][:, None])
-        x, e = np.nan_to_num(np.hstack(x)), np.nan_to_num(np.hstack(e))
-        made = {"x": x.tolist(), "e": e.tolist(), "a": a.astype(int).tolist(), "x_shape_1": x.shape[1], "e_shape_1": e.shape[1]}
-        made["label"] = None if pd.isna(r["label"]) else int(r["label"])
-        return [made.get(c, r[c]) for c in columns]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [graph(dict(zip(pdf.columns, r, strict=True))) for r in pdf.itertuples(index=False, name=None)]
-            yield pd.DataFrame(rows, columns=columns).astype({"label": "Int64"})
-
-    kinds = {f.name: f.dataType.simpleString() for f in g.schema.fields}
-    return source.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+    in_cells = bool(of_style(config.edge_functions, "columns", "edge"))
+    values = list(FOOTBALL_EDGE if isinstance(settings, FootballSettings) else SOCCER_EDGE) if n_edge and not in_cells else []
+    carrier = "is_ball_carrier" in keep
+    columns = {"team": F.col("_n.team_id").cast("array<string>"), "own": F.col("_n.ball_owning_team_id").cast("array<string>")}
+    columns |= {"carries": F.col("_n.is_ball_carrier")} if carrier else {}
+    columns |= {f"v_{c}": F.col(f"_n.{c}").cast("array<double>") for c in values}
+    columns |= {"e": F.col("_e")} if in_cells else {}
+    columns |= {"x": F.col("_n.f")} if own else {}
+    columns |= {f"_{c}": F.col(f"_n.{c}") for c in own}
+    given = list(columns)
+
+    def own_features(b: dict, a: np.ndarray, x: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """x and e of frames of a size, with the columns of numpy functions."""
+        n = a.shape[1]
+        added_x, added_e = [], []
+        for k in range(len(a)):
+            kw = keywords({c: b[f"_{c}"][k].values.to_numpy(zero_copy_only=False) for c in own}, config, settings)
+            more_x, more_e = [], []
+            for f in own_nodes:
+                v = np.asarray(f(**kw), float)
+                if v.shape[:1] != (n,) or v.ndim > 2:
+                    raise ValueError(f"node feature {f.__name__} must return (N,) or (N, k), not {v.shape}")
+                more_x.append(v.reshape(n, -1))
+            for f in own_edges:
+                got = f(**kw)
+                for v in got if isinstance(got, tuple) else (got,):
+                    v = np.asarray(v, float)
+                    if v.shape != (n, n):
+                        raise ValueError(f"edge feature {f.__name__} must return (N, N), not {v.shape}")
+                    more_e.append(v[a[k]][:, None])
+            added_x.append(np.hstack([np.empty((n, 0)), *more_x]))
+            added_e.append(np.hstack([np.empty((a[k].sum(), 0)), *more_e]))
+        return np.nan_to_num(np.hstack([x, np.concatenate(added_x)])), np.nan_to_num(np.hstack([e, np.concatenate(added_e)]))
+
+    def frames_of(b: dict, n: int) -> pa.Array:
+        """The structs of frames of ``n`` objects."""
+        flat = lambda c: b[c].flatten().to_numpy(zero_copy_only=False)
+        code = pa.concat_arrays([b["team"].flatten(), b["own"].flatten(), pa.array([settings.ball_id])]).dictionary_encode().indices
+        code = code.fill_null(-1).to_numpy(zero_copy_only=False)
+        team, own_code = code[:-1].reshape(2, -1, n)
+        carries = flat("carries").reshape(-1, n) == True if carrier else np.zeros(team.shape, bool)  # noqa: E712  null is no carrier
+        a = pairs.connected_in_numpy(config.adjacency, config.connect, team, own_code, code[-1], carries)
+        cells, edges = np.nonzero(a), a.sum((1, 2))
+        if in_cells:
+            e = b["e"].flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(cells[0]), n_edge)
+        elif values:
+            e = X.edges_in_numpy({c: flat(f"v_{c}").astype(float).reshape(-1, n) for c in values}, cells, team == code[-1], settings)
+        else:
+            e = np.empty((len(cells[0]), 0))
+        x = None
+        if own:
+            x = b["x"].flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(a.shape[0] * n, -1)
+            x, e = own_features(b, a, x, e)
+        every = np.full(len(a), n)
+        long = lambda v: pa.array(np.full(len(a), v, np.int64))
+        made = {"x": pa.nulls(len(a), pa.list_(pa.list_(pa.float64()))) if x is None else listed(x, every), "e": listed(e, edges), "a": listed(a.reshape(-1, n).astype(np.int32), every)}
+        return pa.StructArray.from_arrays([*made.values(), long(0 if x is None else x.shape[1]), long(e.shape[1])], [*made, "x_shape_1", "e_shape_1"])
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for at in range(0, len(batch[0]), SLICE):
+                b = dict(zip(given, (c.slice(at, SLICE) for c in batch), strict=True))
+                size = pc.list_value_length(b["team"]).to_numpy(zero_copy_only=False)
+                kinds = np.unique(size)
+                if len(kinds) == 1:
+                    yield frames_of(b, int(kinds[0]))
+                    continue
+                rows = [np.flatnonzero(size == n) for n in kinds]
+                made = pa.concat_arrays([frames_of({c: v.take(pa.array(r)) for c, v in b.items()}, int(n)) for n, r in zip(kinds, rows, strict=True)])
+                yield made.take(pa.array(np.argsort(np.concatenate(rows))))
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, MADE)(*columns.values())
 
 
 def dimensions(graphs: DataFrame) -> DataFrame:

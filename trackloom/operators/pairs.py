@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,27 @@ def connected(kind: str, connect: str, ball_id: str, carrier: bool = True, i: Co
     raise ValueError(f"no connection {connect!r}")
 
 
+def connected_in_numpy(kind: str, connect: str, team: np.ndarray, own: np.ndarray, ball: int, carries: np.ndarray) -> np.ndarray:
+    """``connected`` of whole frames (frames, n): codes of teams and owners, below 0 for null, and who carries the ball."""
+    ti, tj, own = team[:, :, None], team[:, None, :], own[:, :, None]
+    same = lambda a, b: (a == b) & (a >= 0)
+    other = lambda a, b: (a != b) & (a >= 0) & (b >= 0)
+    bi, bj = same(ti, ball), same(tj, ball)
+    if kind == DENSE:
+        a = np.ones((len(team), team.shape[1], team.shape[1]), bool)
+    elif kind == DENSE_AP:
+        a = same(ti, own) & same(tj, own)
+    elif kind == DENSE_DP:
+        a = other(ti, own) & ~bi & other(tj, own) & ~bj
+    else:
+        a = same(ti, tj)
+    if connect == TO_BALL:
+        return a | bi | bj
+    if connect == TO_CARRIER:
+        return a | (bi & carries[:, None, :]) | (bj & carries[:, :, None])
+    return a
+
+
 def most_edges(kind: str, connect: str, players: int = 11) -> int:
     """Edges of a full frame of two teams and the ball, for padding."""
     n = 2 * players + 1
