@@ -132,13 +132,20 @@ def f26_arrays(spark, sf_dir):
     return p.select("user_id", n(ids).alias("n"), F.slice(ids, 1, 3).isNotNull().alias("has_slice"), total.alias("first_three"), n(F.filter(kinds, lambda x: x != 0)).alias("nonzero"), n(F.array_except(allowed, kinds)).alias("absent"))
 
 
+#: Frame numbers that a set of frames spans.
+SET = 50_000
+
+
 def xml_files(t: DataFrame, path: str) -> None:
-    """``t`` as a positions XML, a set of frames per object and half, and a match information XML."""
+    """``t`` as a positions XML, a set of frames per object, half and stretch of frames, and a match information XML.
+
+    A set is no longer than a half of a real match, however many frames there are.
+    """
     attribute = lambda name, value: F.concat(F.lit(f'{name}="'), value.cast("string"), F.lit('" '))
     ball = F.col("id") == BALL
     frame = F.concat(F.lit("<Frame "), attribute("N", F.col("frame_id")), attribute("X", F.col("x")), attribute("Y", F.col("y")), F.when(ball, F.concat(
         attribute("Z", F.col("z")), attribute("BallPossession", F.when(F.col("ball_owning_team_id") == "home", 1).otherwise(2)), attribute("BallStatus", F.lit(1)))).otherwise(F.lit("")), F.lit("/>"))
-    sets = t.groupBy("period_id", "id", "team_id").agg(F.array_join(F.collect_list(frame), "").alias("frames"))
+    sets = t.groupBy("period_id", "id", "team_id", F.expr(f"frame_id div {SET}")).agg(F.array_join(F.collect_list(frame), "").alias("frames"))
     head = F.concat(F.lit("<FrameSet "), attribute("GameSection", F.when(F.col("period_id") == 1, "firstHalf").otherwise("secondHalf")), attribute("MatchId", F.lit("m")), attribute("TeamId", F.when(F.col("id") == BALL, "BALL").otherwise(F.col("team_id"))), attribute("PersonId", F.col("id")), F.lit(">"))
     file = F.concat(F.lit("<PutDataRequest><Positions>"), head, "frames", F.lit("</FrameSet></Positions></PutDataRequest>"))
     sets.select(file).write.option("maxRecordsPerFile", 1).text(f"{path}/tracking")

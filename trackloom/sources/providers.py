@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.schema import BALL
+from trackloom.sources.files import scratch
 
 ROWS = ["game_id", "period_id", "frame_id", "t_ms", "ball_state", "ball_owning_team_id", "id", "x", "y", "z"]
 SECTIONS = {"firstHalf": 1, "secondHalf": 2, "firstHalfExtra": 3, "secondHalfExtra": 4}
@@ -35,6 +36,10 @@ def sportec(spark: SparkSession, tracking_path: str, meta_path: str, frame_rate:
     rows = sets.where(is_ball | F.col("_TeamId").isin(home, guest)).select(
         F.col("_MatchId").alias("game_id"), looked_up(F.col("_GameSection"), SECTIONS).alias("period_id"), F.when(is_ball, BALL).otherwise(F.col("_PersonId")).alias("id"), F.explode("Frame").alias("f")
     )
+    # parsed once: what follows reads the rows several times
+    path = scratch(spark, "positions")
+    rows.write.parquet(path)
+    rows = spark.read.parquet(path)
     first = rows.groupBy("game_id", "period_id").agg(F.min("f._N").alias("first"))
     ball = rows.where(F.col("id") == BALL).select(
         "game_id", "period_id", F.col("f._N").alias("frame_id"),
