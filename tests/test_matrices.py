@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.test_tracking import SOCCER
-from trackloom.operators import frames, graphs
+from trackloom.operators import frames, graphs, pressing
 from trackloom.plans.views import tracking
 from trackloom.schema import BALL, FootballSettings
 
@@ -30,3 +30,24 @@ def test_slices_and_sizes_keep_their_places(spark, monkeypatch):
         for r in got:
             assert np.allclose(r.e, [c.f for c in want[r.frame_id]], atol=1e-7)
             assert [(i, j) for i, row in enumerate(r.a) for j, v in enumerate(row) if v] == [(c.row, c.j) for c in want[r.frame_id]]
+
+
+def test_pressing_pairs_are_not_sorted(spark):
+    for method in pressing.METHODS:
+        text = pressing.pressing_pairs(tracking(spark, DATA), SOCCER, method=method)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in text and "Sort [" not in text
+
+
+def test_pressing_columns_of_odd_carriers(spark):
+    """The ball's time goes to the first carrier of the chosen columns; without one frames stay as they are."""
+    t = tracking(spark, DATA).where("frame_id < 8")
+    several = t.withColumn("is_ball_carrier", F.col("i").isin(3, 4, 15, 22))
+    plain = pressing.pressing_pairs(t, SOCCER, ball_method="include", method="full").collect()
+    time = {(c.frame_id, c.row_id, c.column_id): c.tti for c in plain}
+    got = pressing.pressing_pairs(several, SOCCER).collect()
+    assert len(got) == 8 * 121
+    for c in got:
+        own = time[c.frame_id, c.row_id, c.column_id]
+        first = c.column_id == ("h03" if c.frame_id % 2 == 0 else "a15")
+        assert c.tti == (min(own, time[c.frame_id, c.row_id, "ball"]) if first else own)
+    assert pressing.pressing_pairs(t.withColumn("is_ball_carrier", F.lit(False)), SOCCER).count() == 0

@@ -6,11 +6,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trackloom.functions.scalar import clipped, norm
 from trackloom.operators import frames
-from trackloom.operators.pairs import pairs
+from trackloom.operators.pairs import packed
 from trackloom.schema import FRAME, Settings
 
 METHODS, BALL_METHODS, ORIENTS = ("teams", "full"), ("include", "exclude", "max"), ("ball_owning", "pressing", "home_away", "away_home")
@@ -65,24 +64,24 @@ def pressing_pairs(
     owner = (F.col("team_id") == F.col("ball_owning_team_id")) | ball
     order = F.struct(F.when(owner, F.when(ball, 1).otherwise(0)).otherwise(2).alias("k"), F.col("id").alias("id"))
     columns = ["id", "team_id", "ball_owning_team_id", "is_ball_carrier", "x", "y", "z", "vx", "vy", "vz", "v"]
-    if ball_method == "max":
-        w = Window.partitionBy(*FRAME)
-        one = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(w)
-        d = d.withColumns({"_b": one(ball), "_c": one(F.col("is_ball_carrier"))}).where("_b = 1 and _c >= 1").drop("_b", "_c")
-    # j runs towards i
-    p = pairs(d, FRAME, order, columns)
-    own = lambda s: (F.col(f"{s}.team_id") == F.col(f"{s}.ball_owning_team_id")) | (F.col(f"{s}.team_id") == settings.ball_id)
+    p = packed(d, FRAME, order, columns)
+    is_ball = lambda o: o["team_id"] == settings.ball_id
+    own = lambda o: (o["team_id"] == o["ball_owning_team_id"]) | is_ball(o)
+    # j runs towards i; both are chosen, and the ball put apart, while a frame is one row, so that pairs need no window
+    i, j = F.col("objects"), F.col("objects")
     if method == "teams":
-        p = p.where(own("j") & ~own("i"))
+        i, j = F.filter(i, lambda o: ~own(o)), F.filter(j, own)
+    if ball_method == "max":
+        p = p.where((F.size(F.filter("objects", is_ball)) == 1) & F.exists("objects", lambda o: o["is_ball_carrier"]))
+        carriers = F.filter(j, lambda o: o["is_ball_carrier"])
+        p = p.withColumns({"_ball": F.filter("objects", is_ball)[0], "_c": F.array_min(F.transform(carriers, lambda o: o["row"]))})
+        i, j = (F.filter(x, lambda o: ~is_ball(o)) for x in (i, j))
+        p = p.select(*FRAME, "_ball", "_c", j.alias("js"), F.explode(i).alias("i"))
+        p = p.withColumn("_t", time_to_intercept("_ball", "i", reaction_time, settings.max_player_speed)).select(*FRAME, "_t", "_c", "i", F.explode("js").alias("j"))
+    else:
+        p = p.select(*FRAME, j.alias("js"), F.explode(i).alias("i")).select(*FRAME, "i", F.explode("js").alias("j"))
     p = p.withColumn("tti", time_to_intercept("j", "i", reaction_time, settings.max_player_speed))
     if ball_method == "max":
-        if method == "full":
-            p = p.where(F.col("i.team_id") != settings.ball_id)
-        is_ball, carries = F.col("j.team_id") == settings.ball_id, F.col("j.is_ball_carrier")
-        w = Window.partitionBy(*FRAME, "i.id")
-        to_ball = F.min(F.when(is_ball, F.col("tti"))).over(w)
-        carrier_no = F.min(F.when(carries, F.col("j.row"))).over(w)
-        p = p.withColumns({"_t": to_ball, "_c": carrier_no}).where(~is_ball)
         p = p.withColumn("tti", F.when(F.col("j.row") == F.col("_c"), F.least("tti", "_t")).otherwise(F.col("tti"))).drop("_t", "_c")
     p = p.withColumn("pti", probability_to_intercept(F.col("tti"), time_threshold, sigma))
     if method == "full":
