@@ -29,6 +29,10 @@ CATALOGUE = [*dict.fromkeys([*CLUSTERS, *TENS]), *NINES, *EIGHTS]
 Template = tuple[np.ndarray, list[str]]
 #: Teams whose costs are held at a time.
 TEAMS = 512
+#: Frame numbers of a block, within which changes of possession are counted.
+BLOCK = 65_536
+#: Substitutes that every task gets; more are joined by a shuffle.
+FEW = 100_000
 #: Fixed names of places in a line of so many players, from left to right.
 LINES = {1: ["C"], 2: ["LC", "RC"], 3: ["L", "C", "R"], 4: ["L", "LC", "RC", "R"], 5: ["L", "LC", "C", "RC", "R"]}
 
@@ -184,11 +188,20 @@ def steady(found: DataFrame, keys: list[str], threshold: float | None, after_pos
 def segment_ids(df: DataFrame, every: str) -> tuple[DataFrame, str]:
     """Add the segment of each frame: ``possession``, ``period`` or a time bucket such as ``30s``, ``5m``, ``1h``."""
     if every == "possession":
-        one = df.groupBy(*FRAME).agg(F.min("ball_owning_team_id").alias("_own"))
-        w = Window.partitionBy("game_id").orderBy("period_id", "frame_id")
-        changed = ~F.col("_own").eqNullSafe(F.lag("_own").over(w)) | ~F.col("period_id").eqNullSafe(F.lag("period_id").over(w))
-        one = one.withColumn("_c", F.when(changed, 1).otherwise(0))
-        ids = one.withColumn("possession_id", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_own", "_c")
+        one = df.groupBy(*FRAME).agg(F.min("ball_owning_team_id").alias("_own")).withColumn("_k", F.struct("period_id", F.floor(F.col("frame_id") / BLOCK)))
+        # changes are counted in blocks of frame numbers, so no task needs all frames of a game; then blocks are put together.
+        # As a struct is never null, both sides of their join have the same filters, and one shuffle
+        part, period = ["game_id", "_k"], F.col("_k.period_id")
+        w, v = Window.partitionBy(*part).orderBy("frame_id"), Window.partitionBy("game_id").orderBy("_k")
+        so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+        one = one.withColumn("_c", F.when((F.row_number().over(w) > 1) & ~F.col("_own").eqNullSafe(F.lag("_own").over(w)), 1).otherwise(0))
+        one = one.withColumn("_n", F.sum("_c").over(so_far(w)))
+        at = F.struct("frame_id")
+        blocks = one.groupBy(*part).agg(F.min_by("_own", at).alias("_first"), F.max_by("_own", at).alias("_last"), F.max("_n").alias("_all"))
+        changed = ~F.col("_first").eqNullSafe(F.lag("_last").over(v)) | ~period.eqNullSafe(F.lag(period).over(v))
+        blocks = blocks.withColumn("_c", F.when(changed, 1).otherwise(0))
+        blocks = blocks.select(*part, (F.sum(F.col("_c") + F.col("_all")).over(so_far(v)) - F.col("_all")).alias("_before"))
+        ids = one.join(blocks.hint("shuffle_hash"), part).select(*FRAME, (F.col("_before") + F.col("_n")).alias("possession_id"))
         # a row per frame: never broadcast, whatever its estimated size
         return df.join(ids.hint("shuffle_hash"), FRAME), "possession_id"
     if every == "period":
@@ -201,7 +214,10 @@ def segment_ids(df: DataFrame, every: str) -> tuple[DataFrame, str]:
 
 
 def without_substitutes(df: DataFrame, segment: str, substitutions: str = "drop", most: int = 11) -> DataFrame:
-    """In segments with over 10 outfield players of a team, keep its 11 objects with most rows (ties by id)."""
+    """In segments with over 10 outfield players of a team, keep its 11 objects with most rows (ties by id).
+
+    Substitutes are looked up at once, as they are few: by estimates all rows could be shuffled and sorted for them.
+    """
     if substitutions == "merge":
         raise NotImplementedError("merging substitutes")
     if substitutions != "drop":
@@ -211,7 +227,10 @@ def without_substitutes(df: DataFrame, segment: str, substitutions: str = "drop"
     w = Window.partitionBy(*keys)
     per = per.withColumns({"r": F.row_number().over(w.orderBy(F.desc("n"), "id")), "outs": F.sum("out").over(w)})
     drop = per.where((F.col("team_id") != BALL) & (F.col("outs") > 10) & (F.col("r") > most)).select(*keys, "id")
-    return df.join(drop, [*keys, "id"], "left_anti")
+    found = drop.limit(FEW + 1).collect()
+    if len(found) > FEW:
+        return df.join(drop.hint("shuffle_hash"), [*keys, "id"], "left_anti")
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(found, drop.schema)), [*keys, "id"], "left_anti") if found else df
 
 
 def segment_means(df: DataFrame, segment: str) -> DataFrame:
