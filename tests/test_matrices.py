@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.test_tracking import SOCCER
-from trackloom.operators import frames, graphs, pressing
+from trackloom.functions.assignment import assign
+from trackloom.operators import formations, frames, graphs, pressing
 from trackloom.plans.views import tracking
 from trackloom.schema import BALL, FootballSettings
 
@@ -51,3 +52,25 @@ def test_pressing_columns_of_odd_carriers(spark):
         first = c.column_id == ("h03" if c.frame_id % 2 == 0 else "a15")
         assert c.tti == (min(own, time[c.frame_id, c.row_id, "ball"]) if first else own)
     assert pressing.pressing_pairs(t.withColumn("is_ball_carrier", F.lit(False)), SOCCER).count() == 0
+
+
+def test_few_templates_are_matched(monkeypatch):
+    """The best of all templates for teams of any size and shape, and most templates ruled out by their bounds."""
+    matcher, rng, solved = formations.Matcher(), np.random.default_rng(4), []
+    many = formations.assign_many
+    monkeypatch.setattr(formations, "assign_many", lambda cost: solved.append(len(cost)) or many(cost))
+    for n, (names, places, _) in matcher.by_size.items():
+        xy = np.concatenate([rng.integers(-50, 50, (60, n, 2)).astype(float), rng.random((60, n, 2)) * 9, np.zeros((1, n, 2)), rng.random((20, n, 2)) * [0, 5]])
+        right = rng.random(len(xy)) < 0.5
+        best, match, total = matcher.fit_many(xy, right)
+        low, high = places.min((0, 1)), places.max((0, 1))
+        for team, to_right, k, m, t in zip(xy, right, best, match, total, strict=True):
+            scaled = np.where(to_right, places - low, high - places) * ((team.max(0) - team.min(0)) / (high - low)) + team.min(0)
+            cost = np.linalg.norm(team[None, :, None] - scaled[:, None], axis=-1)
+            sums = [c[range(n), assign(c)].sum() for c in cost]
+            assert sorted(m) == list(range(n)) and np.isclose(cost[k][range(n), m].sum(), t, rtol=1e-12) and np.isclose(t, min(sums), rtol=1e-12)
+            assert np.isclose(sums[k], min(sums), rtol=1e-12)
+    solved.clear()
+    k, i = np.arange(1000)[:, None], np.arange(1, 11)
+    matcher.fit_many(np.stack([(k * 37 + i * 191) % 1050 / 10 - 52.5, (k * 53 + i * 87) % 680 / 10 - 34], 2), np.arange(1000) % 2 == 0)
+    assert sum(solved) < 3_500

@@ -27,8 +27,8 @@ EIGHTS = ["332", "431", "341", "422", "323", "242", "521", "3311", "3221", "4211
 CATALOGUE = [*dict.fromkeys([*CLUSTERS, *TENS]), *NINES, *EIGHTS]
 #: A template: places (n, 2) in [0, 1] of a team that plays to the right, and their labels.
 Template = tuple[np.ndarray, list[str]]
-#: Teams whose costs are held at a time.
-TEAMS = 512
+#: Teams whose distances are held at a time.
+TEAMS = 2_048
 #: Frame numbers of a block, within which changes of possession are counted.
 BLOCK = 65_536
 #: Substitutes that every task gets; more are joined by a shuffle.
@@ -72,6 +72,11 @@ class Matcher:
 
     def __init__(self, names: Iterable[str] | Mapping[str, Template] | None = None):
         self.by_size = {n: (list(t), np.array([v[0] for v in t.values()]), [v[1] for v in t.values()]) for n, t in catalogue(names).items()}
+        #: Templates of a size share most of their places: each of them once, and which a template has.
+        self.points = {}
+        for n, (_, places, _) in self.by_size.items():
+            points, at = np.unique(places.reshape(-1, 2), axis=0, return_inverse=True)
+            self.points[n] = points, at.reshape(-1, n)
 
     def fit(self, xy: np.ndarray, to_right: bool) -> tuple[str, list[str], float] | None:
         """(formation, a label per player, cost), or None without a template of this size. The first of equals wins."""
@@ -84,34 +89,43 @@ class Matcher:
     def fit_many(self, xy: np.ndarray, to_right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best template, match and cost of each of the teams (teams, players, 2), all of a size that has templates.
 
-        Templates are tried in order of a lower bound for all teams at once: each player's nearest place, and what the
-        places' nearest players cost beyond that. A team is done when its next bound is above its best cost.
+        Distances are taken once per place, as templates share places. Templates are tried in order of a lower bound for all
+        teams at once: each player's nearest place, and what the places' nearest players cost beyond that, or the same from
+        the places' side if it is more. A team is done when its next bound is above its best cost.
         """
         teams, n, _ = xy.shape
-        _, places, _ = self.by_size[n]
-        low, high = places.min((0, 1)), places.max((0, 1))
+        points, at = self.points[n]
+        low, high = points.min(0), points.max(0)
         own_low, own_high = xy.min(1), xy.max(1)
         scale = np.where(high > low, (own_high - own_low) / np.where(high > low, high - low, 1), 1)
-        # turned, a template is the same places from the box's other corner
-        from_corner = np.where(to_right[:, None, None, None], places - low, high - places)
-        cost = np.linalg.norm(xy[:, None, :, None, :] - (from_corner * scale[:, None, None, :] + own_low[:, None, None, :])[:, :, None, :, :], axis=-1)
-        nearest = cost.min(3)
-        bound = (nearest.sum(2) + (cost - nearest[:, :, :, None]).min(2).sum(2)) * (1 - 1e-12)  # rounding must not raise it
+        square = 0.0
+        for c in (0, 1):
+            # turned, a template is the same places from the box's other corner
+            from_corner = np.where(to_right, (points[:, c] - low[c])[:, None], (high[c] - points[:, c])[:, None])
+            way = np.ascontiguousarray(xy[:, :, c].T) - (from_corner * scale[:, c] + own_low[:, c])[:, None]
+            square = square + way * way
+        far = np.sqrt(square)  # (points, players, teams), so that sums and minima go over whole rows of teams
+        bound = np.empty((teams, len(at)))
+        for k, own in enumerate(at):
+            cost = far[own]
+            nearest, other = cost.min(0), cost.min(1)
+            least = np.maximum(nearest.sum(0) + (cost - nearest).min(1).sum(0), other.sum(0) + (cost - other[:, None]).min(0).sum(0))
+            bound[:, k] = least * (1 - 1e-12)  # rounding must not raise it
         order = np.argsort(bound, axis=1, kind="stable")
-        best, total, match = np.full(teams, len(places)), np.full(teams, np.inf), np.zeros((teams, n), int)
+        best, total, match = np.full(teams, len(at)), np.full(teams, np.inf), np.zeros((teams, n), int)
         live = np.arange(teams)
-        for nth in range(len(places)):
+        for nth in range(len(at)):
             k = order[live, nth]
             going = bound[live, k] <= total[live]
             live, k = live[going], k[going]
             if not len(live):
                 break
-            own = cost[live, k]
+            own = far[at[k][:, None], np.arange(n)[None, :, None], live[:, None, None]]
             found = assign_many(own)
             sums = np.take_along_axis(own, found[:, :, None], 2)[:, :, 0].sum(1)
             better = (sums < total[live]) | ((sums == total[live]) & (k < best[live]))
-            at = live[better]
-            best[at], total[at], match[at] = k[better], sums[better], found[better]
+            won = live[better]
+            best[won], total[won], match[won] = k[better], sums[better], found[better]
         return best, match, total
 
 
